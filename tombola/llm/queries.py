@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, mixing, quality_rules, sharding, simhash, urls
+from . import bpe, html_text, licenses, mixing, quality_rules, sharding, simhash, urls, vectors
 from .common import table
 
 
@@ -18,8 +18,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": _over("documents", mixing.op1),
     "op2_sharding": _over("documents", sharding.op2),
     "op3_rules": _over("documents", quality_rules.op3),
+    "op4_licenses": _over("documents", licenses.op4),
     "op6_urls": _over("pages", urls.op6),
     "op7_html": _over("pages", html_text.op7),
+    "op8_ann": _over("embeddings", vectors.op8),
     "op9_simhash": _over("documents", simhash.op9),
     "op10_bpe": _over("documents", bpe.op10),
 }
