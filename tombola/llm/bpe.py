@@ -245,19 +245,23 @@ def decode(encoded: DataFrame, path: str, pattern: str, *, tokens: str = "tokens
     return encoded.withColumn(into, raw(F.col(tokens)))
 
 
-def digests(docs: DataFrame, path: str, pattern: str, *, text: str = "text") -> DataFrame:
-    """For each document its number of tokens and the SHA-256 of its ids and of
-    what they decode to, in one pass that keeps neither."""
+def _digested(own: Tokenizer, text: str | None) -> tuple[int, bytes, str, str]:
+    ids = own.encode(text or "")
+    return len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def encoded_with_digests(docs: DataFrame, path: str, pattern: str, *, text: str = "text", tokens: bool = True) -> DataFrame:
+    """Adds a struct `digest` of n_tokens, the ids (with tokens=True) and the
+    SHA-256 of the ids and of what they decode to, in one pass over the texts."""
+    names = ["n_tokens", "tokens", "ids_sha256", "decoded_sha256"]
+    kinds = dict(zip(names, ("long", "binary", "string", "string"), strict=True))
+    wanted = [n for n in names if tokens or n != "tokens"]
+
+    @F.pandas_udf(", ".join(f"{n} {kinds[n]}" for n in wanted))
     def digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = tokenizer(path, pattern)
         for batch in texts:
-            rows = []
-            for t in batch:
-                ids = own.encode(t or "")
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pd.DataFrame([_digested(own, t) for t in batch], columns=names)[wanted]
 
     return docs.withColumn("digest", digest(F.col(text)))
 
@@ -265,5 +269,5 @@ def digests(docs: DataFrame, path: str, pattern: str, *, text: str = "text") ->
 def op10(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    out = digests(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = encoded_with_digests(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tokens=False)
     return out.select("doc_id", "digest.*")

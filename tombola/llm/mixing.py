@@ -103,10 +103,11 @@ def source_targets(sizes: DataFrame, curriculum: Curriculum, share: float, most_
 
 def mix(docs: DataFrame, *, curriculum: Curriculum = THREE_ONE_TWO, share: float = 1.5, most_passes: int = 2, text: str = "text", key: str = "doc_id", source: str = "source", seed: str = "mix") -> DataFrame:
     """One row a document: key, source, size, source_size, target, taken,
-    first_pass (words of it taken in the first pass), position (when it is first
-    due, null if it isn't taken), klass. `taken` counts repeats. Each source's
-    taken words add up to its target's whole part: its documents are taken in
-    order, pass after pass, and the last one is cut where the target ends."""
+    position (when it is first due, null if it isn't taken), passes (words taken
+    and position, for each pass it is taken in). `taken` counts repeats. Each
+    source's taken words add up to its target's whole part: its documents are
+    taken in order, pass after pass, and the last one is cut where the target
+    ends."""
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     rows = docs.select(F.col(key), F.col(source).alias("source"), words.alias("size"))
     rows = rows.withColumn("shuffled", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))))
@@ -125,14 +126,18 @@ def mix(docs: DataFrame, *, curriculum: Curriculum = THREE_ONE_TWO, share: float
     in_run = Window.partitionBy("source", "run").orderBy("shuffled", F.col(key).asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.col("run_start") + F.coalesce(F.sum("size").over(in_run), F.lit(0)))
     whole = F.floor("target")
-    taken, first = F.lit(0), None
+    each = []
     for k in range(most_passes):
-        part = F.least(F.greatest(whole - k * F.col("source_size") - F.col("before"), F.lit(0)), F.col("size"))
-        first = part if first is None else first
-        taken = taken + part
-    due = F.when(F.col("target") > 0, F.col("before") / F.col("target"))
-    position = F.when(first > 0, curriculum.invert(F.col("klass"), F.least(due, F.lit(1.0))))
-    return rows.select(key, "source", "size", "source_size", "target", taken.cast("long").alias("taken"), first.cast("long").alias("first_pass"), position.alias("position"), "klass")
+        words = F.least(F.greatest(whole - k * F.col("source_size") - F.col("before"), F.lit(0)), F.col("size")).cast("long")
+        due = F.when(F.col("target") > 0, (F.col("before") + k * F.col("source_size")) / F.col("target"))
+        each.append(F.struct(words.alias("words"), F.least(due, F.lit(1.0)).alias("due")))
+    # Inside a lambda what is due is a variable, so that the many branches of the
+    # inversion don't repeat its expression.
+    placed = F.transform(F.array(*each), lambda p: F.struct(p["words"].alias("words"), curriculum.invert(F.col("klass"), p["due"]).alias("position")))
+    passes = F.filter(placed, lambda p: p["words"] > 0)
+    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["words"])
+    rows = rows.withColumn("passes", passes)
+    return rows.select(key, "source", "size", "source_size", "target", taken.alias("taken"), F.get("passes", F.lit(0))["position"].alias("position"), "passes")
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
@@ -144,3 +149,27 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
 
 def op1(docs: DataFrame) -> DataFrame:
     return in_training_order(mix(docs)).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+def mixed_documents(docs: DataFrame, *, curriculum: Curriculum = THREE_ONE_TWO, share: float = 1.5, most_passes: int = 2, key: str = "doc_id", **columns: str) -> DataFrame:
+    """The documents of the mix in training order, with the columns of `docs`:
+    whole texts, as often as they are taken. Where a target ends inside
+    a document, it is in if at least half of it is."""
+    plan = mix(docs, curriculum=curriculum, share=share, most_passes=most_passes, key=key, **columns)
+    plan = plan.select(F.col(key).alias("of"), F.filter("passes", lambda p: 2 * p["words"] >= F.col("size")).alias("passes")).where(F.size("passes") > 0)
+    plan = cut(plan)
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"))
+    same = F.col("key").eqNullSafe(F.col("of"))
+    if plan.groupBy("of").count().where("count > 1").isEmpty():
+        joined = rows.join(plan, same)
+    else:  # rows that share an id take its plans one each
+        size = F.regexp_count(F.coalesce(F.col(f"row.{columns.get('text', 'text')}"), F.lit("")), F.lit(WORD))
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(size)))
+        plan = mix(docs, curriculum=curriculum, share=share, most_passes=most_passes, key=key, **columns)
+        nth = F.row_number().over(Window.partitionBy(key).orderBy("size")).alias("of_nth")
+        plan = plan.select(F.col(key).alias("of"), "passes", "size", nth).select("of", "of_nth", F.filter("passes", lambda p: 2 * p["words"] >= F.col("size")).alias("passes"))
+        joined = rows.join(plan, same & (F.col("nth") == F.col("of_nth")))
+    due = joined.select("row.*", F.explode("passes.position").alias("_position"))
+    n = shuffle_partitions(docs.sparkSession)
+    order = [F.col("_position"), F.xxhash64(key)]
+    return due.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*docs.columns)

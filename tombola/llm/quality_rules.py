@@ -59,10 +59,12 @@ def mask(policy: int) -> int:
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the measurements n_words, word_chars, n_symbols, n_lines,
-    n_dup_lines and n_repeat_words, all longs."""
-    raw = F.coalesce(F.col(text), F.lit(""))
+    n_dup_lines and n_repeat_words, all longs; columns of those names are
+    replaced."""
+    rows = docs.select(F.struct("*").alias("row"))  # so that no name can clash
+    raw = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
     lines = F.filter(F.split(raw, "\n"), lambda line: line.rlike(rf"[^{SPACE}]"))
-    out = docs.withColumns({"_words": F.array_remove(F.split(raw, rf"[{SPACE}]+"), ""), "_lines": lines})
+    out = rows.withColumns({"_words": F.array_remove(F.split(raw, rf"[{SPACE}]+"), ""), "_lines": lines})
     words = F.col("_words")
     # Each step is a column of its own: an expression inside a lambda would be
     # evaluated for every element.
@@ -93,7 +95,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": F.coalesce(covered, F.lit(0)),
     }
-    return out.withColumns({name: of.cast("long") for name, of in figures.items()}).drop("_words", "_lines", "_n", "_windows", "_repeats", "_sorted", "_places")
+    # A generator is a border for the optimizer: a filter on a measurement would
+    # otherwise be pushed below the steps, put together as one expression, and
+    # evaluate them anew for every element.
+    measures = F.explode(F.array(F.struct(*[of.cast("long").alias(name) for name, of in figures.items()]))).alias("measures")
+    return out.select("row", measures).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in figures], "measures.*")
 
 
 def failure_bits() -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, licenses, mixing, quality_rules, sharding, simhash, urls, vectors
+from . import bpe, classifier, html_text, licenses, mixing, quality_rules, sharding, simhash, urls, vectors
 from .common import table
 
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": _over("documents", sharding.op2),
     "op3_rules": _over("documents", quality_rules.op3),
     "op4_licenses": _over("documents", licenses.op4),
+    "op5_classifier": lambda spark, sf_dir: classifier.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_urls": _over("pages", urls.op6),
     "op7_html": _over("pages", html_text.op7),
     "op8_ann": _over("embeddings", vectors.op8),

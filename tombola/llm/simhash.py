@@ -245,5 +245,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     return marked.join(of, F.col("fp") == F.col("of_fp")).select(id_col, "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """`docs` with one document of each class: that of the least id, or of the
+    least fingerprint where no id is known. Of rows that repeat both id and
+    fingerprint one stays."""
+    marked = cut(docs.select(F.col(id_col), fingerprints(F.col(text), shingle).alias("fp")))
+    of = cut(classes(marked, id_col, radius))
+    heads = of.select(F.col("fp").alias("of_fp"), F.col("component_id").alias("head"), "class_fp")
+    stay = marked.join(heads, F.col("fp") == F.col("of_fp")).where(F.col(id_col).eqNullSafe(F.col("head")))
+    stay = stay.groupBy("class_fp").agg(F.min("fp").alias("stay_fp"), F.min(id_col).alias("stay_id"))
+    # A class has one row here: its least id, with the least fingerprint of that id.
+    stay = cut(stay.select("stay_id", "stay_fp"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"))
+    unique = marked.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty()
+    if unique:  # ids alone tell which rows stay
+        return rows.join(stay, F.col("key") == F.col("stay_id"), "left_semi").select("row.*")
+    rows = rows.withColumn("fp", fingerprints(F.col(f"row.{text}"), shingle))
+    rows = rows.join(stay, F.col("key").eqNullSafe(F.col("stay_id")) & (F.col("fp") == F.col("stay_fp")), "left_semi")
+    return rows.dropDuplicates(["key", "fp"]).select("row.*")
+
+
 def op9(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
