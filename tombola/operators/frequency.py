@@ -11,7 +11,7 @@ UNIVERSE = 100
 RECENT_ROWS = 30
 #: The delay that counts most, and that of numbers never seen or seen on the day.
 MOST_DELAY = 365
-_NEWEST = [F.desc("draw_date"), F.desc("lottery"), F.desc("draw")]
+_NEWEST = ["draw_date", "lottery", "draw"]
 
 
 def coverage(draws: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def group_totals(draws: DataFrame, by: list[str]) -> DataFrame:
 def newest(draws: DataFrame, by: list[str], n: int) -> DataFrame:
     """The n newest rows of each group, with their place. Each task passes on no
     more than n rows a group."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*_NEWEST)).alias("place")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*map(F.desc, _NEWEST))).alias("place")
     return draws.select("*", place).where(F.col("place") <= n)
 
 
