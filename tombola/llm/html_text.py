@@ -61,7 +61,7 @@ TOKEN = re.compile(
     r"|<[a-z][^<>]*(?:>|\Z)",
     re.S | re.I,
 )
-ATTR = re.compile(r"""(?<![^\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 NAME = re.compile(r"[a-z]+")
 
 
@@ -78,8 +78,10 @@ def _dropped(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in NOT_TEXT or tag == "header" and not in_article:
         return True
     for kind, *value in ATTR.findall(attrs) if attrs else ():
-        said = "".join(value).lower()
-        if kind.lower() == "role":
+        kind, said = kind.lower(), "".join(value).lower()
+        if kind not in ("class", "id", "role"):
+            continue
+        if kind == "role":
             if said.strip() in ROLES:
                 return True
         elif not NAMES.isdisjoint(NAME.findall(said)) and tag not in ("body", "html", "article", "main"):
