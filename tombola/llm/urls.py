@@ -124,16 +124,19 @@ def scores(urls: DataFrame, model: DataFrame, keys: list[str], symbols_col: str
 
 def calibrated(scored: DataFrame, accepted: str = "accepted") -> DataFrame:
     """One row: the threshold that decides most of the examples as their rules
-    do, accepted and rejected ones counting alike; the lowest of the best. It is
-    chosen among bins of scores, so the sort is over a bounded number of rows."""
+    do, accepted and rejected ones counting alike; the lowest of the best. It lies
+    halfway between the least score it accepts and the next one below, for what
+    the models haven't seen scores less clearly. It is chosen among bins of
+    scores, so the sort is over a bounded number of rows."""
     bins = scored.where(F.col(accepted).isNotNull()).groupBy(F.round("score", 3).alias("bin")).agg(F.sum(F.when(F.col(accepted), F.col("copies")).otherwise(0)).alias("good"), F.sum(F.when(F.col(accepted), 0).otherwise(F.col("copies"))).alias("bad"))
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     kept = F.sum("good").over(everything) - F.coalesce(F.sum("good").over(below), F.lit(0))
     out = F.coalesce(F.sum("bad").over(below), F.lit(0))
     right = F.expr("1.0d") * F.coalesce(F.try_divide(kept, F.sum("good").over(everything)), F.lit(0.0)) + F.coalesce(F.try_divide(out, F.sum("bad").over(everything)), F.lit(0.0))
-    best = bins.select("bin", right.alias("right")).agg(F.max(F.struct("right", -F.col("bin"))).alias("best"))
-    return best.select(F.coalesce(-F.col("best.col2") - 0.0005, F.lit(0.0)).alias("threshold"))
+    lower = F.coalesce(F.lag("bin").over(Window.orderBy("bin")), F.col("bin") - 0.001)
+    best = bins.select("bin", lower.alias("lower"), right.alias("right")).agg(F.max_by(F.struct("bin", "lower"), F.struct("right", -F.col("bin"))).alias("best"))
+    return best.select(F.coalesce((F.col("best.bin") + F.col("best.lower")) / 2, F.lit(0.0)).alias("threshold"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "page_id", url: str = "url") -> DataFrame:
