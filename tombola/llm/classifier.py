@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, lean_batches
 
 LABELLED, POOL = 3_000, 4_000
 ROUNDS = 4
@@ -167,6 +167,7 @@ def _view_columns(text: Column, lang: Column, source: Column, n_chars: Column) -
 def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained | None:
     """None if either kind of label is missing. Reads the columns doc_id, text,
     lang, source and n_chars of docs, and doc_id and quality of labels."""
+    lean_batches(docs)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     known = labels.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label"))
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -214,6 +215,7 @@ def scored(docs: DataFrame, model: CoTrained | None, into: str = "quality") -> D
             a, b, both = model.scores(*views)
             yield pd.DataFrame({"text_score": a, "metadata_score": b, "score": both, "kept": both >= model.threshold})
 
+    lean_batches(docs)
     return docs.withColumn(into, of(F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars").cast("double")))
 
 

@@ -33,6 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lean_batches(df: DataFrame) -> None:
+    """Texts are long: Python workers get at most 1,000 rows or 16 MB at once, so
+    that their memory stays small however long texts are. (A setting of the
+    session; a batch always holds one row at least.)"""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

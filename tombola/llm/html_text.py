@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, small
+from .common import ascii_lower, cut, lean_batches, small
 
 #: A subtree is a template's from so many pages of the host on, and from this
 #: share of the host's pages on.
@@ -200,6 +200,7 @@ def templates(pages: DataFrame, *, url: str = "url", html: str = "html", least_p
                 longests.append(longest)
             yield pd.DataFrame({"host": hosts, "subtree": pd.array(subtrees, dtype="Int64"), "longest": pd.array(longests, dtype="Int64")})
 
+    lean_batches(pages)
     seen = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInPandas(of, "host string, subtree long, longest long").distinct()
     counts = cut(seen.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where((F.col("pages") >= least_pages) | F.col("subtree").isNull()))
     total = counts.where(F.col("subtree").isNull()).select(F.col("host").alias("of_host"), F.col("pages").alias("all_pages"))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, shuffle_partitions
+from .common import LOWER, UPPER, cut, lean_batches, shuffle_partitions
 from .components import components
 
 RADIUS = 3
@@ -240,6 +240,7 @@ def classes(marked: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) ->
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """One row a document: id, fp (signed long), component_id."""
+    lean_batches(docs)
     marked = cut(docs.select(F.col(id_col), fingerprints(F.col(text), shingle).alias("fp")))
     of = cut(classes(marked, id_col, radius)).select(F.col("fp").alias("of_fp"), "component_id")
     return marked.join(of, F.col("fp") == F.col("of_fp")).select(id_col, "fp", "component_id")
@@ -249,6 +250,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     """`docs` with one document of each class: that of the least id, or of the
     least fingerprint where no id is known. Of rows that repeat both id and
     fingerprint one stays."""
+    lean_batches(docs)
     marked = cut(docs.select(F.col(id_col), fingerprints(F.col(text), shingle).alias("fp")))
     of = cut(classes(marked, id_col, radius))
     heads = of.select(F.col("fp").alias("of_fp"), F.col("component_id").alias("head"), "class_fp")
