@@ -234,7 +234,9 @@ def classes(marked: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) ->
     roots = components(links(distinct.select("fp"), radius))
     of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("class_fp"))
     of = cut(of)
-    heads = of.groupBy(F.col("class_fp").alias("head")).agg(F.min("least_id").alias("component_id"))
+    # Written first: joined as it comes from its aggregation, a large class could
+    # not be split.
+    heads = cut(of.groupBy(F.col("class_fp").alias("head")).agg(F.min("least_id").alias("component_id")))
     return of.join(heads, F.col("class_fp") == F.col("head")).select("fp", "class_fp", "component_id")
 
 
