@@ -173,3 +173,42 @@ def mixed_documents(docs: DataFrame, *, curriculum: Curriculum = THREE_ONE_TWO,
     n = shuffle_partitions(docs.sparkSession)
     order = [F.col("_position"), F.xxhash64(key)]
     return due.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*docs.columns)
+
+
+#: op1 in SQL: the same schedule (weights 4-3-2, 0.5-1-1.5 and 2-2-2 over two
+#: pieces of time), targets, order and positions.
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffled
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+k AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS klass FROM s),
+w AS (SELECT *, CASE klass WHEN 0 THEN 3e0 WHEN 1 THEN 1e0 ELSE 2e0 END AS weight, 2e0 * source_size AS most FROM k),
+filling AS (
+  SELECT *, 1.5e0 * sum(source_size) OVER () AS budget,
+         coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS full_before,
+         sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_from
+  FROM w),
+lv AS (SELECT arg_min((budget - full_before) / weight_from, full_before) AS level FROM filling WHERE (budget - full_before) / weight_from * weight <= most),
+t AS (SELECT source, source_size, klass, least((SELECT level FROM lv) * weight, most) AS target FROM w),
+o AS (
+  SELECT d.doc_id, d.size, t.source_size, t.klass, t.target,
+         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.shuffled, d.doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (
+  SELECT *, least(greatest(CAST(floor(target) AS BIGINT) - before, 0), size) AS first_words,
+         least(greatest(CAST(floor(target) AS BIGINT) - source_size - before, 0), size) AS second_words,
+         CASE WHEN target > 0 THEN least(before / target, 1e0) * (CASE klass WHEN 0 THEN 3e0 WHEN 1 THEN 1e0 ELSE 2e0 END) END AS due
+  FROM o),
+q AS (
+  SELECT *, CASE klass WHEN 0 THEN 1.75e0 WHEN 1 THEN 0.375e0 ELSE 1e0 END AS half, CASE klass WHEN 0 THEN 3e0 WHEN 1 THEN 1e0 ELSE 2e0 END AS whole,
+         CASE klass WHEN 0 THEN -2e0 WHEN 1 THEN 1e0 ELSE 0e0 END AS slope FROM p),
+r AS (
+  SELECT *, CASE WHEN due <= half THEN CASE klass WHEN 0 THEN 4e0 WHEN 1 THEN 0.5e0 ELSE 2e0 END ELSE CASE klass WHEN 0 THEN 3e0 WHEN 1 THEN 1e0 ELSE 2e0 END END AS a,
+         CASE WHEN due <= half THEN 0e0 ELSE 0.5e0 END AS begins, greatest(CASE WHEN due <= half THEN due ELSE due - half END, 0e0) AS rest FROM q)
+SELECT doc_id, size, source_size, target, CAST(first_words + second_words AS BIGINT) AS taken,
+       CASE WHEN first_words > 0 THEN CASE WHEN due > whole THEN 1e0 WHEN rest <= 0 THEN begins
+         ELSE begins + least(2 * rest / (a + sqrt(greatest(a * a + 2 * slope * rest, 0e0))), 0.5e0) END END AS position
+FROM r
+"""
