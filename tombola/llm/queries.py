@@ -30,4 +30,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.OP1_SQL,
     "op3_rules": quality_rules.OP3_SQL,
+    "op6_urls": urls.OP6_SQL,
 }

@@ -114,12 +114,13 @@ def scores(urls: DataFrame, model: DataFrame, keys: list[str], symbols_col: str
     """`keys`, score, copies: per distinct key its length-normalised ratio and
     the number of rows that have it. A row's characters stay in its task, where
     they are summed before anything is shuffled. A gram whose context no example
-    has is no evidence."""
+    has is no evidence. Ratios are summed as millionths, so that the order of
+    addition doesn't matter."""
     table = F.broadcast(model)  # at most CLASSES ** 3 rows
     by = grams(urls.select(*keys, symbols_col), symbols_col).join(table, "gram", "left")
     length = F.length(symbols_col)
-    summed = by.groupBy(*keys, symbols_col).agg(F.sum(F.coalesce(F.round(F.col("ratio") * 1e9).cast("long"), F.lit(0))).alias("total"), F.count("*").alias("chars"))
-    return summed.select(*keys, (F.col("total") / 1e9 / F.col("chars")).alias("score"), F.expr(f"chars div length({symbols_col})").alias("copies"))
+    summed = by.groupBy(*keys, symbols_col).agg(F.sum(F.coalesce(F.round(F.col("ratio") * 1e6).cast("long"), F.lit(0))).alias("total"), F.count("*").alias("chars"))
+    return summed.select(*keys, (F.col("total") / 1e6 / F.col("chars")).alias("score"), F.expr(f"chars div length({symbols_col})").alias("copies"))
 
 
 def calibrated(scored: DataFrame, accepted: str = "accepted") -> DataFrame:
@@ -155,3 +156,59 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "p
 
 def op6(pages: DataFrame) -> DataFrame:
     return judge(pages)
+
+
+#: op6 in SQL: rules, models, scores and threshold.
+OP6_SQL = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://(.*)$', 1) END AS rest FROM pages),
+v AS (
+  SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1), '') AS path, row_number() OVER () AS r
+  FROM u),
+x AS (
+  SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                 WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                 WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                 WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+                 WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
+         regexp_replace(regexp_replace(host || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[^0a-z/._?=&#%:+,;-]', '~', 'g') || '$' AS symbols
+  FROM v),
+y AS (SELECT *, CASE WHEN rule IN ('com/fr/', 'org/') THEN true WHEN rule IS NOT NULL THEN false END AS accepted FROM x),
+grams AS (SELECT r, accepted, substr('^^' || symbols, i, 3) AS gram FROM (SELECT r, accepted, symbols, unnest(generate_series(1, length(symbols))) AS i FROM y)),
+counts AS (SELECT accepted, gram, count(*) AS n FROM grams WHERE accepted IS NOT NULL GROUP BY ALL),
+at0 AS (
+  SELECT two, substr(two, 2, 1) AS one, c, accepted FROM (SELECT DISTINCT substr(gram, 1, 2) AS two FROM counts),
+    (SELECT unnest(string_split('^$0~abcdefghijklmnopqrstuvwxyz/.-_?=&#%:+,;', '')) AS c), (SELECT unnest([true, false]) AS accepted)),
+o0 AS (SELECT accepted, right(gram, 1) AS g, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY ALL),
+t0 AS (SELECT accepted, substr(g, 1, 0) AS t, CAST(sum(n) AS BIGINT) AS every, count(*) AS kinds FROM o0 GROUP BY ALL),
+w0 AS (
+  SELECT a.*, CASE WHEN coalesce(t.every, 0) > 0 THEN (coalesce(o.n, 0) + t.kinds * 1e0 / 43) / (t.every + t.kinds) ELSE 1e0 / 42 END AS p0, coalesce(t.every, 0) > 0 AS met
+  FROM at0 a LEFT JOIN o0 o ON o.accepted = a.accepted AND o.g = c LEFT JOIN t0 t ON t.accepted = a.accepted AND t.t = ''),
+o1 AS (SELECT accepted, right(gram, 2) AS g, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY ALL),
+t1 AS (SELECT accepted, substr(g, 1, 1) AS t, CAST(sum(n) AS BIGINT) AS every, count(*) AS kinds FROM o1 GROUP BY ALL),
+w1 AS (
+  SELECT a.*, CASE WHEN coalesce(t.every, 0) > 0 THEN (coalesce(o.n, 0) + t.kinds * p0) / (t.every + t.kinds) ELSE p0 END AS p1
+  FROM w0 a LEFT JOIN o1 o ON o.accepted = a.accepted AND o.g = one || c LEFT JOIN t1 t ON t.accepted = a.accepted AND t.t = one),
+o2 AS (SELECT accepted, right(gram, 3) AS g, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY ALL),
+t2 AS (SELECT accepted, substr(g, 1, 2) AS t, CAST(sum(n) AS BIGINT) AS every, count(*) AS kinds FROM o2 GROUP BY ALL),
+w2 AS (
+  SELECT a.*, CASE WHEN coalesce(t.every, 0) > 0 THEN (coalesce(o.n, 0) + t.kinds * p1) / (t.every + t.kinds) ELSE p1 END AS p2
+  FROM w1 a LEFT JOIN o2 o ON o.accepted = a.accepted AND o.g = two || c LEFT JOIN t2 t ON t.accepted = a.accepted AND t.t = two),
+model AS (
+  SELECT a.two || a.c AS gram, CASE WHEN a.met AND b.met THEN ln(a.p2) - ln(b.p2) ELSE 0e0 END AS ratio
+  FROM w2 a JOIN w2 b ON a.two = b.two AND a.c = b.c AND a.accepted AND NOT b.accepted),
+scored AS (
+  SELECT g.r, sum(coalesce(CAST(round(m.ratio * 1e6) AS BIGINT), 0)) / 1e6 / count(*) AS score FROM grams g LEFT JOIN model m ON m.gram = g.gram GROUP BY g.r),
+z AS (SELECT y.*, s.score FROM y JOIN scored s ON s.r = y.r),
+bins AS (SELECT round(score, 3) AS bin, count(*) FILTER (WHERE accepted) AS good, count(*) FILTER (WHERE NOT accepted) AS bad FROM z WHERE accepted IS NOT NULL GROUP BY ALL),
+sides AS (
+  SELECT bin, coalesce(lag(bin) OVER (ORDER BY bin), bin - 0.001e0) AS lower,
+         coalesce((sum(good) OVER () - coalesce(sum(good) OVER below, 0)) / nullif(sum(good) OVER (), 0), 0)
+           + coalesce(coalesce(sum(bad) OVER below, 0) / nullif(sum(bad) OVER (), 0), 0) AS correct
+  FROM bins WINDOW below AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+threshold AS (SELECT coalesce((SELECT (bin + lower) / 2 FROM sides ORDER BY correct DESC, bin LIMIT 1), 0e0) AS cutoff)
+SELECT page_id, host, path, rule,
+       CASE WHEN accepted THEN 'allow' WHEN NOT accepted THEN 'block' WHEN score >= (SELECT cutoff FROM threshold) THEN 'allow' ELSE 'block' END AS verdict, score
+FROM z
+"""
