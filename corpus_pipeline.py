@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tombola.llm import bpe, classifier, mixing, quality_rules, simhash
+from tombola.llm import bpe, classifier, jaccard, mixing, quality_rules
 from tombola.llm.common import cut, table
 
 #: The version of the quality rules' policy.
@@ -28,8 +28,9 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """Keeps one document of each class of near-duplicates: five-word shingles
+    at a similarity of 0.8 or more."""
+    return jaccard.one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
