@@ -2,7 +2,7 @@
 
 import random
 
-from tombola.llm import jaccard
+from tombola.llm import jaccard, simhash
 from tombola.llm.components import components
 
 
@@ -39,12 +39,12 @@ def test_all_pairs_from_four_fifths_on_link_and_no_others(spark, monkeypatch):
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
-    links = jaccard.links(docs).collect()
+    links = simhash.similar_links(docs)[1].collect()
     assert components(spark.createDataFrame(links, "a long, b long")).count() > 20
 
 
 def test_rows_without_or_with_repeated_ids(spark):
     rows = [(3, None), (2, ""), (9, " \n"), (5, "One two"), (4, "one TWO"), (4, "one TWO"), (None, "one two"), (None, "alone and without an id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((r["doc_id"] or 0) for r in jaccard.one_of_each(docs).collect()) == [0, 2, 4]
-    assert jaccard.one_of_each(docs.where("false")).count() == 0
+    assert sorted((r["doc_id"] or 0) for r in simhash.one_of_each(docs).collect()) == [0, 2, 4]
+    assert simhash.one_of_each(docs.where("false")).count() == 0

@@ -28,8 +28,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_batches
-
 #: White space as Unicode has it (and not as Python's `re` has it).
 UNICODE_SPACE = "\t-\r \x85\xa0  -     　"
 #: Words with the space before them, or runs of white space. No match of the
@@ -232,7 +230,6 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", into
         for batch in texts:
             yield pd.Series([own.encode(t or "") for t in batch], dtype=object)
 
-    lean_batches(docs)
     return docs.withColumn(into, ids(F.col(text)))
 
 
@@ -245,7 +242,6 @@ def decode(encoded: DataFrame, path: str, pattern: str, *, tokens: str = "tokens
         for batch in ids:
             yield pd.Series([own.decode(i or b"") for i in batch], dtype=object)
 
-    lean_batches(encoded)
     return encoded.withColumn(into, raw(F.col(tokens)))
 
 
@@ -267,7 +263,6 @@ def encoded_with_digests(docs: DataFrame, path: str, pattern: str, *, text: str
         for batch in texts:
             yield pd.DataFrame([_digested(own, t) for t in batch], columns=names)[wanted]
 
-    lean_batches(docs)
     return docs.withColumn("digest", digest(F.col(text)))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,21 +27,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the folder of spark.checkpoint.dir, which all executors
-    share, and goes on from there. Only where that setting is absent (a local
-    session, as in tests) a temporary folder of this machine serves."""
+    share, and goes on from there. Where that setting is absent a session whose
+    executors are threads of this process (as in tests) gets a temporary folder,
+    which goes with the process; any other session is refused. Whether files
+    whose frames are gone stay is up to spark.cleaner.referenceTracking.cleanCheckpoints."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 
-def lean_batches(df: DataFrame) -> None:
+def lean_batches(spark: SparkSession) -> None:
     """Texts are long: Python workers get at most 1,000 rows or 16 MB at once, so
-    that their memory stays small however long texts are. (A setting of the
-    session; a batch always holds one row at least.)"""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    that their memory stays small however long texts are (a batch always holds
+    one row at least). These are settings of the session, so no operator makes
+    them: the registered queries and the pipeline do, as an application would."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def ascii_lower(col: Column) -> Column:

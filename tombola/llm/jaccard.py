@@ -1,32 +1,37 @@
-"""Near-duplicates by the similarity of word shingles: an exact similarity join.
+"""Similarity of word shingles: exact checks, and the links an index has missed.
 
-Documents link when the Jaccard similarity of their sets of SHINGLE-word shingles
-is at least SIMILAR (a fraction of whole numbers); linked documents form classes.
-No link is lost and none is taken unchecked:
+Documents link when the Jaccard similarity of their sets of shingles is at least
+SIMILAR (a fraction of whole numbers). `checked` counts it for given pairs.
+`missing` finds every linked pair that given classes don't connect yet:
 
 Prefixes. In any order of all shingles, two sets that similar share one of their
-first n - ceil(SIMILAR n) + 1 shingles. The order puts those that are frequent in
-a sample last, so that few sets share a prefix shingle; the sample decides how
-much is compared, never what links.
+first n - ceil(SIMILAR n) + 1 shingles. The order puts frequent ones last, so that
+few sets share a prefix shingle. It is counted over all documents: every batch
+of rows names the shingles that several of its texts have. What is not known to
+be frequent decides how much is compared, never what links.
 
-Filters. Sets that share a prefix shingle are compared by size and by a bitmap of
-the parity of their hashes. Bitmaps differ in no more bits than sets in
-elements, so what they rule out does not link. A shingle of over PART sets is
-dealt in pairs of blocks.
+Lists. Of shingles that stand in the prefixes of the very same sets one is
+enough, so near copies meet a few times and not once a shingle.
 
-Checks. The pairs left are counted shingle by shingle. A first round tries, in each
-block, one pair a document; the second tries all pairs that are not
+Filters. Sets of one shingle are compared by size and by a bitmap of the parity
+of their hashes. Bitmaps differ in no more bits than sets in elements, so what
+they rule out does not link. A shingle of over PART sets is dealt in pairs of
+blocks; sets that are connected already are not compared with each other.
+
+Checks. The pairs left are counted shingle by shingle. A first round tries, in
+each block, one pair a document; the second tries all pairs that are not
 connected by then, so a large class of near copies needs few of its pairs.
 
 Shingles and whole texts are known by 64-bit hashes. Nulls: a null text, an
-empty one and white space are copies of each other. A text of fewer words is one shingle.
-Rows with a null id are grouped but stay only where no id is known. Of rows that
-repeat both id and text one stays.
+empty one and white space are copies of each other, without shingles, and link
+with nothing else. A text of fewer words is one shingle. Repeated texts are one
+set. A very long text's shingles (8 bytes each) are held by one task. An empty
+table has no links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,29 +40,39 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, lean_batches, shuffle_partitions
+from .common import LOWER, UPPER, cut, shuffle_partitions
 from .components import components
 
 SHINGLE = 5
 #: At least so much of a union is shared: 4 of 5.
 SIMILAR = (4, 5)
 SEED = 42
-#: Documents whose shingles are counted for the order, and shingles kept of them.
-SAMPLE, FREQUENT = 5_000, 100_000
+#: A shingle is named as frequent by a batch in which so many texts have it; so
+#: many of the most frequent ones are handed out. (16 bytes each.)
+NAMED, FREQUENT = 3, 100_000
 #: The most sets of one shingle in a block.
 PART = 512
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The hashes of a text's shingles, each once, in order."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+def words_of(text: str | None) -> list[bytes]:
+    """Words are runs of anything but ASCII white space, A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Of all shingles in order, repeats included."""
     if not words:
         return np.zeros(0, np.uint64)
     n, digest = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
     parts = [words[k : k + n] for k in range(min(shingle, len(words)))]
-    return np.unique(np.fromiter((digest(s, SEED) for s in map(b" ".join, zip(*parts, strict=False))), np.uint64))
+    return np.fromiter((digest(s, SEED) for s in map(b" ".join, zip(*parts, strict=False))), np.uint64)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles, each once, in order."""
+    return np.unique(shingle_hashes(words_of(text), shingle))
 
 
 def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -72,73 +87,90 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.n
 
 def bitmap(hashes: np.ndarray) -> bytes:
     """Parities of hashes by their last bits; the larger a set, the more bits."""
-    width = 1 << min(16, max(6, (2 * len(hashes) - 1).bit_length()))
+    width = 1 << min(16, max(6, (max(1, len(hashes)) - 1).bit_length()))
     odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(odd.astype(bool)).tobytes()
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
-def close(sizes: np.ndarray, maps: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set the later ones, by size, that sizes and bitmaps let be similar.
-    Sets come in order of size."""
+def named(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that NAMED or more of a batch's sets have, and how many."""
+    hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+    often = counts >= NAMED
+    return hashes[often], counts[often]
+
+
+def close(sizes: np.ndarray, maps: list[bytes], roots: np.ndarray, one_each: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set the others of other roots that sizes and bitmaps let be
+    similar, each pair once; with one_each, a set is named once at most. Sets
+    come in order of size."""
     over, under = SIMILAR
+    values, counts = np.unique(roots, return_counts=True)
+    minor = roots != values[counts.argmax()]  # of a pair with two roots one is
     widths = np.array([len(m) for m in maps])
     kinds = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
     bits = {w: np.frombuffer(b"".join(maps[k] for k in at), np.uint64).reshape(len(at), -1) for w, at in kinds.items()}
+    tried = np.zeros(len(maps), bool)
     for w, at in kinds.items():
         sides = [(at, bits[w])]
         if 2 * w in kinds:  # the wider bitmap, its halves laid over each other
             wide = bits[2 * w]
             sides.append((kinds[2 * w], wide[:, : wide.shape[1] // 2] ^ wide[:, wide.shape[1] // 2 :]))
+        ranges = [(np.arange(len(others)), np.flatnonzero(minor[others])) for others, _ in sides]
         for k, i in enumerate(at):
             for side, (others, other_bits) in enumerate(sides):
                 first = 0 if side else k + 1
                 last = int(np.searchsorted(sizes[others], sizes[i] * under // over, "right"))
-                if first < last:
-                    apart = np.bitwise_count(bits[w][k] ^ other_bits[first:last]).sum(axis=1, dtype=np.int64)
-                    # |A - B| + |B - A| is at most this share of |A| + |B|.
-                    good = (under + over) * apart <= (under - over) * (sizes[i] + sizes[others[first:last]])
-                    if good.any():
-                        yield int(i), others[first:last][good]
+                there = ranges[side][0][first:last]
+                if not minor[i]:
+                    there = ranges[side][1]
+                    there = there[(there >= first) & (there < last)]
+                there = there[roots[others[there]] != roots[i]]
+                if one_each:
+                    there = there[~tried[others[there]]]
+                if not len(there):
+                    continue
+                apart = np.bitwise_count(bits[w][k] ^ other_bits[there]).sum(axis=1, dtype=np.int64)
+                # |A - B| + |B - A| is at most this share of |A| + |B|.
+                there = others[there[(under + over) * apart <= (under - over) * (sizes[i] + sizes[others[there]])]]
+                if len(there):
+                    tried[there] = True
+                    yield int(i), there
 
 
 def key_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), F.lit("")))
 
 
-def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    @F.pandas_udf("array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([shingles(t).view(np.int64) for t in batch], dtype=object)
-
-    share = min(1.0, SAMPLE / max(1, texts.count()))
-    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000))
-    counts = some.select(F.explode(of("text")).alias("h")).groupBy("h").count().where("count > 1")
+def frequent(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent of the shingles that batches have named, in order, with
+    counts: FREQUENT at most reach the driver."""
+    by = marked.where("named is not null").select(F.explode(F.arrays_zip("named", "times")).alias("of"))
+    counts = by.groupBy(F.col("of.named").alias("h")).agg(F.sum("of.times").alias("count"))
     rows = counts.orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
     hashes = rows["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], rows["count"].to_numpy(np.int64)[order]
 
 
+def _pairs(found: set) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def _candidates(dealt: DataFrame, one_each: bool) -> DataFrame:
     """a, b: pairs of keys in a block that may be similar and have two roots."""
 
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-            if len({r[3] for r in rows}) < 2:
-                return
-            rows = sorted(rows)
-            keys, roots = np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
-            tried = np.zeros(len(rows), bool)
-            for i, js in close(np.array([r[0] for r in rows]), [r[2] for r in rows]):
-                js = js[roots[js] != roots[i]]
-                if one_each:
-                    js = js[~tried[js]]
-                    tried[js] = True
-                for j in js:
-                    yield min(keys[i], keys[j]), max(keys[i], keys[j])
+    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        if len({r[3] for r in rows}) < 2:
+            return
+        rows = sorted(rows)
+        sizes, keys, roots = (np.array([r[k] for r in rows]) for k in (0, 1, 3))
+        for i, js in close(sizes, [r[2] for r in rows], roots, one_each):
+            for j in js:
+                yield min(keys[i], keys[j]), max(keys[i], keys[j])
 
-        held, at, found = [], None, set()
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at, found = None, set()
         for batch in batches:
             for *block, size, key, bits, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != at:
@@ -151,20 +183,17 @@ def _candidates(dealt: DataFrame, one_each: bool) -> DataFrame:
         found.update(pairs(held))
         yield _pairs(found)
 
-    def _pairs(found: set) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
     dealt = dealt.repartition(shuffle_partitions(dealt.sparkSession), "h", "x", "y").sortWithinPartitions("h", "x", "y")
     return dealt.select("h", "x", "y", "size", "key", "bits", "root").mapInArrow(within, "a long, b long").distinct()
 
 
-def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that are similar."""
+def checked(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Those of `pairs` (a, b) that are similar. texts: key and text."""
 
     @F.pandas_udf("binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([shingles(t).tobytes() for t in batch], dtype=object)
+            yield pd.Series([shingles(t, shingle).tobytes() for t in batch], dtype=object)
 
     @F.pandas_udf("boolean")
     def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -174,58 +203,47 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for a, b in zip(left, right, strict=True):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                out.append(under * both >= over * (len(a) + len(b) - both))
+                out.append(both > 0 and under * both >= over * (len(a) + len(b) - both))
             yield pd.Series(out, dtype=bool)
 
     pairs = cut(pairs)
-    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    known = texts.join(named, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    known = texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     sets = cut(known.select("key", of("text").alias("hashes")))
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("left")), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("right")), "b")
     return cut(both.where(similar("left", "right")).select("a", "b"))
 
 
-def links(docs: DataFrame, text: str = "text") -> DataFrame:
-    """a, b: pairs of keys that connect all that link."""
-    lean_batches(docs)
-    texts = docs.select(key_of(F.col(text)).alias("key"), F.col(text).alias("text"))
-    context = docs.sparkSession.sparkContext
-    order = context.broadcast(_frequent(texts))
+def missing(marked: DataFrame, texts: DataFrame, known: DataFrame, shingle: int = SHINGLE, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """a, b: the links of `known` (a, b) and those that are missing there to
+    connect all sets that are similar. marked: key, size, bits, named and times,
+    a row a text or more."""
+    check = check or (lambda pairs: checked(pairs, texts, shingle))
+    order = marked.sparkSession.sparkContext.broadcast(frequent(marked))
 
-    @F.pandas_udf("size long, bits binary, first array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<long>")
+    def first(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            sets = [shingles(t) for t in batch]
-            firsts = [prefix(s, *order.value).view(np.int64) for s in sets]
-            yield pd.DataFrame({"size": [len(s) for s in sets], "bits": [bitmap(s) for s in sets], "first": firsts})
-
-    # Copies of a text are one set.
-    marked = cut(texts.select("key", of("text").alias("of")).select("key", "of.*"))
-    firsts = marked.select(F.explode("first").alias("h"), "key").distinct()
-    firsts = cut(firsts)
-    many = cut(firsts.groupBy("h").agg(F.count("*").alias("sets")).where("sets > 1"))
-    shared = cut(firsts.join(many, "h"))
+            yield pd.Series([prefix(shingles(t, shingle), *order.value).view(np.int64) for t in batch], dtype=object)
+
+    firsts = cut(texts.select(F.explode(first("text")).alias("h"), "key").distinct())
+    # One shingle of each list of sets; two hashes of a list stand for it.
+    lists = firsts.groupBy("h").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("two"))
+    lists = cut(lists.where("sets > 1").groupBy("sets", "one", "two").agg(F.min("h").alias("h")).select("h", "sets"))
+    shared = cut(firsts.join(lists, "h"))
     sets = marked.join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
     blocks = F.ceil(F.col("sets") / PART).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    dealt = shared.join(sets, "key").select("h", "key", "size", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = cut(dealt.select("h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "size", "key", "bits"))
-    first = _checked(_candidates(dealt.withColumn("root", F.col("key")), True), texts)
-    roots = cut(components(first)).withColumnRenamed("node", "key")
-    rest = dealt.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    return first.unionByName(_checked(_candidates(rest, False), texts))
-
-
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one document of each class: that of the least id, or of the
-    least key where no id is known."""
-    roots = cut(components(links(docs, text)))
-    marked = docs.select(F.col(id_col).alias("id"), key_of(F.col(text)).alias("key"))
-    heads = cut(marked.groupBy("key").agg(F.min("id").alias("id")).join(roots, F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("root", "key").alias("class")))
-    stay = cut(heads.groupBy("class").agg(F.min_by(F.struct("id", "key"), F.struct(F.col("id").isNull(), "id", "key")).alias("stay")).select("stay.*"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), key_of(F.col(text)).alias("_key"))
-    rows = rows.join(stay, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key")), "left_semi")
-    if marked.groupBy("id").count().where((F.col("count") > 1) | F.col("id").isNull()).isEmpty():  # nothing repeats
-        return rows.select("row.*")
-    return rows.dropDuplicates(["_id", "_key"]).select("row.*")
+    dealt = shared.select("h", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("h", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    sets = cut(sets)
+
+    def placed(links: DataFrame) -> DataFrame:
+        roots = cut(components(links))
+        of = sets.join(roots, F.col("key") == F.col("node"), "left").select("key", "size", "bits", F.coalesce("root", "key").alias("root"))
+        return dealt.join(of, "key")
+
+    found = check(_candidates(placed(known), True))
+    known = cut(known.unionByName(found))
+    return known.unionByName(check(_candidates(placed(known), False)))

@@ -25,8 +25,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_batches
-
 #: Edits allowed for every so many characters of a notice.
 EDITS_PER = 10
 
@@ -152,7 +150,6 @@ def scan(docs: DataFrame, *, text: str = "text", into: str = "scan", phrases: tu
             frame = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
             yield frame.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    lean_batches(docs)
     return docs.withColumn(into, of(F.col(text)))
 
 

@@ -7,24 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, classifier, html_text, licenses, mixing, quality_rules, sharding, simhash, urls, vectors
-from .common import table
+from .common import lean_batches, table
 
 
-def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
+def _over(operator: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lean_batches(spark)
+        return operator(*[table(spark, sf_dir, name) for name in names])
+
+    return query
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mixing": _over("documents", mixing.op1),
-    "op2_sharding": _over("documents", sharding.op2),
-    "op3_rules": _over("documents", quality_rules.op3),
-    "op4_licenses": _over("documents", licenses.op4),
-    "op5_classifier": lambda spark, sf_dir: classifier.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
-    "op6_urls": _over("pages", urls.op6),
-    "op7_html": _over("pages", html_text.op7),
-    "op8_ann": _over("embeddings", vectors.op8),
-    "op9_simhash": _over("documents", simhash.op9),
-    "op10_bpe": _over("documents", bpe.op10),
+    "op1_mixing": _over(mixing.op1, "documents"),
+    "op2_sharding": _over(sharding.op2, "documents"),
+    "op3_rules": _over(quality_rules.op3, "documents"),
+    "op4_licenses": _over(licenses.op4, "documents"),
+    "op5_classifier": _over(classifier.op5, "documents", "labels"),
+    "op6_urls": _over(urls.op6, "pages"),
+    "op7_html": _over(html_text.op7, "pages"),
+    "op8_ann": _over(vectors.op8, "embeddings"),
+    "op9_simhash": _over(simhash.op9, "documents"),
+    "op10_bpe": _over(bpe.op10, "documents"),
 }
 
 ORACLE_SQL: dict[str, str] = {

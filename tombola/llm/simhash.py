@@ -32,35 +32,30 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, lean_batches, shuffle_partitions
+from .common import cut, shuffle_partitions
 from .components import components
+from .jaccard import SHINGLE, bitmap, checked, key_of, missing, named, shingle_hashes, words_of
 
 RADIUS = 3
-SEED = 42
 #: The largest node that is compared as a whole.
 NODE_ROWS = 2048
 FAN = 8
 
-_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes, as a signed long."""
+    ones, n = np.zeros(64, np.int64), len(hashes)
+    for at in range(0, n, 1 << 16):  # so that a very long text needs little memory
+        part = hashes[at : at + (1 << 16)].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
-    """Of a whole text, as a signed long. Words are runs of anything but ASCII
-    white space, which is what bytes.split() takes them for."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return 0
-    ones, n = np.zeros(64, np.int64), max(1, len(words) - shingle + 1)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, n, 1 << 16):  # so that a very long text needs little memory
-        part = [words[k + at : k + min(n, at + (1 << 16))] for k in range(min(shingle, len(words)))]
-        hashes = np.array([digest(s, SEED) for s in map(b" ".join, zip(*part, strict=False))], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+    """Of a whole text."""
+    return folded(shingle_hashes(words_of(text), shingle))
 
 
 def fingerprints(text: Column, shingle: int = 3) -> Column:
@@ -242,31 +237,70 @@ def classes(marked: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) ->
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """One row a document: id, fp (signed long), component_id."""
-    lean_batches(docs)
     marked = cut(docs.select(F.col(id_col), fingerprints(F.col(text), shingle).alias("fp")))
     of = cut(classes(marked, id_col, radius)).select(F.col("fp").alias("of_fp"), "component_id")
     return marked.join(of, F.col("fp") == F.col("of_fp")).select(id_col, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """`docs` with one document of each class: that of the least id, or of the
-    least fingerprint where no id is known. Of rows that repeat both id and
-    fingerprint one stays."""
-    lean_batches(docs)
-    marked = cut(docs.select(F.col(id_col), fingerprints(F.col(text), shingle).alias("fp")))
-    of = cut(classes(marked, id_col, radius))
-    heads = of.select(F.col("fp").alias("of_fp"), F.col("component_id").alias("head"), "class_fp")
-    stay = marked.join(heads, F.col("fp") == F.col("of_fp")).where(F.col(id_col).eqNullSafe(F.col("head")))
-    stay = stay.groupBy("class_fp").agg(F.min("fp").alias("stay_fp"), F.min(id_col).alias("stay_id"))
-    # A class has one row here: its least id, with the least fingerprint of that id.
-    stay = cut(stay.select("stay_id", "stay_fp"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"))
-    unique = marked.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty()
-    if unique:  # ids alone tell which rows stay
-        return rows.join(stay, F.col("key") == F.col("stay_id"), "left_semi").select("row.*")
-    rows = rows.withColumn("fp", fingerprints(F.col(f"row.{text}"), shingle))
-    rows = rows.join(stay, F.col("key").eqNullSafe(F.col("stay_id")) & (F.col("fp") == F.col("stay_fp")), "left_semi")
-    return rows.dropDuplicates(["key", "fp"]).select("row.*")
+def marks(text: Column, shingle: int) -> Column:
+    """A struct of a text's fingerprint, the size and the bitmap of its set of
+    shingles, and, in a batch's first row, the shingles that the batch names."""
+
+    @F.pandas_udf("fp long, size long, bits binary, named array<long>, times array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fps, sets, texts = [], [], set()
+            unlike = []  # one set of each text
+            for t in batch:
+                hashes = shingle_hashes(words_of(t), shingle)
+                fps.append(folded(hashes))
+                sets.append(np.unique(hashes))
+                if t not in texts:
+                    texts.add(t)
+                    unlike.append(sets[-1])
+            out = pd.DataFrame({"fp": pd.array(fps, dtype="int64"), "size": pd.array([len(s) for s in sets], dtype="int64"), "bits": [bitmap(s) for s in sets]})
+            for name, values in zip(("named", "times"), named(unlike), strict=True):
+                out[name] = pd.Series([values.view(np.int64), *[None] * (len(batch) - 1)][: len(batch)], dtype=object)
+            yield out
+
+    return of(text)
+
+
+def similar_links(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """Each row's id and key (a hash of its text), and a, b: pairs of keys that
+    connect all texts whose sets of shingles are similar (see jaccard.py).
+
+    The Gray-order index links fingerprints first, and every link it gives is
+    counted shingle by shingle. Fingerprints within `radius` are far closer than
+    sets of a similarity of 0.8 need be, so what the index can't see is
+    completed by an exact search for similar sets that aren't connected."""
+    texts = docs.select(key_of(F.col(text)).alias("key"), F.col(text).alias("text"))
+    marked = cut(docs.select(F.col(id_col).alias("id"), key_of(F.col(text)).alias("key"), marks(F.col(text), shingle).alias("of")).select("id", "key", "of.*"))
+    filled = marked.where("size > 0")
+    least = cut(filled.groupBy("fp").agg(F.min("key").alias("least")))
+    star = links(least.select("fp"), radius)
+    ends = [least.select(F.col("fp").alias(f"fp_{x}"), F.col("least").alias(x)) for x in "ab"]
+    far = star.toDF("from_fp", "to_fp").join(ends[0], F.col("from_fp") == F.col("fp_a")).join(ends[1], F.col("to_fp") == F.col("fp_b")).select("a", "b")
+    same = filled.join(least.withColumnRenamed("fp", "of_fp"), F.col("fp") == F.col("of_fp")).where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
+    near = checked(far.unionByName(same), texts, shingle)
+    return marked.select("id", "key"), missing(marked, texts, near, shingle)
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """`docs` with one document of each class of similar texts: that of the least
+    id, or of the least key where no id is known. Of rows that repeat both id and
+    text one stays; all texts without a word are copies of each other."""
+    marked, found = similar_links(docs, id_col=id_col, text=text, shingle=shingle, radius=radius)
+    roots = cut(components(found))
+    heads = marked.groupBy("key").agg(F.min("id").alias("id")).join(roots, F.col("key") == F.col("node"), "left")
+    heads = cut(heads.select("key", "id", F.coalesce("root", "key").alias("class")))
+    stay = cut(heads.groupBy("class").agg(F.min_by(F.struct("id", "key"), F.struct(F.col("id").isNull(), "id", "key")).alias("stay")).select("stay.*"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), key_of(F.col(text)).alias("_key"))
+    rows = rows.join(stay, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key")), "left_semi")
+    # Where no row repeats, there is nothing to drop and the sort is spared.
+    if marked.groupBy("id").count().where((F.col("count") > 1) | F.col("id").isNull()).isEmpty():
+        return rows.select("row.*")
+    return rows.dropDuplicates(["_id", "_key"]).select("row.*")
 
 
 def op9(docs: DataFrame) -> DataFrame:
