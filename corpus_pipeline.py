@@ -9,8 +9,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tombola.llm import bpe, classifier, jaccard, mixing, quality_rules
-from tombola.llm.common import cut, table
+from tombola.llm import bpe, classifier, mixing, quality_rules, simhash
+from tombola.llm.common import cut, lean_batches, table
 
 #: The version of the quality rules' policy.
 POLICY = 2
@@ -18,6 +18,7 @@ POLICY = 2
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the co-trained classifier doesn't reject."""
+    lean_batches(spark)
     model = classifier.fit(docs, table(spark, sf_dir, "labels"))
     return classifier.scored(docs, model, "_quality").where("_quality.kept").select(*docs.columns)
 
@@ -29,8 +30,10 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near-duplicates: five-word shingles
-    at a similarity of 0.8 or more."""
-    return jaccard.one_of_each(docs)
+    at a similarity of 0.8 or more. The index links fingerprints; every link is
+    counted, and links it can't see are searched for exactly."""
+    lean_batches(spark)
+    return simhash.one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +44,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, tokens (little-endian unsigned 32-bit
     ids), and the digests of the ids and of what they decode to."""
+    lean_batches(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     out = bpe.encoded_with_digests(docs.select("doc_id", "text", "lang", "source"), path, pattern)
     return out.select("doc_id", "lang", "source", "digest.*")
