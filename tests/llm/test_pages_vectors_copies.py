@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -130,26 +131,87 @@ def test_op7_whole_table(spark):
         ("a < b and <3 <!-- c --> d <!doctype x>e", "a < b and <3 d e"),
         ("<p>cut <a href='x", "cut"),
         ("<title>T</title><p>b&nbsp;c\n\t d", "b c d"),
+        ('<article><h1>t</h1><h2 id="related-work">Related</h2><p>x</p></article>', "t Related x"),
+        ('<article><div class="social-history"><p>real text</p></div></article>', "real text"),
+        ('<div class="post-header-wrap"><article><p>all of it</p></article></div>', "all of it"),
+        ('<div class="header"><article><p>all of it</p></article>menu</div>', "all of it"),
+        ('<div class="social"><p>only this</p></div>', "only this"),
+        ("<article><header>by line</header><p>x</p></article>", "x"),
+        ('<article><p>x</p></article><article class="comment"><p>c</p></article>', "x"),
+        ('<p>see <span class="ad">buy</span> now</p>', "see now"),
+        ("<div>one<div>two</div>three</div>", "one two three"),
+        ("<main><p>m</p><article>art</article></main>", "art"),
     ],
 )
 def test_page_text(page, text):
-    assert html_text.read(page)[0] == text
+    assert html_text.read(page).text() == text
+
+
+def test_deep_and_long_pages_are_read_in_linear_time():
+    began = time.process_time()
+    for inside in ("<div>" * 2000 + "<p>" + "word text here " * 70_000 + "</p>" + "</div>" * 2000, "<div>word " * 100_000, "<b>" * 50_000 + "x", "<ul><li>" * 20_000 + "x"):
+        assert html_text.read(inside).text().endswith(("here", "word", "x"))
+    assert time.process_time() - began < 20
 
 
 def test_templates_are_removed_where_pages_lack_an_article(spark):
     page = lambda k, own: f"<body><div><span>Site name</span> and links</div><div><p>{own}</p><p>Is.</p></div><div>All about us, {k % 2}</div></body>"
-    rows = [(k, "h://a.org/x", page(k, f"text number {k} is only here")) for k in range(12)]
+    own = lambda k: " ".join(f"w{k * 31 % 97}x{n}" for n in range(12))
+    rows = [(k, "h://a.org/x", page(k, own(k))) for k in range(12)]
     rows += [(100 + k, "h://b.org/", page(0, "one and the same article")) for k in range(9)]  # copies aren't a template
-    rows += [(200, None, page(0, "other")), (201, "h://a.org/x", None), (202, "h://a.org/x", page(2, "text number 2 is only here"))]
-    pages = spark.createDataFrame([(*r, "clash", "h") for r in rows], "page_id long, url string, html string, template string, host string")
+    rows += [(200, None, page(0, "other")), (201, "h://a.org/x", None), (202, "h://a.org/x", page(2, own(2)))]
+    pages = spark.createDataFrame([(*r, "clash", "h", 1) for r in rows], "page_id long, url string, html string, marks string, host string, row int")
     out = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
     assert len(out) == len(rows)
-    assert out[3] == "text number 3 is only here" or out[3] == "text number 3 is only here Is."
+    assert all(out[k] == own(k) for k in range(12)) and out[202] == own(2)
     assert "one and the same article" in out[100] and out[201] == "" and "other" in out[200]
-    assert html_text.extract(pages).columns == [*pages.columns, "text"]
+    assert html_text.extract(pages).columns == ["page_id", "url", "marks", "host", "row", "text"]
     assert html_text.op7(pages.where("false")).count() == 0
 
 
+def made_pages():
+    """Sites by host with, for each page, what is left of it: templates are known
+    by how the pages are made."""
+    rnd = random.Random(9)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    rows = []
+    menu, legal, section = words(30), words(250), {k: words(12) for k in range(4)}
+    for k in range(40):  # only div and br; a legal text longer than articles; sections of a quarter of the site
+        own = [words(40), words(25)]
+        rows.append(("div.org", f"<body><div><div>{menu}</div></div><div>{section[k % 4]}</div><div>{own[0]}<br>{own[1]}</div><div><div>{legal}</div></div></body>", f"{own[0]} {own[1]}"))
+    advert = words(15)
+    for tag in ("article", "main"):  # a paragraph of every page, inside
+        for _ in range(12):
+            own = [words(30), words(30)]
+            rows.append((f"{tag}.org", f"<{tag}><h1>{own[0][:20]}</h1><p>{own[0]}</p><p>{advert}</p><p>{own[1]}</p></{tag}><div>{words(3)}</div>", f"{' '.join(own[0][:20].split())} {own[0]} {own[1]}"))
+    base = [words(60) for _ in range(6)]
+    for k in range(40):  # near copies of one article, one or two words changed in each
+        own = list(base)
+        for _ in range(1 + k % 2):
+            at = rnd.randrange(6)
+            changed = own[at].split()
+            changed[rnd.randrange(len(changed))] = words(1)
+            own[at] = " ".join(changed)
+        paragraphs = "".join(f"<p>{p}</p>" for p in own)
+        rows.append(("copies.org", f"<nav>{words(5)}</nav><article>{paragraphs}</article><footer>{words(4)}</footer>", " ".join(own)))
+        rows.append(("plain-copies.org", f"<div>{paragraphs}</div>", " ".join(own)))
+    for _ in range(30):  # exact copies beside others
+        rows.append(("mixed.org", f"<div><p>{menu}</p><p>{base[0]}</p><p>{base[1]}</p></div>", f"{base[0]} {base[1]}"))
+        own = words(50)
+        rows.append(("mixed.org", f"<div><p>{menu}</p><p>{own}</p></div>", own))
+    return [(k, f"https://{host}/{k}", page, left) for k, (host, page, left) in enumerate(rows)]
+
+
+def test_templates_are_told_from_copies(spark):
+    rows = made_pages()
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html_text.op7(pages).collect()}
+    assert {k: out[k] for k, *_ in rows} == {k: left for k, _, _, left in rows}
+    untouched = {k: html_text.read(page).text() for k, _, page, _ in rows}
+    changed = {url.split("/")[2] for k, url, _, _ in rows if untouched[k] != out[k]}
+    assert changed == {"div.org", "article.org", "main.org", "mixed.org"}
+
+
 def brute(ids, x, k=10):
     out = {}
     for n, i in enumerate(ids):
