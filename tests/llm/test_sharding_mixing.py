@@ -71,6 +71,43 @@ def test_mixed_documents_keep_their_columns(spark):
     assert mixing.mixed_documents(docs.where("false")).count() == 0
 
 
+def made(spark):
+    """Repeated ids within and across sources, null ids, whole rows repeated, and
+    columns with names that the operators use."""
+    rows = [(7, "a b c", "x", 1.0), (7, "a b c", "y", 1.0), (7, "d e f", "x", 2.0), (7, "d e f g h", "y", 3.0), (None, "i j", "x", 1.0), (None, "k l", "x", 1.0)]
+    rows += [(None, "m n o", "z", 1.0)] * 40 + [(8, "m n o", "z", float(k)) for k in range(20)] + [(9 + k, f"w{k} v u t", "xyz"[k % 3], 0.5) for k in range(30)]
+    rows += [(100, None, "x", 0.0), (101, "", None, 0.0)]
+    return spark.createDataFrame([(*r, "c", k % 2) for k, r in enumerate(rows)], "doc_id long, text string, source string, _position double, copies string, one int")
+
+
+@pytest.mark.parametrize("share", [0.5, 1.5])
+def test_mixed_documents_take_what_the_mix_takes(spark, share, monkeypatch):
+    monkeypatch.setattr(mixing, "COPY_RUN", 7)
+    docs = made(spark)
+    plan = mixing.mix(docs, share=share).collect()
+    out = mixing.mixed_documents(docs, share=share)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert set(rows) <= set(docs.collect())
+    size = lambda t: len(WORD.findall(t or ""))
+    for s in ("x", "y", "z", None):
+        taken = sum(r["taken"] for r in plan if r["source"] == s)
+        most = max(r["size"] for r in plan if r["source"] == s)
+        assert abs(sum(size(r["text"]) for r in rows if r["source"] == s) - taken) <= most
+        assert abs(taken - next(r["target"] for r in plan if r["source"] == s)) < 1
+    want = sorted((r[0] or 0, r["source"] or "", r["size"]) for r in plan for p in r["passes"] if 2 * p["words"] >= r["size"])
+    assert sorted((r[0] or 0, r["source"] or "", size(r["text"])) for r in rows) == want
+    assert max(rows.count(r) for r in set(rows)) <= 2 * 40
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{k:03d}": (k * 37) % 101 for k in range(150)} | {None: 9}
+    docs = spark.createDataFrame([(k, "w " * n, s) for k, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    want = levels(sizes)
+    for r in mixing.mix(docs).collect():
+        assert r["target"] == pytest.approx(want[r["source"]])
+
+
 def test_inverted_demand(spark):
     """The numerically integrated schedule reaches each share where invert says."""
     from pyspark.sql import functions as F
@@ -113,6 +150,19 @@ def test_shards_of_odd_rows(spark):
     assert sharding.op2(odd(spark).where("false")).count() == 0
 
 
+def test_shards_are_even_where_ids_repeat_or_are_null(spark):
+    rows = [(None, f"text {k:05d}") for k in range(2000)] + [(5, "copy")] * 3000 + [(6, f"t{k}") for k in range(1000)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, shard int, slot int, virtual_slot int")
+    out = sharding.op2(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in out) == sorted((i or 0, len(t) + 1) for i, t in rows)
+    total, places = [0] * 16, [[] for _ in range(16)]
+    for r in out:
+        total[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    assert max(total) - min(total) <= 11
+    assert all(sorted(p) == list(range(len(p))) for p in places) and {r["map_version"] for r in out} == {1}
+
+
 def test_rebalance_moves_few_slots_and_evens_loads():
     load = {s: 100 + s % 7 for s in range(4096)}
     one = sharding.rebalance(sharding.even_map(16), load)

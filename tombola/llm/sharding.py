@@ -1,24 +1,35 @@
 """Sharding through fixed virtual slots.
 
 Every record hashes into one of SLOTS virtual slots, a number that never
-changes. A versioned map says which shard holds each slot. Rebalancing edits the
-map (a new version); records never hash anew, so only the rows of edited slots
-move.
-
-Nulls: a null key hashes like any other value, a null text has no bytes. Equal
-rows share a slot. An empty table gives an empty result under the even map.
+changes. A versioned map says which shard holds each slot. It is stored with
+every version; rebalancing edits it (a new version), and records never hash
+anew, so only the rows of edited slots move.
+
+A record hashes by key, size and checksum of its text, and equal ones by their
+number among their like too, so neither a repeated or null key nor a group of
+copies fills one slot. A slot can only be as small as its largest record.
+
+Nulls: a null key hashes like any other value, a null text has no bytes. Repeated
+rows are records of their own and tie in every order, so it doesn't matter
+which of them has which place. A very long text is one record. Only key and text
+are read, so other columns may have any name. An empty table gives an empty
+result under the even map.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import copies, cut, shared_folder
+
 #: Virtual slots. The map has as many entries, whatever the data, so it may be
 #: collected and broadcast.
 SLOTS = 4096
@@ -110,8 +121,8 @@ def _narrowing(high: set[int], low: set[int], load: dict[int, int], gap: int) ->
     return found
 
 
-def with_slot(df: DataFrame, key: str, slots: int = SLOTS, into: str = "virtual_slot") -> DataFrame:
-    return df.withColumn(into, F.pmod(F.xxhash64(key), F.lit(slots)).cast("int"))
+def with_slot(df: DataFrame, keys: list[str], slots: int = SLOTS, into: str = "virtual_slot") -> DataFrame:
+    return df.withColumn(into, F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int"))
 
 
 def slot_load(df: DataFrame, size: str, slot: str = "virtual_slot") -> dict[int, tuple[int, int]]:
@@ -132,9 +143,15 @@ def store_map(spark: SparkSession, plan: SlotMap, path: str) -> None:
     map_frame(spark, plan).coalesce(1).write.mode("append").parquet(path)
 
 
-def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-    """The stored map of that version, by default the newest."""
-    maps = spark.read.schema(MAP_SCHEMA).parquet(path)
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+    """The stored map of that version, by default the newest; None where nothing
+    is stored yet."""
+    try:
+        maps = spark.read.schema(MAP_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
     if version is None:
         version = maps.agg(F.max("version")).head()[0]
     rows = maps.where(F.col("version") == version).orderBy("slot").collect()
@@ -155,21 +172,30 @@ def assign(df: DataFrame, plan: SlotMap, loads: dict[int, tuple[int, int]], orde
     return df.withColumn("slot_place", F.row_number().over(place).cast("long")).join(F.broadcast(where), "virtual_slot", "left").withColumn("slot", F.col("slot_start") + F.col("slot_place") - 1).drop("slot_start", "slot_place")
 
 
-def shard_by_bytes(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
-    """Each record's key, size (UTF-8 bytes and 1), CRC-32, virtual slot, shard
-    and place, with the map of version 1: the even map, edited until the shards'
-    bytes are near equal."""
-    raw = F.coalesce(F.col(text), F.lit(""))
-    rows = with_slot(docs.select(F.col(key), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32")), key, slots)
+def shard_by_bytes(docs: DataFrame, shards: int, *, maps: str, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """Each record's key, size (UTF-8 bytes and 1), CRC-32, virtual slot, shard,
+    place, and the version of the map. The map is the newest of those stored at
+    `maps` (or the even one), edited until the shards' bytes are near equal; the
+    edited version is stored beside the others."""
+    spark = docs.sparkSession
+    raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"))
+    fields = ["key", "size", "text_crc32", "copy"]
+    rows = cut(with_slot(copies(rows), fields, slots))
     loads = slot_load(rows, "size")
-    plan = rebalance(even_map(shards, slots), {s: b for s, (b, _) in loads.items()})
-    return assign(rows, plan, loads, [key, "size", "text_crc32"]), plan
+    old = load_map(spark, maps)
+    if old is None:
+        old = even_map(shards, slots)
+        store_map(spark, old, maps)
+    store_map(spark, rebalance(old, {s: b for s, (b, _) in loads.items()}, shards), maps)
+    plan = load_map(spark, maps)
+    return assign(rows, plan, loads, fields).withColumn("map_version", F.lit(plan.version)).drop("copy").withColumnRenamed("key", key)
 
 
 def op2(docs: DataFrame) -> DataFrame:
     """All documents in shards 0 to 15 under the law `bytes`."""
-    placed, plan = shard_by_bytes(docs, 16)
+    placed = shard_by_bytes(docs, 16, maps=f"{shared_folder(docs.sparkSession)}/slot-maps-{uuid.uuid4().hex}")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(plan.version).alias("map_version"),
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
     )
