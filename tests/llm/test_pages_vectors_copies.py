@@ -240,6 +240,32 @@ def test_op8_recall_and_scores(spark):
     assert all(v == sorted(v, key=lambda p: (p[1], p[0])) for v in got.values())
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_op8_recall_on_the_table(spark, sf):
+    if not os.path.isdir(f"/root/testdata/{sf}"):
+        pytest.skip("needs the test tables")
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.array(table["embedding"].tolist(), float)
+    want = brute(table["vec_id"].to_numpy(), x)
+    got = {}
+    for r in queries.QUERIES["op8_ann"](spark, f"/root/testdata/{sf}").collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    hits = sum(i in got[q] for q, v in want.items() for i, _ in v)
+    assert hits >= 0.9 * 10 * len(want)
+    assert all(got[q][i] == pytest.approx(s, abs=1e-12) for q, v in want.items() for i, s in v if i in got[q])
+
+
+def test_clustered_vectors_need_few_lists():
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(size=(300, 32)) * 4
+    x = centres[rnd.integers(0, 300, 12_000)] + rnd.normal(size=(12_000, 32)) * 0.3
+    index = vectors.fit(x, len(x), 10)
+    assert index.lists >= 100 and index.probes <= 0.2 * index.lists
+    even = rnd.normal(size=(4000, 32))
+    assert vectors.fit(even, 4000, 10, recall=1.0).probes == vectors.fit(even, 4000, 10, recall=1.0).lists
+
+
 def test_vectors_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (100, [0.0, 1.0]), (200, None), (300, [0.0, 0.0]), (400, [1.0, None]), (500, [float("nan"), 1.0]), (600, [float("inf"), 1.0]), (700, [1.0]), (None, [3.0, 3.0]), (7, [1.0, 0.5]), (7, [1.0, 0.5]), (8, [1.0, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -247,6 +273,10 @@ def test_vectors_of_odd_rows(spark):
     assert [r[:3] for r in out] == [(0, 1, 7), (0, 2, 8), (0, 3, 100), (100, 1, 7), (100, 2, 8), (100, 3, 0)]
     assert vectors.op8(df.where("false")).count() == 0 and vectors.op8(df.where("vec_id = 200")).count() == 0
     assert vectors.op8(df.where("vec_id = 0")).count() == 0
+    # A repeated id asks with one vector, whichever row comes first.
+    twice = [(0, [5.0, 0.0]), (0, [0.0, 5.0]), *[(k, [float(k % 7), float(k % 5)]) for k in range(1, 60)], *[(1000 + k, [2.0, 2.0]) for k in range(30)]]
+    runs = [sorted(vectors.op8(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()) for rows in (twice, twice[::-1])]
+    assert runs[0] == runs[1] and len(runs[0]) == 20
 
 
 def plain_fp(text, k=3):

@@ -1,14 +1,21 @@
 """Approximate nearest neighbours: inverted lists of product-quantised residuals.
 
-Coarse centroids part the vectors into lists. A vector's residual (what is left
-after its list's centroid) is quantised in PARTS parts of 256 codes. A query
+Coarse centroids part the vectors into lists. They are pairs of centroids of the
+two halves of a vector (an inverted multi-index): with the fourth root of the
+number of vectors for each half there are as many lists as its square root, at
+any size, while both halves fit on a bounded sample. A vector's residual (what is
+left after its list's centroid) is quantised in PARTS parts of 256 codes. A query
 probes the lists whose centroids are nearest; a table of its distances to all
 codes of each part ranks a list's vectors by sums of table entries, and the best
 of each list are reranked by exact distance to the original vectors.
 
 The centroids are fitted on a sample of at most TRAIN rows; every row is
 indexed. How many lists to probe and how many of a list to rerank are measured
-on the sample against brute force, for the recall RECALL.
+on the sample against brute force, for the recall RECALL, in the same way at every
+size. How few that are depends on the data: of clustered vectors a few lists
+do, of vectors that fill a sphere evenly about half are needed, as neighbours
+are hardly nearer there than others. recall=1.0 probes and reranks everything: the exact
+way.
 
 A list, and the queries that probe it, are dealt out in pieces of CHUNK vectors
 and BLOCK queries, so a list of any size (one very common vector, say) is no
@@ -16,8 +23,10 @@ single task's work; each piece keeps its k best, which loses nothing.
 
 Nulls: vectors that are null, zero, of another length than most, or that hold
 nulls or non-finite numbers take no part, nor do rows without an id. Rows that
-repeat an id count once, with the nearer vector. With no more rows than k there
-are as many neighbours as other rows. An empty table gives an empty result.
+repeat an id count once, with the nearer vector; as a query such an id asks with
+the vector whose bytes are least. Ties go to the smaller id. With no more rows
+than k there are as many neighbours as other rows. Only id and vector are read,
+so other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,14 +41,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, shuffle_partitions
+from .common import cut, shuffle_partitions, small
 
 TRAIN = 20_000
 PARTS = 16
-RECALL = 0.96
+RECALL = 0.93
 CHUNK, BLOCK = 4096, 512
-#: Lists: about the square root of the number of vectors, within these.
-LISTS = (1, 2048)
+#: Numbers held at once while queries rank lists or vectors.
+HELD = 1 << 22
+#: Up to so many lists their pieces are broadcast, beyond they are joined.
+BROADCAST_LISTS = 100_000
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -68,23 +79,44 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.nd
 
 @dataclass
 class Index:
-    coarse: np.ndarray
+    """halves: the centroids of either half; list i * len(halves[1]) + j has the
+    i-th of the first and the j-th of the second."""
+
+    halves: tuple[np.ndarray, np.ndarray]
     bounds: list[int]
     codes: list[np.ndarray]
     probes: int = 1
     rerank: float = 1.0
 
+    @property
+    def lists(self) -> int:
+        return len(self.halves[0]) * len(self.halves[1])
+
+    def centroid(self, lists: np.ndarray) -> np.ndarray:
+        i, j = np.divmod(lists, len(self.halves[1]))
+        return np.concatenate([self.halves[0][i], self.halves[1][j]], axis=-1)
+
+    def _to_halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.halves[0].shape[1]
+        return _nearest(x[:, :at], self.halves[0]), _nearest(x[:, at:], self.halves[1])
+
     def lists_of(self, x: np.ndarray) -> np.ndarray:
-        return _nearest(x, self.coarse).argmin(1)
+        first, second = self._to_halves(x)
+        return first.argmin(1) * len(self.halves[1]) + second.argmin(1)
+
+    def to_lists(self, x: np.ndarray) -> np.ndarray:
+        """Distances to all lists' centroids, squared, less |x|^2."""
+        first, second = self._to_halves(x)
+        return (first[:, :, None] + second[:, None, :]).reshape(len(x), -1)
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        left = x - self.coarse[lists]
+        left = x - self.centroid(lists)
         parts = [_nearest(left[:, a:b], c).argmin(1) for a, b, c in zip(self.bounds, self.bounds[1:], self.codes, strict=False)]
         return np.stack(parts, axis=1).astype(np.uint8)
 
-    def asymmetric(self, queries: np.ndarray, lists: int, codes: np.ndarray) -> np.ndarray:
+    def asymmetric(self, queries: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
         """Of each query to each coded vector of one list: squared distance."""
-        left = queries - self.coarse[lists]
+        left = queries - self.centroid(np.array(of))
         out = np.zeros((len(queries), len(codes)))
         for k, (a, b, c) in enumerate(zip(self.bounds, self.bounds[1:], self.codes, strict=False)):
             part = left[:, a:b]
@@ -95,31 +127,34 @@ class Index:
 def fit(sample: np.ndarray, rows: int, k: int, recall: float = RECALL) -> Index:
     """An index for `rows` vectors from a sample of them, with the number of
     lists to probe and the share of a list to rerank that give the recall there."""
-    n = min(max(LISTS[0], round(math.sqrt(rows))), LISTS[1])
-    coarse = fit_centres(sample, n)
-    left = sample - coarse[_nearest(sample, coarse).argmin(1)]
-    bounds = [int(b) for b in np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1)]
-    index = Index(coarse, bounds, [fit_centres(left[:, a:b], 256) for a, b in zip(bounds, bounds[1:], strict=False)])
+    width = sample.shape[1]
+    each = max(1, round(rows**0.25))
+    at = (width + 1) // 2
+    halves = fit_centres(sample[:, :at], each), fit_centres(sample[:, at:], each) if width > 1 else np.zeros((1, 0))
+    bounds = [int(b) for b in np.linspace(0, width, min(PARTS, width) + 1)]
+    index = Index(halves, bounds, [])
     lists = index.lists_of(sample)
+    left = sample - index.centroid(lists)
+    index.codes = [fit_centres(left[:, a:b], 256) for a, b in zip(bounds, bounds[1:], strict=False)]
     codes = index.encode(sample, lists)
-    if rows <= 50 * k or len(coarse) == 1:
-        index.probes, index.rerank = len(coarse), 1.0
+    if recall >= 1:
+        index.probes, index.rerank = index.lists, 1.0
         return index
     ranks, places = [], []
     for q in range(0, len(sample), max(1, len(sample) // 200)):
         far = _nearest(sample[q : q + 1], sample)[0]
         far[q] = np.inf
-        true = far.argpartition(min(k, len(far) - 1))[:k]
-        order = np.empty(len(coarse), int)
-        order[_nearest(sample[q : q + 1], coarse)[0].argsort()] = np.arange(len(coarse))
+        true = far.argsort()[: min(k, len(far) - 1)]
+        order = np.empty(index.lists, int)
+        order[index.to_lists(sample[q : q + 1])[0].argsort()] = np.arange(index.lists)
         ranks += list(order[lists[true]] + 1)
         for t in true:
             own = np.flatnonzero(lists == lists[t])
             far_there = index.asymmetric(sample[q : q + 1], lists[t], codes[own])[0]
             places.append(((far_there < far_there[own == t][0]).sum() + 1) / len(own))
     share = (1 + recall) / 2  # either step may lose half of what may be lost
-    index.probes = int(np.quantile(ranks, share, method="higher"))
-    index.rerank = float(min(1.0, np.quantile(places, share, method="higher")))
+    index.probes = int(np.quantile(ranks, share, method="higher")) if ranks else index.lists
+    index.rerank = float(min(1.0, np.quantile(places, share, method="higher"))) if places else 1.0
     return index
 
 
@@ -138,13 +173,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, *, id_col: str = "v
     k nearest other rows among those found, by Euclidean distance in doubles."""
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score double"
-    rows = vectors.where(valid(F.col(vector)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), queries.alias("asks"), F.col(vector).cast("array<double>").alias("vector"))
+    kind = "<f4" if vectors.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
+    rows = vectors.where(valid(F.col(vector)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), queries.alias("asks"), F.col(vector).alias("vector"))
     lengths = rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").head()
     if lengths is None:
         return spark.createDataFrame([], empty)
     width, total = lengths
     rows = rows.where(F.size("vector") == width)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train).select("vector").toPandas()["vector"]
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(train).select("vector").toPandas()["vector"]
     index = fit(np.array(sample.tolist(), dtype=float), total, k, recall)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,53 +188,60 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, *, id_col: str = "v
             x = np.array(batch["vector"].tolist(), dtype=float).reshape(len(batch), width)
             lists = index.lists_of(x)
             codes = index.encode(x, lists)
-            yield pd.DataFrame({"list": lists, "vec_id": batch["vec_id"], "asks": batch["asks"].fillna(False), "raw": [v.tobytes() for v in x], "codes": [c.tobytes() for c in codes]})
+            yield pd.DataFrame({"list": lists, "vec_id": batch["vec_id"], "asks": batch["asks"].fillna(False), "raw": [v.tobytes() for v in x.astype(kind)], "codes": [c.tobytes() for c in codes]})
 
-    index_rows = cut(rows.mapInPandas(coded, "list int, vec_id long, asks boolean, raw binary, codes binary"))
-    # One row a list, of which there are at most LISTS[1].
-    sizes = np.zeros(len(index.coarse), int)
+    index_rows = cut(rows.mapInPandas(coded, "list long, vec_id long, asks boolean, raw binary, codes binary"))
+    # One row a list, of which there are about the square root of all rows.
+    sizes = np.zeros(index.lists, int)
     for list_id, n in index_rows.groupBy("list").count().collect():
         sizes[list_id] = n
 
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = _matrix(batch["raw"], "<f8", width)
-            order = _nearest(x, index.coarse).argsort(1, kind="stable")
-            # Further lists, where those hold too few rows for k neighbours.
-            enough = (sizes[order].cumsum(1) <= 2 * k).sum(1) + 1
-            n = np.minimum(np.maximum(index.probes, enough), order.shape[1])
-            picks = np.concatenate([o[:m] for o, m in zip(order, n, strict=True)]) if len(n) else np.zeros(0, int)
-            at = np.repeat(np.arange(len(batch)), n)
-            yield pd.DataFrame({"list": picks, "query_id": batch["vec_id"].to_numpy()[at], "query": batch["raw"].to_numpy()[at]})
-
-    probes = index_rows.where("asks").dropDuplicates(["vec_id"]).select("vec_id", "raw").mapInPandas(probed, "list int, query_id long, query binary")
-    probes = cut(probes)
+        step = max(1, HELD // index.lists)
+        for whole in batches:
+            for start in range(0, len(whole), step):
+                batch = whole.iloc[start : start + step]
+                order = index.to_lists(_matrix(batch["raw"], kind, width).astype(float)).argsort(1, kind="stable")
+                # Further lists, where those hold too few rows for k neighbours.
+                enough = (sizes[order].cumsum(1) <= 2 * k).sum(1) + 1
+                n = np.minimum(np.maximum(index.probes, enough), order.shape[1])
+                picks = np.concatenate([o[:m] for o, m in zip(order, n, strict=True)])
+                at = np.repeat(np.arange(len(batch)), n)
+                full = sizes[picks] > 0
+                yield pd.DataFrame({"list": picks[full], "query_id": batch["vec_id"].to_numpy()[at][full], "query": batch["raw"].to_numpy()[at][full]})
+
+    asking = index_rows.where("asks").groupBy("vec_id").agg(F.min("raw").alias("raw"))
+    probes = cut(asking.mapInPandas(probed, "list long, query_id long, query binary"))
     asked = np.zeros(len(sizes), int)
     for list_id, n in probes.groupBy("list").count().collect():
         asked[list_id] = n
     chunks, blocks = -(-sizes // CHUNK), -(-asked // BLOCK)
-    pieces = F.broadcast(spark.createDataFrame([(k_, max(1, int(c)), int(b)) for k_, (c, b) in enumerate(zip(chunks, blocks, strict=True)) if b], "list int, chunks int, blocks int"))
+    pieces = spark.createDataFrame([(k_, max(1, int(c)), int(b)) for k_, (c, b) in enumerate(zip(chunks, blocks, strict=True)) if b], "list long, chunks int, blocks int")
+    pieces = small(pieces, BROADCAST_LISTS)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = index_rows.join(pieces, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), each("blocks").alias("block"), "vec_id", "raw", "codes")
     right = probes.join(pieces, "list").select("list", each("chunks").alias("chunk"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block"), "query_id", "query")
 
     def best(key: tuple, there: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(there) and len(asking):
             there = there.sort_values("vec_id", kind="stable")
-            ids, x, codes = there["vec_id"].to_numpy(), _matrix(there["raw"], "<f8", width), _matrix(there["codes"], "u1", len(index.codes))
+            ids, x, codes = there["vec_id"].to_numpy(), _matrix(there["raw"], kind, width).astype(float), _matrix(there["codes"], "u1", len(index.codes))
             depth = min(len(ids), max(2 * k, math.ceil(index.rerank * len(ids)) + k))
-            for at in range(0, len(asking), 64):
-                part = asking.iloc[at : at + 64]
-                q = _matrix(part["query"], "<f8", width)
-                near = index.asymmetric(q, key[0], codes)
-                for query_id, own, far in zip(part["query_id"], q, near, strict=True):
-                    picks = far.argsort(kind="stable")[:depth]
-                    picks = picks[ids[picks] != query_id]
-                    exact = np.sqrt(((x[picks] - own) ** 2).sum(1))
-                    first = np.lexsort((ids[picks], exact))[:k]
-                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[picks][first], "score": exact[first]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            q, q_ids = _matrix(asking["query"], kind, width).astype(float), asking["query_id"].to_numpy()
+            for at in range(0, len(q), step := max(1, HELD // (len(ids) + depth * width))):
+                own, own_ids = q[at : at + step], q_ids[at : at + step]
+                near = index.asymmetric(own, key[0], codes)
+                near[own_ids[:, None] == ids] = np.inf
+                # Stable and by id, so that of equal vectors the least ids are taken.
+                picks = np.sort(near.argsort(1, kind="stable")[:, :depth], axis=1)
+                exact = np.sqrt(((x[picks] - own[:, None]) ** 2).sum(2))
+                exact[ids[picks] == own_ids[:, None]] = np.inf
+                first = exact.argsort(1, kind="stable")[:, :k]
+                found = np.take_along_axis(exact, first, 1).ravel()
+                good = np.isfinite(found)
+                out.append((np.repeat(own_ids, first.shape[1])[good], ids[np.take_along_axis(picks, first, 1)].ravel()[good], found[good]))
+        return pd.DataFrame({name: np.concatenate(c) for name, c in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
     n = shuffle_partitions(spark)
     key = ["list", "chunk", "block"]
