@@ -35,36 +35,34 @@ def ruled(host, path):
 
 def plain_scores(rows):
     """The models and scores in plain Python."""
-    alphabet = urls.SYMBOLS
-    text = lambda h, p: re.sub("[^0a-z/._?=&#%:+,;-]", "~", re.sub("[0-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), h + p))) + "$"
-    grams = lambda t: [("^^" + t)[i : i + 3] for i in range(len(t))]
-    counts = {True: {}, False: {}}
+    order = urls.ORDER
+    text = lambda h, p: "\x02" * order + re.sub("[A-Z]", lambda m: m[0].lower(), h + p) + "\x03"
+    grams = lambda t: [t[i : i + order + 1] for i in range(len(t) - order)]
+    after = {True: {}, False: {}}  # context -> character -> times
     for h, p in rows:
         verdict = ruled(h, p)[1]
         if verdict:
             for g in grams(text(h, p)):
-                for w in (0, 1, 2):
-                    key = (w, g[2 - w : 2], g[2])
-                    counts[verdict == "allow"][key] = counts[verdict == "allow"].get(key, 0) + 1
-    met = {g[:2] for h, p in rows if ruled(h, p)[1] for g in grams(text(h, p))}
+                for w in range(order + 1):
+                    own = after[verdict == "allow"].setdefault((w, g[order - w : order]), {})
+                    own[g[order]] = own.get(g[order], 0) + 1
+    alphabet = {c for kind in after.values() for c in kind.get((0, ""), ())}
 
     def log_p(kind, g):
-        own, p = counts[kind], 1 / len(alphabet)
-        for w in (0, 1, 2):
-            after = {c: own[w, g[2 - w : 2], c] for c in alphabet if (w, g[2 - w : 2], c) in own}
-            every = sum(after.values())
-            if every:
-                p = (after.get(g[2], 0) + len(after) * p) / (every + len(after))
+        p = 1 / (len(alphabet) + 1)
+        for w in range(order + 1):
+            both = [after[k].get((w, g[order - w : order]), {}) for k in (True, False)]
+            if w and sum(sum(x.values()) for x in both) < urls.SUPPORT:
+                continue
+            own = both[0] if kind else both[1]
+            if own:
+                p = (own.get(g[order], 0) + len(own) * p) / (sum(own.values()) + len(own))
         return math.log(p)
 
-    memo = {}
     out = []
     for h, p in rows:
-        t = text(h, p)
-        for g in grams(t):
-            if g not in memo:
-                memo[g] = log_p(True, g) - log_p(False, g) if g[:2] in met and counts[True] and counts[False] else 0.0
-        out.append(sum(memo[g] for g in grams(t)) / len(t))
+        each = [round((log_p(True, g) - log_p(False, g)) * 1e6) if after[True] and after[False] else 0 for g in grams(text(h, p))]
+        out.append(sum(each) / 1e6 / len(each))
     return out
 
 
@@ -96,6 +94,18 @@ def test_urls_of_odd_rows(spark):
     assert {r["verdict"] for r in urls.op6(pages.where("page_id < 4")).collect()} == {"allow"}  # nothing to learn from
 
 
+def test_what_the_models_gather_grows_with_the_examples(spark):
+    """Words that differ in their fifth character only, and letters beyond ASCII,
+    tell accepted URLs from rejected ones."""
+    rows = [(k, f"h://a{k % 9}.org/shop{'aé'[k % 2]}") for k in range(60)] + [(100 + k, f"h://a{k % 9}.com/de/shop{'bж'[k % 2]}") for k in range(60)]
+    rows += [(1000, "h://x.net/shopa"), (1001, "h://x.net/shopé"), (1002, "h://x.net/shopb"), (1003, "h://x.net/shopж")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    score = {r["page_id"]: r["score"] for r in urls.op6(pages).collect()}
+    assert min(score[1000], score[1001]) > max(score[1002], score[1003])
+    counts = [urls.counted(pages.where(f"page_id % 100 < {n}").select(F.lit(True).alias("accepted"), urls.characters(F.lit(""), F.col("url")).alias("chars"))).count() for n in (5, 60)]
+    assert counts[1] > counts[0]
+
+
 def test_the_model_tells_rejected_urls_apart(spark):
     rnd = random.Random(2)
     word = lambda letters: "".join(rnd.choice(letters) for _ in range(8))

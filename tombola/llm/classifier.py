@@ -13,9 +13,12 @@ labelled documents of each kind and POOL unlabelled ones. Scoring covers all.
 
 Nulls: a null text is empty; a null language, source or length is a value of its
 own. Labels other than 0 and 1 and labels without an id are ignored. If either
-kind of label is missing nothing can be learnt: every score is 0.5 and every
-document passes. Repeated rows are scored alike. An empty table gives an empty
-result.
+kind has fewer than two labelled documents, one to fit and one to hold out, nothing
+can be learnt: every score is 0.5 and every document passes. Of an id with both labels the lower counts. Rows that
+repeat an id are examples each; repeated rows are scored alike. Equally sure
+documents are handed over by the order of their ids' hashes. Texts are read whole,
+however long. Columns that documents have besides may have any name; the one the
+result goes into is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -165,7 +168,7 @@ def _view_columns(text: Column, lang: Column, source: Column, n_chars: Column) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained | None:
-    """None if either kind of label is missing. Reads the columns doc_id, text,
+    """None if either kind has fewer than two labelled documents. Reads the columns doc_id, text,
     lang, source and n_chars of docs, and doc_id and quality of labels."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     known = labels.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label"))
@@ -182,22 +185,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, pool: i
     held = np.zeros(len(label), bool)
     for kind in (0, 1):  # every fourth labelled document of each kind
         at = np.flatnonzero(label == kind)
-        held[at[3::4] if len(at) > 3 else at] = True
-        if not len(at):
+        if len(at) < 2:
             return None
-    if not ((label == 1) & ~held).any() or not ((label == 0) & ~held).any():
-        held[:] = False
-        return _without_holdout(views, label)
+        held[at[1::4]] = True
     return co_train(views, label, held, rounds)
 
 
-def _without_holdout(views: list[np.ndarray], label: np.ndarray) -> CoTrained:
-    """Too few labels to hold any out: one fit, calibrated on its own examples."""
-    known = label >= 0
-    models = [Logistic().fit(x[known], label[known].astype(float)) for x in views]
-    return CoTrained([(m, Logistic().fit(m.odds(x[known])[:, None], label[known].astype(float))) for m, x in zip(models, views, strict=True)], 0.25)
-
-
 def scored(docs: DataFrame, model: CoTrained | None, into: str = "quality") -> DataFrame:
     """`docs` with a struct of text_score, metadata_score, score and kept; a
     column of that name is replaced."""

@@ -18,9 +18,10 @@ of their hashes. Bitmaps differ in no more bits than sets in elements, so what
 they rule out does not link. A shingle of over PART sets is dealt in pairs of
 blocks; sets that are connected already are not compared with each other.
 
-Checks. The pairs left are counted shingle by shingle. A first round tries, in
-each block, one pair a document; the second tries all pairs that are not
-connected by then, so a large class of near copies needs few of its pairs.
+Checks. The pairs left are counted shingle by shingle, in three rounds, each of
+which spares what is connected by then: in each block of every set the nearest by
+bitmap, then the nearest of each other class, then all that have not been tried. So
+a large class of near copies needs few of its pairs.
 
 Shingles and whole texts are known by 64-bit hashes. Nulls: a null text, an
 empty one and white space are copies of each other, without shingles, and link
@@ -31,7 +32,7 @@ table has no links.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,10 @@ SEED = 42
 NAMED, FREQUENT = 3, 100_000
 #: The most sets of one shingle in a block.
 PART = 512
+#: Rounds of finding out what is connected before sets are compared.
+KNOWN_ROUNDS = 1
+#: Keys by which a task knows copies again.
+KEYS_KEPT = 1_000_000
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -87,7 +92,7 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.n
 
 def bitmap(hashes: np.ndarray) -> bytes:
     """Parities of hashes by their last bits; the larger a set, the more bits."""
-    width = 1 << min(16, max(6, (max(1, len(hashes)) - 1).bit_length()))
+    width = 1 << min(16, max(6, (4 * max(1, len(hashes)) - 1).bit_length()))
     odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -99,17 +104,17 @@ def named(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[often], counts[often]
 
 
-def close(sizes: np.ndarray, maps: list[bytes], roots: np.ndarray, one_each: bool = False) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set the others of other roots that sizes and bitmaps let be
-    similar, each pair once; with one_each, a set is named once at most. Sets
-    come in order of size."""
+def close(sizes: np.ndarray, maps: list[bytes], roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs i, j of sets with two roots that sizes and bitmaps let be similar,
+    and how far apart their bitmaps are, as a share of what may be. Sets come in
+    order of size."""
     over, under = SIMILAR
     values, counts = np.unique(roots, return_counts=True)
     minor = roots != values[counts.argmax()]  # of a pair with two roots one is
     widths = np.array([len(m) for m in maps])
     kinds = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
     bits = {w: np.frombuffer(b"".join(maps[k] for k in at), np.uint64).reshape(len(at), -1) for w, at in kinds.items()}
-    tried = np.zeros(len(maps), bool)
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
     for w, at in kinds.items():
         sides = [(at, bits[w])]
         if 2 * w in kinds:  # the wider bitmap, its halves laid over each other
@@ -125,16 +130,24 @@ def close(sizes: np.ndarray, maps: list[bytes], roots: np.ndarray, one_each: boo
                     there = ranges[side][1]
                     there = there[(there >= first) & (there < last)]
                 there = there[roots[others[there]] != roots[i]]
-                if one_each:
-                    there = there[~tried[others[there]]]
                 if not len(there):
                     continue
                 apart = np.bitwise_count(bits[w][k] ^ other_bits[there]).sum(axis=1, dtype=np.int64)
                 # |A - B| + |B - A| is at most this share of |A| + |B|.
-                there = others[there[(under + over) * apart <= (under - over) * (sizes[i] + sizes[others[there]])]]
-                if len(there):
-                    tried[there] = True
-                    yield int(i), there
+                far = (under + over) * apart / ((under - over) * (sizes[i] + sizes[others[there]]))
+                good = far <= 1
+                out.append((np.full(int(good.sum()), i), others[there[good]], far[good]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, roots: np.ndarray, each_root: bool) -> np.ndarray:
+    """Of pairs those that are some set's nearest, or, with each_root, its nearest
+    of some other root."""
+    ends, others = np.r_[i, j], np.r_[j, i]
+    order = np.lexsort((np.r_[far, far], roots[others], ends)) if each_root else np.lexsort((np.r_[far, far], ends))
+    ends, others = ends[order], roots[others[order]]
+    first = np.r_[True, (ends[1:] != ends[:-1]) | (each_root & (others[1:] != others[:-1]))]
+    return np.unique(order[first] % len(i))
 
 
 def key_of(text: Column) -> Column:
@@ -156,7 +169,12 @@ def _pairs(found: set) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _candidates(dealt: DataFrame, one_each: bool) -> DataFrame:
+#: What a round tries in a block: of each set the nearest, of each set the nearest
+#: of each other root, and all that are left.
+ROUNDS = ("nearest", "each root", "all")
+
+
+def _candidates(placed: DataFrame, turn: str) -> DataFrame:
     """a, b: pairs of keys in a block that may be similar and have two roots."""
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -164,9 +182,11 @@ def _candidates(dealt: DataFrame, one_each: bool) -> DataFrame:
             return
         rows = sorted(rows)
         sizes, keys, roots = (np.array([r[k] for r in rows]) for k in (0, 1, 3))
-        for i, js in close(sizes, [r[2] for r in rows], roots, one_each):
-            for j in js:
-                yield min(keys[i], keys[j]), max(keys[i], keys[j])
+        i, j, far = close(sizes, [r[2] for r in rows], roots)
+        if len(i) and turn != "all":
+            picked = nearest(i, j, far, roots, turn == "each root")
+            i, j = i[picked], j[picked]
+        yield from zip(np.minimum(keys[i], keys[j]).tolist(), np.maximum(keys[i], keys[j]).tolist(), strict=True)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -183,12 +203,47 @@ def _candidates(dealt: DataFrame, one_each: bool) -> DataFrame:
         found.update(pairs(held))
         yield _pairs(found)
 
-    dealt = dealt.repartition(shuffle_partitions(dealt.sparkSession), "h", "x", "y").sortWithinPartitions("h", "x", "y")
-    return dealt.select("h", "x", "y", "size", "key", "bits", "root").mapInArrow(within, "a long, b long").distinct()
+    placed = placed.repartition(shuffle_partitions(placed.sparkSession), "list", "x", "y").sortWithinPartitions("list", "x", "y")
+    return placed.select("list", "x", "y", "size", "key", "bits", "root").mapInArrow(within, "a long, b long").distinct()
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """list, sets, key: the sets (in order of h, then key) that a shingle h
+    shares, if there are two or more. A list's number is a hash of its keys, so
+    shingles of the same sets have the same list."""
+
+    def shared(h: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        sizes = np.diff(np.r_[first, len(h)])
+        many = sizes > 1
+        mixed = key.view(np.uint64).copy()
+        number = np.zeros(len(first), np.uint64)
+        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(factor)
+            mixed ^= mixed >> np.uint64(32)
+            number = number * np.uint64(0x165667B19E3779F9) + np.add.reduceat(mixed, first)
+        alike = np.stack([number, key[first].view(np.uint64), sizes.astype(np.uint64)])
+        _, once = np.unique(alike, axis=1, return_index=True)
+        keep = np.zeros(len(first), bool)
+        keep[once] = many[once]
+        rows = np.repeat(keep, sizes)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(number, sizes)[rows].view(np.int64)), pa.array(np.repeat(sizes, sizes)[rows]), pa.array(key[rows])], ["list", "sets", "key"])
+
+    rest = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    for batch in batches:
+        h, key = (np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns, strict=True))
+        once = np.r_[True, (h[1:] != h[:-1]) | (key[1:] != key[:-1])][: len(h)]
+        h, key = h[once], key[once]
+        end = int(np.searchsorted(h, h[-1])) if len(h) else 0  # the last may go on
+        if end:
+            yield shared(h[:end], key[:end])
+        rest = [h[end:], key[end:]]
+    if len(rest[0]):
+        yield shared(*rest)
 
 
 def checked(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Those of `pairs` (a, b) that are similar. texts: key and text."""
+    """Those of `pairs` (a, b, written already) that are similar. texts: key and text."""
 
     @F.pandas_udf("binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -206,7 +261,6 @@ def checked(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataF
                 out.append(both > 0 and under * both >= over * (len(a) + len(b) - both))
             yield pd.Series(out, dtype=bool)
 
-    pairs = cut(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     known = texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     sets = cut(known.select("key", of("text").alias("hashes")))
@@ -215,35 +269,45 @@ def checked(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataF
     return cut(both.where(similar("left", "right")).select("a", "b"))
 
 
-def missing(marked: DataFrame, texts: DataFrame, known: DataFrame, shingle: int = SHINGLE, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def missing(marked: DataFrame, texts: DataFrame, known: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """a, b: the links of `known` (a, b) and those that are missing there to
     connect all sets that are similar. marked: key, size, bits, named and times,
     a row a text or more."""
-    check = check or (lambda pairs: checked(pairs, texts, shingle))
-    order = marked.sparkSession.sparkContext.broadcast(frequent(marked))
+    spark = marked.sparkSession
+    order = spark.sparkContext.broadcast(frequent(marked))
 
     @F.pandas_udf("array<long>")
-    def first(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([prefix(shingles(t, shingle), *order.value).view(np.int64) for t in batch], dtype=object)
-
-    firsts = cut(texts.select(F.explode(first("text")).alias("h"), "key").distinct())
-    # One shingle of each list of sets; two hashes of a list stand for it.
-    lists = firsts.groupBy("h").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("two"))
-    lists = cut(lists.where("sets > 1").groupBy("sets", "one", "two").agg(F.min("h").alias("h")).select("h", "sets"))
-    shared = cut(firsts.join(lists, "h"))
+    def first(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        met: set[int] = set()
+        for texts, keys in batches:
+            out = []
+            for t, key in zip(texts, keys, strict=True):
+                if key in met:  # copies in a task count once
+                    out.append(None)
+                    continue
+                if len(met) < KEYS_KEPT:
+                    met.add(key)
+                out.append(prefix(shingles(t, shingle), *order.value).view(np.int64))
+            yield pd.Series(out, dtype=object)
+
+    firsts = texts.select(F.explode(first("text", "key")).alias("h"), "key")
+    firsts = firsts.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "key")
+    shared = cut(firsts.mapInArrow(_lists, "list long, sets long, key long").distinct())
     sets = marked.join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    sets = cut(sets)
     blocks = F.ceil(F.col("sets") / PART).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    dealt = shared.select("h", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("h", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    sets = cut(sets)
-
-    def placed(links: DataFrame) -> DataFrame:
-        roots = cut(components(links))
-        of = sets.join(roots, F.col("key") == F.col("node"), "left").select("key", "size", "bits", F.coalesce("root", "key").alias("root"))
-        return dealt.join(of, "key")
-
-    found = check(_candidates(placed(known), True))
-    known = cut(known.unionByName(found))
-    return known.unionByName(check(_candidates(placed(known), False)))
+    dealt = shared.select("list", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("list", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    tried = None
+    for turn in ROUNDS:
+        # What is known to be connected is only spared, so a few rounds do.
+        roots = cut(components(known, rounds=KNOWN_ROUNDS).groupBy("node").agg(F.min("root").alias("root")))
+        rooted = cut(dealt.join(roots, F.col("key") == F.col("node"), "left").select("list", "key", "x", "y", F.coalesce("root", "key").alias("root")))
+        open_blocks = rooted.groupBy("list", "x", "y").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("list", "x", "y")
+        placed = rooted.join(open_blocks, ["list", "x", "y"], "left_semi").join(sets, "key")
+        pairs = _candidates(placed, turn)
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        known = cut(known.unionByName(checked(pairs, texts, shingle)))
+        tried = pairs if tried is None else cut(tried.unionByName(pairs))
+    return known

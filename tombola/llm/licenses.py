@@ -10,11 +10,16 @@ Texts are compared as words: letters A-Z in lower case, words are runs of ASCII
 letters and digits and of anything beyond ASCII, joined by single spaces.
 
 Nulls: a null text is empty and has no words, labels or places. Repeated rows
-are scanned alike. Texts are scanned whole. An empty table gives an empty result.
+are scanned alike, and ids don't matter. Texts are scanned whole, however long: a
+window around a seed is bounded, so time is linear. Of overlapping matches of one
+notice the one with the fewest edits stays, in a tie the earliest. Columns that
+documents have besides may have any name; the one the result goes into is
+replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -27,6 +32,10 @@ from pyspark.sql import functions as F
 
 #: Edits allowed for every so many characters of a notice.
 EDITS_PER = 10
+#: Characters in a run that a window has to share with a notice often enough.
+GRAM = 3
+#: Verified windows that a Python worker remembers.
+WINDOWS_KEPT = 50_000
 
 #: Exact phrases (words, label).
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -85,29 +94,55 @@ class Scanner:
         for seed, uses in seeds.items():
             self.automaton.add_word(seed, (len(seed), uses))
         self.automaton.make_automaton()
+        self.windows: dict[tuple[int, str], list[tuple[int, int, int]]] = {}
 
     def scan(self, joined: str) -> list[Found]:
-        """All matches of each notice that don't overlap, the best fit of each."""
-        windows: dict[int, list[list[int]]] = {}
+        """Matches of each notice that don't overlap, those with the fewest edits
+        first (then the earliest)."""
+        starts: dict[int, set[int]] = {}
         for last, (length, uses) in self.automaton.iter(joined):
             for notice, offset in uses:
-                text, _, k = self.notices[notice]
-                start = max(0, last + 1 - length - offset - k)
-                end = last + 1 - length - offset + len(text) + k
-                own = windows.setdefault(notice, [])
-                if own and start <= own[-1][1]:  # seeds come by their ends
-                    own[-1] = [min(start, own[-1][0]), max(end, own[-1][1])]
-                else:
-                    own.append([start, end])
+                starts.setdefault(notice, set()).add(last + 1 - length - offset)
         out = []
-        for notice, spans in windows.items():
-            text, label, _ = self.notices[notice]
-            for start, end in spans:
-                for m in self.patterns[notice].finditer(joined, start, min(end, len(joined))):
-                    edits = sum(m.fuzzy_counts)
-                    out.append(Found(label, m.start(), m.end(), edits, 1 - edits / len(text)))
+        for notice, places in starts.items():
+            text, label, k = self.notices[notice]
+            found: set[tuple[int, int, int]] = set()
+            first = last = None
+            for place in [*sorted(places), None]:
+                # Seeds that put the notice at about one place share a window, which
+                # is never longer than the notice and four times its edits.
+                if first is not None and (place is None or place - first > 2 * k):
+                    begin = max(0, first - k)
+                    for start, end, edits in self._verified(notice, joined[begin : max(begin, last + len(text) + k)]):
+                        found.add((edits, begin + start, begin + end))
+                    first = None
+                if first is None:
+                    first = place
+                last = place
+            taken: list[tuple[int, int]] = []  # in order, not overlapping
+            for edits, start, end in sorted(found):
+                at = bisect.bisect(taken, (start, end))
+                if (not at or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+                    taken.insert(at, (start, end))
+                    out.append(Found(label, start, end, edits, 1 - edits / len(text)))
         return sorted(out, key=lambda f: (f.start, f.label, f.end))
 
+    def _verified(self, notice: int, window: str) -> list[tuple[int, int, int]]:
+        """The notice's matches in a window; windows repeat, so they are kept."""
+        known = self.windows.get((notice, window))
+        if known is None:
+            text, _, k = self.notices[notice]
+            there = {window[i : i + GRAM] for i in range(len(window) - GRAM + 1)}
+            # An edit spoils GRAM runs of characters at most.
+            met = sum(text[i : i + GRAM] in there for i in range(len(text) - GRAM + 1))
+            known = []
+            if met >= len(text) - GRAM + 1 - GRAM * k:
+                known = [(m.start(), m.end(), sum(m.fuzzy_counts)) for m in self.patterns[notice].finditer(window)]
+            if len(self.windows) >= WINDOWS_KEPT:
+                self.windows.clear()
+            self.windows[notice, window] = known
+        return known
+
 
 def places(joined: str, phrase: str) -> list[int]:
     """The numbers of the words at which the phrase's words stand in a row."""

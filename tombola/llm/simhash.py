@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, shuffle_partitions
-from .components import components
+from .components import components, least_of
 from .jaccard import SHINGLE, bitmap, checked, key_of, missing, named, shingle_hashes, words_of
 
 RADIUS = 3
@@ -171,22 +171,6 @@ def close_pairs(bucket: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tup
         yield from descend(2, *pruned(2, i, i + step, none, np.zeros(len(i), np.int64)))
 
 
-def _least(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each of n entries the least one it is connected with."""
-    root = np.arange(n)
-    for i, j in pairs:
-        while True:
-            a, b = root[i], root[j]
-            apart = a != b
-            if not apart.any():
-                break
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while (root[root] != root).any():
-                root = root[root]
-    return root
-
-
 def links(distinct: DataFrame, radius: int = RADIUS, rows: int = NODE_ROWS) -> DataFrame:
     """a, b: pairs of fingerprints that connect all that link: in each node,
     every fingerprint with the first of those it is connected with there."""
@@ -197,7 +181,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, rows: int = NODE_ROWS) -> D
 
         def linked(path: np.ndarray, shared: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             bucket = np.cumsum(np.r_[False, (path[1:] != path[:-1]) | (shared[1:] != shared[:-1])])
-            root = _least(len(fp), close_pairs(bucket, fp.view(np.uint64), radius))
+            root = least_of(len(fp), close_pairs(bucket, fp.view(np.uint64), radius))
             far = np.flatnonzero(root != np.arange(len(fp)))
             return pa.RecordBatch.from_arrays([pa.array(fp[root[far]]), pa.array(fp[far])], ["a", "b"])
 
@@ -282,7 +266,7 @@ def similar_links(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     ends = [least.select(F.col("fp").alias(f"fp_{x}"), F.col("least").alias(x)) for x in "ab"]
     far = star.toDF("from_fp", "to_fp").join(ends[0], F.col("from_fp") == F.col("fp_a")).join(ends[1], F.col("to_fp") == F.col("fp_b")).select("a", "b")
     same = filled.join(least.withColumnRenamed("fp", "of_fp"), F.col("fp") == F.col("of_fp")).where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
-    near = checked(far.unionByName(same), texts, shingle)
+    near = checked(cut(far.unionByName(same)), texts, shingle)
     return marked.select("id", "key"), missing(marked, texts, near, shingle)
 
 

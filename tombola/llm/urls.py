@@ -2,20 +2,26 @@
 
 Rules name hosts and paths to allow or to block. URLs that a rule decides are the
 examples: of accepted and of rejected URLs, character models of variable order
-are counted over all of them. A model's probability of a character after two
-others blends that context's counts with those of the shorter contexts, each
-weighing as much as it has seen (Witten and Bell). A URL's score is the
-difference of its log-likelihoods under both, divided by its length; URLs at or
-above a threshold, calibrated on the examples, are allowed.
-
-Everything is DataFrame functions. Characters are mapped to CLASSES symbols, so
-the models have at most CLASSES ** 3 entries however large the corpus is; that
-bound is why they may be broadcast.
+are counted over all of them. A model's probability of a character after those
+before it blends the counts of contexts of up to ORDER characters, each longer
+one weighing as much as it has seen (Witten and Bell). A context takes part from
+SUPPORT occurrences on, so the more examples there are, the longer are the
+contexts that count. A URL's score is the difference of its log-likelihoods
+under both, divided by its length; URLs at or above a threshold, calibrated on
+the examples, are allowed.
+
+Everything is DataFrame functions. Characters are taken as they are. The models
+grow with the corpus: grams are counted by partial aggregates, and are joined
+with the URLs by a broadcast only if a count shows them to be few, otherwise by
+a shuffle that AQE can split.
 
 Nulls: a null URL, or one without `://`, has an empty host and path; the model
-judges the empty text, whose score is 0. Repeated rows keep their number. If
-there are no examples of either kind, the threshold is 0 and so is every score:
-all are allowed. An empty table gives an empty result.
+judges the empty text, which is its end mark only. Repeated rows are judged
+each for itself, and rows may repeat or lack ids. A very long URL is read whole,
+in linear time. A score equal to the threshold allows; of rules of equal length
+the first fits. If there are no examples of either kind, the threshold is 0 and
+so is every score: all are allowed. Only id and url are read, so other columns
+may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,11 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, small
 
-#: Symbols: ^ begins a URL, $ ends it, 0 is any digit, ~ is any other character.
-SYMBOLS = "^$0~abcdefghijklmnopqrstuvwxyz/.-_?=&#%:+,;"
-CLASSES = len(SYMBOLS)
+#: Characters of context at most, and how often a context has to occur.
+ORDER, SUPPORT = 5, 4
+#: What stands before a URL's first character and after its last.
+BEFORE, END = "\u0002", "\u0003"
+#: Up to so many grams (some 60 bytes each) are broadcast, beyond they are joined.
+BROADCAST_GRAMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -69,58 +78,67 @@ def decide(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column,
     return name, verdict
 
 
-def symbols(host: Column, path: Column) -> Column:
-    """Host and path over SYMBOLS, lower case, with the end marked. Accented
-    letters and anything else outside the symbols become ~."""
-    raw = ascii_lower(F.concat(host, path))
-    raw = F.regexp_replace(raw, "[0-9]", "0")
-    return F.concat(F.regexp_replace(raw, "[^0a-z/._?=&#%:+,;-]", "~"), F.lit("$"))
-
-
-def grams(texts: DataFrame, text: str = "symbols") -> DataFrame:
-    """One row a character: c1 and c2 before it (^ before the start), and c."""
-    chars = F.explode(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(F.concat(F.lit("^^"), F.col(text)), i, F.lit(3))))
-    return texts.select("*", chars.alias("gram"))
-
-
-def models(examples: DataFrame, symbols_col: str = "symbols", accepted: str = "accepted") -> DataFrame:
-    """gram, ratio: for each gram met in an example the difference of its log
-    probabilities under the models of accepted and of rejected URLs, and for each
-    gram of which only the shorter context was met. One row a context and
-    character of the alphabet: at most CLASSES ** 3."""
-    counts = cut(grams(examples.select(symbols_col, accepted), symbols_col).groupBy(accepted, "gram").agg(F.count("*").alias("n")))
-    # Every gram that may occur: the contexts met, each with every symbol. What
-    # follows has at most CLASSES ** 3 rows and no longer depends on the corpus.
-    alphabet = F.explode(F.array(*[F.lit(c) for c in SYMBOLS])).alias("c")
-    contexts = counts.select(F.substring("gram", 1, 2).alias("two")).distinct()
-    both = F.explode(F.array(F.lit(True), F.lit(False))).alias(accepted)
-    at = contexts.select("two", alphabet).select(F.col("two"), F.substring("two", 2, 1).alias("one"), "c", both)
-    p = F.lit(1.0 / CLASSES)
-    for width in (0, 1, 2):  # symbols of context
-        own = counts.select(accepted, F.expr(f"right(gram, {width + 1})").alias("g"), "n").groupBy(accepted, "g").agg(F.sum("n").alias(f"n{width}"))
-        total = own.groupBy(accepted, F.expr(f"substring(g, 1, {width})").alias("t")).agg(F.sum(f"n{width}").alias(f"all{width}"), F.count("*").alias(f"kinds{width}"))
-        context = {0: F.lit(""), 1: F.col("one"), 2: F.col("two")}[width]
-        at = at.withColumn("_g", F.concat(context, F.col("c"))).withColumn("_t", context)
-        at = at.join(own.withColumnRenamed(accepted, "_a"), (F.col(accepted) == F.col("_a")) & (F.col("_g") == F.col("g")), "left").drop("_a", "g")
-        at = at.join(total.withColumnRenamed(accepted, "_a"), (F.col(accepted) == F.col("_a")) & (F.col("_t") == F.col("t")), "left").drop("_a", "t", "_g", "_t")
-        n, every, kinds = (F.coalesce(F.col(f"{x}{width}"), F.lit(0)) for x in ("n", "all", "kinds"))
-        p = F.when(every > 0, (n + kinds * p) / (every + kinds)).otherwise(p)
-    logs = F.sum(F.when(F.col(accepted), F.log(p)).otherwise(-F.log(p)))
-    seen = F.countDistinct(F.when(F.col("all0") > 0, F.col(accepted)))
-    return at.groupBy(F.concat("two", "c").alias("gram")).agg(logs.alias("ratio"), seen.alias("kinds")).select("gram", F.when(F.col("kinds") == 2, F.col("ratio")).otherwise(F.lit(0.0)).alias("ratio"))
-
-
-def scores(urls: DataFrame, model: DataFrame, keys: list[str], symbols_col: str = "symbols") -> DataFrame:
-    """`keys`, score, copies: per distinct key its length-normalised ratio and
-    the number of rows that have it. A row's characters stay in its task, where
-    they are summed before anything is shuffled. A gram whose context no example
-    has is no evidence. Ratios are summed as millionths, so that the order of
-    addition doesn't matter."""
-    table = F.broadcast(model)  # at most CLASSES ** 3 rows
-    by = grams(urls.select(*keys, symbols_col), symbols_col).join(table, "gram", "left")
-    length = F.length(symbols_col)
-    summed = by.groupBy(*keys, symbols_col).agg(F.sum(F.coalesce(F.round(F.col("ratio") * 1e6).cast("long"), F.lit(0))).alias("total"), F.count("*").alias("chars"))
-    return summed.select(*keys, (F.col("total") / 1e6 / F.col("chars")).alias("score"), F.expr(f"chars div length({symbols_col})").alias("copies"))
+def characters(host: Column, path: Column) -> Column:
+    """Host and path in ASCII lower case, marked at the end, with the context of
+    the first character before it; as an array of characters."""
+    text = F.concat(F.lit(BEFORE * ORDER), ascii_lower(F.concat(host, path)), F.lit(END))
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def grams(rows: DataFrame, *kept: str, chars: str = "chars") -> DataFrame:
+    """One row a character: it and the ORDER characters before it. (`chars` is
+    named twice, so the optimizer leaves it a column of its own.)"""
+    at = F.sequence(F.lit(1), F.size(chars) - ORDER)
+    return rows.select(*kept, F.explode(F.transform(at, lambda i: F.array_join(F.slice(chars, i, ORDER + 1), ""))).alias("gram"))
+
+
+def counted(rows: DataFrame, accepted: str = "accepted") -> DataFrame:
+    """gram, yes, no: all grams of all URLs, and how often accepted and rejected
+    examples have them."""
+    each = grams(rows, accepted)
+    return each.groupBy("gram").agg(F.count_if(F.col(accepted)).alias("yes"), F.count_if(~F.col(accepted)).alias("no"))
+
+
+def models(counts: DataFrame) -> DataFrame:
+    """gram, ratio: for each gram of `counts` the difference of the log
+    probabilities of its last character under the two models, in millionths (so
+    that sums don't depend on their order)."""
+    levels = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("level")
+    shorter = F.expr("right(gram, level + 1)")
+    met = counts.where("yes + no > 0").select("gram", "yes", "no", levels).groupBy("level", shorter.alias("tail")).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    met = cut(met)
+    context = F.expr("substring(tail, 1, level)")
+    seen = met.groupBy("level", context.alias("context")).agg(
+        F.sum("yes").alias("all_yes"), F.count_if(F.col("yes") > 0).alias("kinds_yes"), F.sum("no").alias("all_no"), F.count_if(F.col("no") > 0).alias("kinds_no")
+    )
+    seen = cut(seen.where((F.col("level") == 0) | (F.col("all_yes") + F.col("all_no") >= SUPPORT)))
+    alphabet, yes, no = met.where("level = 0").agg(F.count("*"), F.sum("yes"), F.sum("no")).head()
+    if not yes or not no:
+        return counts.select("gram", F.lit(0).cast("long").alias("ratio"))
+    each = counts.select("gram", levels).withColumn("tail", shorter).withColumn("context", context)
+    met, seen = small(met, BROADCAST_GRAMS).withColumnRenamed("level", "met_level"), small(seen, BROADCAST_GRAMS).withColumnRenamed("level", "seen_level")
+    each = each.join(seen.withColumnRenamed("context", "of_context"), (F.col("level") == F.col("seen_level")) & (F.col("context") == F.col("of_context")), "left")
+    each = each.join(met.withColumnRenamed("tail", "of_tail"), (F.col("level") == F.col("met_level")) & (F.col("tail") == F.col("of_tail")), "left")
+    parts = {}
+    for kind in ("yes", "no"):
+        every = F.col(f"all_{kind}") + F.col(f"kinds_{kind}")
+        parts[f"own_{kind}"] = F.coalesce(F.try_divide(F.coalesce(F.col(kind), F.lit(0)).cast("double"), every), F.lit(0.0))
+        parts[f"rest_{kind}"] = F.coalesce(F.try_divide(F.col(f"kinds_{kind}").cast("double"), every), F.lit(1.0))
+    each = each.select("gram", "level", *[of.alias(name) for name, of in parts.items()])
+    by = each.groupBy("gram").agg(*[F.max(F.when(F.col("level") == k, F.col(name))).alias(f"{name}_{k}") for name in parts for k in range(ORDER + 1)])
+    logs = []
+    for kind in ("yes", "no"):
+        p = F.lit(1.0 / (alphabet + 1))
+        for k in range(ORDER + 1):
+            p = F.col(f"own_{kind}_{k}") + F.col(f"rest_{kind}_{k}") * p
+        logs.append(F.log(p))
+    return by.select("gram", F.round((logs[0] - logs[1]) * 1e6).cast("long").alias("ratio"))
+
+
+def scores(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """row, score: the mean ratio of a row's characters."""
+    by = grams(rows, "row").join(small(model, BROADCAST_GRAMS), "gram")
+    return by.groupBy("row").agg((F.sum("ratio") / 1e6 / F.count("*")).alias("score"))
 
 
 def calibrated(scored: DataFrame, accepted: str = "accepted") -> DataFrame:
@@ -129,7 +147,7 @@ def calibrated(scored: DataFrame, accepted: str = "accepted") -> DataFrame:
     halfway between the least score it accepts and the next one below, for what
     the models haven't seen scores less clearly. It is chosen among bins of
     scores, so the sort is over a bounded number of rows."""
-    bins = scored.where(F.col(accepted).isNotNull()).groupBy(F.round("score", 3).alias("bin")).agg(F.sum(F.when(F.col(accepted), F.col("copies")).otherwise(0)).alias("good"), F.sum(F.when(F.col(accepted), 0).otherwise(F.col("copies"))).alias("bad"))
+    bins = scored.where(F.col(accepted).isNotNull()).groupBy(F.round("score", 3).alias("bin")).agg(F.count_if(F.col(accepted)).alias("good"), F.count_if(~F.col(accepted)).alias("bad"))
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     kept = F.sum("good").over(everything) - F.coalesce(F.sum("good").over(below), F.lit(0))
@@ -142,24 +160,35 @@ def calibrated(scored: DataFrame, accepted: str = "accepted") -> DataFrame:
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "page_id", url: str = "url") -> DataFrame:
     """id, host, path, rule, verdict, score: of every row."""
-    host, path = host_and_path(F.col(url))
-    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    host, path = host_and_path(F.col(f"`{url}`"))
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"))
     name, verdict = decide(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", name.alias("rule"), verdict.alias("ruled"), symbols(F.col("host"), F.col("path")).alias("symbols"))
-    accepted = (F.col("ruled") == "allow").alias("accepted")
-    model = cut(models(rows.where(F.col("ruled").isNotNull()).select("symbols", accepted)))
-    scored = cut(scores(rows.withColumn("accepted", F.col("ruled") == "allow"), model, [id_col, "host", "path", "rule", "ruled", "accepted"]))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "*", name.alias("rule"), verdict.alias("ruled"))
+    # Written, so that a row's number stays.
+    rows = cut(rows.withColumn("accepted", F.col("ruled") == "allow"))
+    read = rows.select("row", "accepted", characters(F.col("host"), F.col("path")).alias("chars"))
+    model = cut(models(cut(counted(read))))
+    scored = cut(rows.join(scores(read, model), "row"))
     threshold = calibrated(scored).head()[0]
     verdict = F.coalesce("ruled", F.when(F.col("score") >= threshold, F.lit("allow")).otherwise(F.lit("block")))
-    return scored.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "score", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
+    return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def op6(pages: DataFrame) -> DataFrame:
     return judge(pages)
 
 
-#: op6 in SQL: rules, models, scores and threshold.
-OP6_SQL = r"""
+def _sql() -> str:
+    levels = range(ORDER + 1)
+
+    def p(kind: str) -> str:
+        out = "1e0 / (alphabet + 1)"
+        for k in levels:
+            out = f"own_{kind}_{k} + rest_{kind}_{k} * ({out})"
+        return out
+
+    parts = ", ".join(f"max(CASE WHEN level = {k} THEN {x}_{kind} END) AS {x}_{kind}_{k}" for kind in ("yes", "no") for x in ("own", "rest") for k in levels)
+    return rf"""
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://(.*)$', 1) END AS rest FROM pages),
 v AS (
@@ -172,34 +201,34 @@ x AS (
                  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
                  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
                  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
-         regexp_replace(regexp_replace(host || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[^0a-z/._?=&#%:+,;-]', '~', 'g') || '$' AS symbols
+         repeat(chr(2), {ORDER}) || host || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || chr(3) AS chars
   FROM v),
 y AS (SELECT *, CASE WHEN rule IN ('com/fr/', 'org/') THEN true WHEN rule IS NOT NULL THEN false END AS accepted FROM x),
-grams AS (SELECT r, accepted, substr('^^' || symbols, i, 3) AS gram FROM (SELECT r, accepted, symbols, unnest(generate_series(1, length(symbols))) AS i FROM y)),
-counts AS (SELECT accepted, gram, count(*) AS n FROM grams WHERE accepted IS NOT NULL GROUP BY ALL),
-at0 AS (
-  SELECT two, substr(two, 2, 1) AS one, c, accepted FROM (SELECT DISTINCT substr(gram, 1, 2) AS two FROM counts),
-    (SELECT unnest(string_split('^$0~abcdefghijklmnopqrstuvwxyz/.-_?=&#%:+,;', '')) AS c), (SELECT unnest([true, false]) AS accepted)),
-o0 AS (SELECT accepted, right(gram, 1) AS g, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY ALL),
-t0 AS (SELECT accepted, substr(g, 1, 0) AS t, CAST(sum(n) AS BIGINT) AS every, count(*) AS kinds FROM o0 GROUP BY ALL),
-w0 AS (
-  SELECT a.*, CASE WHEN coalesce(t.every, 0) > 0 THEN (coalesce(o.n, 0) + t.kinds * 1e0 / 43) / (t.every + t.kinds) ELSE 1e0 / 42 END AS p0, coalesce(t.every, 0) > 0 AS met
-  FROM at0 a LEFT JOIN o0 o ON o.accepted = a.accepted AND o.g = c LEFT JOIN t0 t ON t.accepted = a.accepted AND t.t = ''),
-o1 AS (SELECT accepted, right(gram, 2) AS g, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY ALL),
-t1 AS (SELECT accepted, substr(g, 1, 1) AS t, CAST(sum(n) AS BIGINT) AS every, count(*) AS kinds FROM o1 GROUP BY ALL),
-w1 AS (
-  SELECT a.*, CASE WHEN coalesce(t.every, 0) > 0 THEN (coalesce(o.n, 0) + t.kinds * p0) / (t.every + t.kinds) ELSE p0 END AS p1
-  FROM w0 a LEFT JOIN o1 o ON o.accepted = a.accepted AND o.g = one || c LEFT JOIN t1 t ON t.accepted = a.accepted AND t.t = one),
-o2 AS (SELECT accepted, right(gram, 3) AS g, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY ALL),
-t2 AS (SELECT accepted, substr(g, 1, 2) AS t, CAST(sum(n) AS BIGINT) AS every, count(*) AS kinds FROM o2 GROUP BY ALL),
-w2 AS (
-  SELECT a.*, CASE WHEN coalesce(t.every, 0) > 0 THEN (coalesce(o.n, 0) + t.kinds * p1) / (t.every + t.kinds) ELSE p1 END AS p2
-  FROM w1 a LEFT JOIN o2 o ON o.accepted = a.accepted AND o.g = two || c LEFT JOIN t2 t ON t.accepted = a.accepted AND t.t = two),
+grams AS (SELECT r, accepted, substr(chars, CAST(i AS INTEGER), {ORDER + 1}) AS gram FROM (SELECT r, accepted, chars, unnest(generate_series(1, length(chars) - {ORDER})) AS i FROM y)),
+counts AS (SELECT gram, count(*) FILTER (WHERE accepted) AS yes, count(*) FILTER (WHERE NOT accepted) AS no FROM grams GROUP BY ALL),
+lv AS (SELECT unnest(generate_series(0, {ORDER})) AS level),
+met AS (
+  SELECT level, right(gram, level + 1) AS tail, CAST(sum(yes) AS BIGINT) AS yes, CAST(sum(no) AS BIGINT) AS no
+  FROM counts, lv WHERE yes + no > 0 GROUP BY ALL),
+seen AS (
+  SELECT level, substr(tail, 1, CAST(level AS INTEGER)) AS context, CAST(sum(yes) AS BIGINT) AS all_yes, count(*) FILTER (WHERE yes > 0) AS kinds_yes,
+         CAST(sum(no) AS BIGINT) AS all_no, count(*) FILTER (WHERE no > 0) AS kinds_no
+  FROM met GROUP BY ALL HAVING level = 0 OR CAST(sum(yes) + sum(no) AS BIGINT) >= {SUPPORT}),
+whole AS (SELECT count(*) AS alphabet, sum(yes) AS whole_yes, sum(no) AS whole_no FROM met WHERE level = 0),
+parts AS (
+  SELECT c.gram, lv.level,
+         coalesce(CAST(coalesce(m.yes, 0) AS DOUBLE) / nullif(s.all_yes + s.kinds_yes, 0), 0e0) AS own_yes,
+         coalesce(CAST(s.kinds_yes AS DOUBLE) / nullif(s.all_yes + s.kinds_yes, 0), 1e0) AS rest_yes,
+         coalesce(CAST(coalesce(m.no, 0) AS DOUBLE) / nullif(s.all_no + s.kinds_no, 0), 0e0) AS own_no,
+         coalesce(CAST(s.kinds_no AS DOUBLE) / nullif(s.all_no + s.kinds_no, 0), 1e0) AS rest_no
+  FROM counts c CROSS JOIN lv
+  LEFT JOIN seen s ON s.level = lv.level AND s.context = substr(right(c.gram, lv.level + 1), 1, CAST(lv.level AS INTEGER))
+  LEFT JOIN met m ON m.level = lv.level AND m.tail = right(c.gram, lv.level + 1)),
+pivoted AS (SELECT gram, {parts} FROM parts GROUP BY gram),
 model AS (
-  SELECT a.two || a.c AS gram, CASE WHEN a.met AND b.met THEN ln(a.p2) - ln(b.p2) ELSE 0e0 END AS ratio
-  FROM w2 a JOIN w2 b ON a.two = b.two AND a.c = b.c AND a.accepted AND NOT b.accepted),
-scored AS (
-  SELECT g.r, sum(coalesce(CAST(round(m.ratio * 1e6) AS BIGINT), 0)) / 1e6 / count(*) AS score FROM grams g LEFT JOIN model m ON m.gram = g.gram GROUP BY g.r),
+  SELECT gram, CASE WHEN whole_yes > 0 AND whole_no > 0 THEN CAST(round((ln({p("yes")}) - ln({p("no")})) * 1e6) AS BIGINT) ELSE 0 END AS ratio
+  FROM pivoted, whole),
+scored AS (SELECT g.r, CAST(sum(m.ratio) AS BIGINT) / 1e6 / count(*) AS score FROM grams g JOIN model m ON m.gram = g.gram GROUP BY g.r),
 z AS (SELECT y.*, s.score FROM y JOIN scored s ON s.r = y.r),
 bins AS (SELECT round(score, 3) AS bin, count(*) FILTER (WHERE accepted) AS good, count(*) FILTER (WHERE NOT accepted) AS bad FROM z WHERE accepted IS NOT NULL GROUP BY ALL),
 sides AS (
@@ -212,3 +241,7 @@ SELECT page_id, host, path, rule,
        CASE WHEN accepted THEN 'allow' WHEN NOT accepted THEN 'block' WHEN score >= (SELECT cutoff FROM threshold) THEN 'allow' ELSE 'block' END AS verdict, score
 FROM z
 """
+
+
+#: op6 in SQL: rules, models, scores and threshold.
+OP6_SQL = _sql()
