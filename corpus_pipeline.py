@@ -1,13 +1,15 @@
 """From raw documents to token ids: classify, filter, deduplicate, mix, encode.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept;
-the first four return the columns of documents.
+the first four return the columns of documents. Rows travel whole in a struct, so
+that columns besides may have any name and keep their values.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tombola.llm import bpe, classifier, mixing, quality_rules, simhash
 from tombola.llm.common import cut, lean_batches, table
@@ -20,12 +22,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keeps what the co-trained classifier doesn't reject."""
     lean_batches(spark)
     model = classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return classifier.scored(docs, model, "_quality").where("_quality.kept").select(*docs.columns)
+    read = docs.select(F.struct("*").alias("document"), "text", "lang", "source", "n_chars")
+    return classifier.scored(read, model, "verdict").where("verdict.kept").select("document.*")
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what passes the policy."""
-    return quality_rules.ledger(docs).where(quality_rules.passes(POLICY)).select(*docs.columns)
+    return quality_rules.ledger(docs.select(F.struct("*").alias("document"), "text")).where(quality_rules.passes(POLICY)).select("document.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
