@@ -3,6 +3,7 @@
 import json
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from tombola.plans import jobs, publish
@@ -43,6 +44,11 @@ def test_import_and_migration(spark, tmp_path):
     sheet = made(spark, ("Gana", date(2020, 1, 1), [2], "sheet"), ("Gana", date(2020, 1, 2), [3], "sheet"))
     merged, counters = jobs.spreadsheet_import(there, sheet, "sheet", str(tmp_path / "t"))
     assert merged.count() == spark.read.parquet(str(tmp_path / "t")).count() == 2 and counters.head()["conflicts"] == 1
+    again = spark.read.parquet(str(tmp_path / "t")).drop("year")
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):  # the table that is read
+        jobs.spreadsheet_import(again, sheet, "sheet", str(tmp_path / "t"))
+    merged, counters = jobs.spreadsheet_import(again, made(spark, ("Gana", date(2020, 1, 3), [4], "sheet")), "sheet", str(tmp_path / "t2"))
+    assert merged.count() == 3 and counters.head()["added"] == 1
     (tmp_path / "h.json").write_text('[{"lottery": "A", "draw_date": "2020-01-01", "numbers": [1, 2]}]')
     assert [jobs.migrate(spark, str(tmp_path / "h.json"), str(tmp_path / "m")) for _ in range(2)] == [1, 0]
 
@@ -53,5 +59,7 @@ def test_document(spark):
     assert set(found["lotteries"]) == {"1-URGENT", "5-LOW"} and set(found["lotteries"]["1-URGENT"]["draws"]) == {"F", "O", "P"}
     draw = found["lotteries"]["1-URGENT"]["draws"]["F"]
     assert len(draw["suggestions"]) == 3 and len(draw["last_results"]) == 8 and draw["backtest"]["status"] in ("ok", "insufficient")
-    assert len(found["base_10"]["elite_group"]) == 5
+    assert len(found["base_10"]["elite_group"]) == 5 and len(found["base_10"]["leader"]) == 1
+    assert set(found["base_10"]) >= {"coincidences", "drags", "moving_numbers"} and found["lotteries"]["1-URGENT"]["daily"][0]["ymd"] < "1996"
+    assert found["requested_from_date"] is None and found["disclaimer"] == publish.DISCLAIMER
     assert raw_draws(spark, "/root/testdata/sf0.001").count() == 1500

@@ -1,10 +1,10 @@
 """Historical validation: what would have been suggested before each draw?
 
 Every target date needs the counts over all strictly earlier rows of its draw.
-Instead of joining each target with its history, the rows of a draw are numbered
-by date; a target asks at the number of its last earlier row, and running sums
-over that number answer for all targets at once: over everything before for the
-frequency, over the last 30 for the recent one.
+Targets lie in the last days of a draw, so all that is older is folded into one
+count a number, by partial aggregates. Only the rows of those days and the newest
+RECENT_ROWS before them are put in order: there, running sums over a row's place answer for all targets
+at once.
 """
 
 from __future__ import annotations
@@ -19,35 +19,51 @@ BY = ["lottery", "draw"]
 WINDOW_DAYS, LEAST_HISTORY = 60, 30
 
 
-def numbered(draws: DataFrame) -> DataFrame:
-    """Adds place (by date), before (rows of earlier dates), rows and last_date
-    of the draw."""
-    one = Window.partitionBy(*BY)
-    rows = draws.withColumn("place", F.row_number().over(one.orderBy("draw_date", "seq")))
+def _split(draws: DataFrame, window_days: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the window and rows older than it, both with rows and last_date of
+    their draw."""
+    ends = draws.groupBy(*BY).agg(F.count("*").alias("rows"), F.max("draw_date").alias("last_date"))
+    rows = draws.join(ends, BY)
+    inside = F.col("draw_date") >= F.date_sub("last_date", window_days)
+    return rows.where(inside), rows.where(~inside)
+
+
+def near(draws: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
+    """The rows of the window and the newest RECENT_ROWS before it (in_window 0),
+    with place (by date), and with the number of earlier rows among these
+    (`before`) and of all (`all_before`)."""
+    late, old = _split(draws, window_days)
+    back = F.row_number().over(Window.partitionBy(*BY).orderBy(F.desc("draw_date"), F.desc("seq")))
+    tail = old.withColumn("back", back).where(F.col("back") <= RECENT_ROWS).drop("back")
+    rows = late.withColumn("in_window", F.lit(1)).unionByName(tail.withColumn("in_window", F.lit(0)))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*BY).orderBy("draw_date", "seq")))
     rows = rows.withColumn("before", F.min("place").over(Window.partitionBy(*BY, "draw_date")) - 1)
-    return rows.withColumn("rows", F.count("*").over(one)).withColumn("last_date", F.max("draw_date").over(one))
+    return rows.withColumn("all_before", F.col("rows") - F.count("*").over(Window.partitionBy(*BY)) + F.col("before"))
 
 
-def targets(rows: DataFrame, window_days: int = WINDOW_DAYS, least: int = LEAST_HISTORY) -> DataFrame:
-    recent = F.col("draw_date") >= F.date_sub("last_date", window_days)
-    return rows.where(recent & (F.col("rows") > least) & (F.col("before") >= least))
+def targets(rows: DataFrame, least: int = LEAST_HISTORY) -> DataFrame:
+    return rows.where((F.col("in_window") == 1) & (F.col("rows") > least) & (F.col("all_before") >= least))
 
 
 def predictions(draws: DataFrame, limit: int = 10, window_days: int = WINDOW_DAYS, least: int = LEAST_HISTORY) -> DataFrame:
     """lottery, draw, target_date, rank, number, score, frequency,
-    recent_frequency for each target date."""
-    rows = numbered(draws)
-    seen = rows.select(*BY, F.explode("numbers").alias("number"), F.col("place").alias("at"), "draw_date", F.lit(1).alias("hit"), F.lit(None).cast("date").alias("target_date"))
-    asked = targets(rows, window_days, least).select(*BY, F.col("before").alias("at"), F.col("draw_date").alias("target_date")).distinct()
-    grid = asked.select(*BY, F.explode(F.sequence(F.lit(0), F.lit(UNIVERSE - 1))).alias("number"), "at", F.lit(None).cast("date").alias("draw_date"), F.lit(0).alias("hit"), "target_date")
+    recent_frequency for each target date. `draws` is read several times: callers
+    keep it (persist)."""
+    rows = near(draws, window_days)
+    seen = rows.select(*BY, F.explode("numbers").alias("number"), F.col("place").alias("at"), "draw_date", F.lit(1).alias("hit"), "in_window", F.lit(None).cast("date").alias("target_date"))
+    asked = targets(rows, least).select(*BY, F.col("before").alias("at"), F.col("draw_date").alias("target_date")).distinct()
+    grid = asked.select(*BY, F.explode(F.sequence(F.lit(0), F.lit(UNIVERSE - 1))).alias("number"), "at", F.lit(None).cast("date").alias("draw_date"), F.lit(0).alias("hit"), F.lit(0).alias("in_window"), "target_date")
     order = Window.partitionBy(*BY, "number").orderBy("at")
     so_far, lately = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(1 - RECENT_ROWS, 0)
     rows = seen.unionByName(grid).select(
-        *BY, "number", "target_date", F.sum("hit").over(so_far).alias("frequency"), F.sum("hit").over(lately).alias("recent_frequency"), F.max("draw_date").over(so_far).alias("last_seen"),
+        *BY, "number", "target_date", F.sum("in_window").over(so_far).alias("late"), F.sum("hit").over(lately).alias("recent_frequency"), F.max("draw_date").over(so_far).alias("late_seen"),
     ).where(F.col("target_date").isNotNull())
+    older = _split(draws, window_days)[1].select(*BY, "draw_date", F.explode("numbers").alias("number")).groupBy(*BY, "number").agg(F.count("*").alias("old"), F.max("draw_date").alias("old_seen"))
+    rows = rows.join(older, [*BY, "number"], "left")
+    rows = rows.withColumn("frequency", F.col("late") + F.coalesce("old", F.lit(0))).withColumn("last_seen", F.greatest("late_seen", "old_seen"))
     delay = F.datediff("target_date", "last_seen")
     rows = rows.withColumn("score", score(F.col("frequency"), F.col("recent_frequency"), delay))
-    return best(rows, [*BY, "target_date"], limit).drop("last_seen")
+    return best(rows, [*BY, "target_date"], limit).select(*BY, "number", "target_date", "frequency", "recent_frequency", "score", "rank")
 
 
 def hits(draws: DataFrame, limit: int = 10, window_days: int = WINDOW_DAYS, least: int = LEAST_HISTORY) -> DataFrame:
@@ -56,7 +72,7 @@ def hits(draws: DataFrame, limit: int = 10, window_days: int = WINDOW_DAYS, leas
     top = predictions(draws, limit, window_days, least).where(F.col("rank") <= 5)
     ranked = F.array_sort(F.collect_list(F.struct("rank", "number")))  # five entries at most
     top = top.groupBy(*BY, F.col("target_date").alias("draw_date")).agg(F.transform(ranked, lambda r: r["number"]).alias("predicted"))
-    rows = targets(numbered(draws), window_days, least).join(top, [*BY, "draw_date"])
+    rows = targets(near(draws, window_days), least).join(top, [*BY, "draw_date"])
     actual = F.array_distinct(F.slice("numbers", 1, 3))
     hit5 = F.array_sort(F.array_intersect(actual, "predicted"))
     return rows.select(
@@ -75,6 +91,7 @@ def report(draws: DataFrame, limit: int = 10, window_days: int = WINDOW_DAYS, le
     )
     rows = draws.groupBy(*BY).agg(F.count("*").alias("rows")).join(by, BY, "left").withColumn("tested", F.coalesce("tested", F.lit(0)))
     rate = F.col("top5_hits") / F.col("tested")
+    # The labels and their bounds.
     label = F.when(F.col("tested") < 20, "Muestra baja").when(rate >= 0.35, "Alta").when(rate >= 0.18, "Media").otherwise("Baja")
     ok = F.col("tested") > 0
     why = F.when(ok, None).when(F.col("rows") <= least, F.lit(f"needs {least + 1} rows")).otherwise(F.lit("no recent row has enough history"))

@@ -177,12 +177,28 @@ def moves(each: DataFrame) -> DataFrame:
 def mirror_counts(each: DataFrame) -> DataFrame:
     """A number's count and its mirror's, where both were seen; lately, where the
     mirror was."""
-    own = counts(each).select("number", "frequency", F.col("recent_30").alias("r"))
+    return _mirrors(counts(each))
+
+
+def _mirrors(counted: DataFrame) -> DataFrame:
+    own = counted.select("number", "frequency", F.col("recent_30").alias("r"))
     other = own.select(F.col("number").alias("m"), F.col("frequency").alias("mf"), F.col("r").alias("mr"))
     rows = own.join(other, (mirror(F.col("number")) == F.col("m")) & (F.col("m") != F.col("number")))
     return rows.select("number", F.col("m").alias("mirror"), (F.col("frequency") + F.col("mf")).alias("cnt"), F.when(F.col("mr") > 0, F.col("r") + F.col("mr")).otherwise(F.lit(0)).alias("recent_30"))
 
 
+def top_coincidences(each: DataFrame, n: int = 10) -> DataFrame:
+    return _top(coincidences(each), n, F.desc("cnt"), F.asc("met")).select("rank", "number", "cnt")
+
+
+def top_drags(base: DataFrame, dims: Dims, n: int = 10) -> DataFrame:
+    return _top(drags(base, dims), n, F.desc("cnt"), F.asc("met"), F.asc("number")).select("rank", "number", "cnt")
+
+
+def top_moves(each: DataFrame, n: int = 10) -> DataFrame:
+    return _top(moves(each).where("cnt > 0"), n, F.desc("cnt"), F.asc("number")).select("rank", "number", F.col("cnt").alias("lotteries"))
+
+
 def active_mirrors(each: DataFrame, n: int = 12, days: int = MIRROR_DAYS) -> DataFrame:
     seen = each.groupBy("number").agg(F.max("draw_date").alias("seen"), F.max("last_day").alias("last_day")).where(F.col("seen") >= F.date_sub("last_day", days))
     other = seen.select(F.col("number").alias("mirror"), F.col("seen").alias("mirror_seen"))
@@ -200,13 +216,25 @@ WEIGHTS = (
 )
 
 
+def _counts_and_coincidences(each: DataFrame) -> DataFrame:
+    """`counts` and `coincidences` through one aggregate by day."""
+    days = each.groupBy("draw_date", "number").agg(F.count("*").alias("c"), F.count_distinct("lottery").alias("n"), F.max("recent_7").alias("r7"), F.max("recent_30").alias("r30"))
+    some = lambda value, *conditions: F.sum(F.when(reduce(lambda a, b: a & b, conditions), value).otherwise(0))
+    several = F.col("n") > 1
+    return days.groupBy("number").agg(
+        F.sum("c").alias("frequency"), some(F.col("c"), F.col("r7")).alias("recent_7"), some(F.col("c"), F.col("r30")).alias("recent_30"),
+        some(F.col("n"), several).alias("coincidences"), some(F.col("n"), several, F.col("r30")).alias("recent_coincidences"),
+    )
+
+
 def strength(base: DataFrame, dims: Dims) -> DataFrame:
-    """All numbers seen, with every count and the score, ranked."""
+    """All numbers seen, with every count and the score, ranked. `base` is read
+    several times: callers keep it (persist)."""
     each = exploded(base, dims)
-    rows = counts(each)
+    rows = _counts_and_coincidences(each)
     parts = [
         latest_counts(base, dims).select("number", F.col("cnt").alias("recent")),
-        *[f.select("number", F.col("cnt").alias(name), F.col("recent_30").alias(f"recent_{name}")) for name, f in (("coincidences", coincidences(each)), ("drags", drags(base, dims)), ("mirrors", mirror_counts(each)), ("moves", moves(each)))],
+        *[f.select("number", F.col("cnt").alias(name), F.col("recent_30").alias(f"recent_{name}")) for name, f in (("drags", drags(base, dims)), ("mirrors", _mirrors(rows)), ("moves", moves(each)))],
     ]
     for part in parts:
         rows = rows.join(part, "number", "left")
@@ -217,6 +245,11 @@ def strength(base: DataFrame, dims: Dims) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order))  # a hundred rows at most
 
 
+def leader(ranked: DataFrame) -> DataFrame:
+    """The first, if there is any."""
+    return ranked.where("rank = 1")
+
+
 def elite(ranked: DataFrame, n: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= n)
 
@@ -230,8 +263,8 @@ def four_conditions(base: DataFrame, dims: Dims, fix_delay: bool = False) -> Dat
     each = exploded(base, dims)
     ranked = strength(base, dims).where(F.col("rank") <= 10).select("number", "rank")
     recent = top_repeated(each, True).select("number", F.lit(True).alias("recent"))
-    coinc = _top(coincidences(each), 10, F.desc("cnt"), F.asc("met")).select("number", (F.col("cnt") > 50).alias("coincides"))
-    dragged = _top(drags(base, dims), 10, F.desc("cnt"), F.asc("met"), F.asc("number")).select("number", (F.col("cnt") > 100).alias("drags"))
+    coinc = top_coincidences(each).select("number", (F.col("cnt") > 50).alias("coincides"))
+    dragged = top_drags(base, dims).select("number", (F.col("cnt") > 100).alias("drags"))
     rows = ranked.join(recent, "number", "left").join(coinc, "number", "left").join(dragged, "number", "left")
     if fix_delay:
         seen = each.groupBy("number").agg(F.datediff(F.max("last_day"), F.max("draw_date")).between(3, 45).alias("delayed"))

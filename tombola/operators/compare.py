@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import weekday
-from .frequency import number_counts
 
 
 def daily_series(draws: DataFrame) -> DataFrame:
@@ -104,7 +103,3 @@ def four_conditions(stats: DataFrame, a: str, b: str, limit: int | None = 6) ->
         return rows.where("met = 4")
     order = [F.desc("met"), F.asc("number")]
     return rows.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-
-
-def lottery_counts(draws: DataFrame) -> DataFrame:
-    return number_counts(draws, ["lottery"])

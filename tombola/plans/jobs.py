@@ -37,12 +37,18 @@ def gap_fill(existing: DataFrame, pages: DataFrame, start: str, end: str, refere
 
 
 def spreadsheet_import(existing: DataFrame, sheet: DataFrame, source: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The merged history and its counters; written to `path` unless it is None
-    (a dry run)."""
+    """The merged history and its counters. Unless `path` is None (a dry run) the
+    merged history is a new table there, and what is returned is read from it: a
+    table that exists already is refused, as it may be the one that `existing`
+    reads. The caller names the next version and swaps."""
+    counted = reconcile.import_counters(existing, sheet, source)
     merged = reconcile.import_merge(existing, sheet, source)
     if path is not None:
-        history.write_table(merged, path, "overwrite")
-    return merged, reconcile.import_counters(existing, sheet, source)
+        spark = merged.sparkSession
+        counted = spark.createDataFrame(counted.collect(), counted.schema)  # one row
+        history.write_table(merged, path, "errorifexists")
+        merged = spark.read.parquet(path).select(*merged.columns)
+    return merged, counted
 
 
 def migrate(spark: SparkSession, json_path: str, table_path: str) -> int:

@@ -160,6 +160,7 @@ merged AS (
   FROM there t FULL OUTER JOIN comes c ON t.lottery = c.lottery AND t.draw = c.draw AND t.draw_date = c.draw_date)"""
 _LAST8 = """
 last8 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lottery ORDER BY draw_date DESC, lottery DESC, draw DESC) AS place FROM draws) WHERE place <= 8)"""
+_N3 = "numbers[1] AS n1, numbers[2] AS n2, numbers[3] AS n3"
 _PAD = "array_to_string(list_transform({}, lambda n: lpad(CAST(n AS VARCHAR), 2, '0')), ' ')"
 
 
@@ -186,6 +187,7 @@ SELECT result_key, source, seq FROM (SELECT *, row_number() OVER (PARTITION BY r
     "result_key": f"WITH {_RAW} SELECT seq, {_KEY} AS result_key FROM raw",
     "coverage": f"WITH {_DRAWS} SELECT min(draw_date) AS from_date, max(draw_date) AS to_date FROM draws",
     "group_totals": f"WITH {_DRAWS} SELECT lottery, draw, count(*) AS total FROM draws GROUP BY ALL",
+    "last_seen": f"WITH {_DRAWS} SELECT lottery, number, max(draw_date) AS last_seen FROM (SELECT *, unnest(numbers) AS number FROM draws) GROUP BY lottery, number",
     "number_frequency": f"WITH {_DRAWS} SELECT lottery, draw, number, count(*) AS frequency, max(draw_date) AS last_seen FROM (SELECT *, unnest(numbers) AS number FROM draws) GROUP BY lottery, draw, number",
     "recent_frequency": f"WITH {_DRAWS},{_suggest('lottery')} SELECT lottery, number, recent_frequency FROM best_recent",
     "suggest_by_lottery": f"WITH {_DRAWS},{_suggest('lottery')} SELECT lottery, rank, number, score, frequency, recent_frequency, delay_days FROM best",
@@ -229,6 +231,10 @@ ORDER BY recent_30 > 0 DESC, CASE WHEN recent_30 > 0 THEN recent_30 ELSE cnt END
     "coincidences": f"WITH {_BASE},{_COINC} SELECT number, cnt, recent_30 FROM coinc",
     "drags": f"WITH {_BASE},{_DRAGS} SELECT number, cnt, recent_30 FROM drag",
     "moves": f"WITH {_BASE},{_MOVES} SELECT number, cnt, recent_30 FROM move",
+    "coincidences_top": f"WITH {_BASE},{_COINC} " + _top("coinc", "cnt DESC, met", "number, cnt"),
+    "drags_top": f"WITH {_BASE},{_DRAGS} " + _top("drag", "cnt DESC, met, number", "number, cnt"),
+    "moves_top": f"WITH {_BASE},{_MOVES} " + _top("(SELECT number, cnt AS lotteries FROM move WHERE cnt > 0)", "lotteries DESC, number", "number, lotteries"),
+    "leader": f"WITH {_STRENGTH} SELECT number, score FROM strength WHERE rank = 1",
     "mirror_counts": f"WITH {_BASE},{_MIRRORS} SELECT number, mirror, cnt, recent_30 FROM mir",
     "active_mirrors": f"""WITH {_BASE},
 seen AS (SELECT number, max(draw_date) AS d FROM each GROUP BY number),
@@ -256,7 +262,7 @@ shown AS (SELECT lottery, number, CASE WHEN frequency <> 0 THEN CAST(frequency A
 SELECT lottery, CAST(row_number() OVER (PARTITION BY lottery ORDER BY cnt DESC, number) AS INTEGER) AS rank, number, cnt FROM shown""",
     "compare_top_shared": f"""WITH {_RANGE}
 SELECT a.number, a.cnt AS cnt_a, a.rank AS rank_a, b.cnt AS cnt_b, b.rank AS rank_b FROM ranked a JOIN ranked b ON a.number = b.number
-WHERE a.lottery = '1-URGENT' AND b.lottery = '2-HIGH' AND a.rank <= 10 AND b.rank <= 10""",
+WHERE a.lottery = '1-URGENT' AND b.lottery = '2-HIGH' AND a.rank <= 25 AND b.rank <= 25""",
     "compare_delayed": f"""WITH {_RANGE}
 SELECT * FROM (SELECT lottery, pos, CAST(row_number() OVER (PARTITION BY lottery, pos ORDER BY cnt, number) AS INTEGER) AS rank, number, cnt FROM stats WHERE pos > 0) WHERE rank <= 3""",
     "compare_four_conditions": f"""WITH {_RANGE},
@@ -276,6 +282,20 @@ sug AS (SELECT n.label, string_agg(lpad(CAST(number AS VARCHAR), 2, '0'), ' ' OR
 SELECT r.label, r.draw_date, numbers[1] AS n1, numbers[2] AS n2, numbers[3] AS n3, coalesce(list_contains(before, numbers[1]), false) AS repeats_1,
        coalesce(list_contains(before, numbers[2]), false) AS repeats_2, coalesce(list_contains(before, numbers[3]), false) AS repeats_3, s.suggested
 FROM rows r LEFT JOIN sug s ON s.label = r.label WHERE turn = 1""",
+    "draw_items": f"""WITH RECURSIVE {_DRAWS[1:]},{_VISIBLE},{_LAST8},
+items AS (
+  SELECT l.lottery, l.draw, l.draw_date, l.place, row_number() OVER (PARTITION BY l.lottery ORDER BY l.place) AS n, lower(CASE l.draw WHEN 'P' THEN 'O' ELSE l.draw END) AS key,
+         {_PAD.format('l.numbers[1:3]').replace("' ')", "'-')")} AS shown
+  FROM last8 l SEMI JOIN shown s ON l.lottery = s.lottery AND l.draw = s.draw),
+fold AS (
+  SELECT DISTINCT lottery, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS keys, CAST([] AS VARCHAR[]) AS sames, CAST([] AS BIGINT[]) AS picked FROM items
+  UNION ALL
+  SELECT f.lottery, i.n, CASE WHEN i.good THEN list_append(f.keys, i.key) ELSE f.keys END, CASE WHEN i.good THEN list_append(f.sames, i.same) ELSE f.sames END, CASE WHEN i.good THEN list_append(f.picked, i.n) ELSE f.picked END
+  FROM (SELECT f.lottery AS of, f.n AS at, x.*, x.draw_date || '|' || x.shown AS same,
+               NOT list_contains(f.keys, x.key) AND NOT list_contains(f.sames, x.draw_date || '|' || x.shown) AND len(f.picked) < 3 AS good
+        FROM fold f JOIN items x ON x.lottery = f.lottery AND x.n = f.n + 1) i JOIN fold f ON f.lottery = i.of AND f.n = i.at),
+last AS (SELECT lottery, unnest(picked) AS n FROM (SELECT *, row_number() OVER (PARTITION BY lottery ORDER BY n DESC) AS k FROM fold) WHERE k = 1)
+SELECT i.lottery, i.draw, i.draw_date, i.shown AS numbers, CAST(i.place AS INTEGER) AS place FROM items i JOIN last t ON t.lottery = i.lottery AND t.n = i.n ORDER BY i.draw_date DESC, i.lottery, i.place LIMIT 21""",
     "date_gaps": f"""WITH {_DRAWS}
 SELECT CAST(x AS DATE) AS draw_date FROM generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY) g(x)
 WHERE CAST(x AS DATE) NOT IN (SELECT draw_date FROM draws WHERE lottery IN ('1-URGENT', '2-HIGH'))""",
@@ -288,14 +308,54 @@ SELECT (SELECT count(*) FROM comes c WHERE NOT EXISTS (SELECT 1 FROM there t WHE
     "visible_draw_filter": f"WITH {_DRAWS},{_VISIBLE} SELECT lottery, draw, draw_date, seq FROM visible",
     "canonical_label": f"WITH {_DRAWS} SELECT seq, CASE draw WHEN 'P' THEN 'O' ELSE draw END AS canonical FROM draws",
     "display_label": f"WITH {_DRAWS},{_LABELS} SELECT d.seq, l.label FROM draws d JOIN labels l ON d.lottery = l.lottery AND d.draw = l.draw",
-    "preserve_suggestions": f"""WITH {_DRAWS},{_VISIBLE},{_suggest('lottery, draw', limit=1, name='now')},
-old_rows AS (SELECT * FROM draws WHERE draw_date < (SELECT max(draw_date) FROM draws)),{_suggest('lottery, draw', 'old_rows', 'CAST((SELECT max(draw_date) FROM draws) - INTERVAL 1 DAY AS DATE)', 1, 'old')},
+    "preserve_suggestions": f"""WITH {_DRAWS},{_VISIBLE},{_suggest('lottery, draw', name='now')},
+old_rows AS (SELECT * FROM draws WHERE draw_date < (SELECT max(draw_date) FROM draws)),{_suggest('lottery, draw', 'old_rows', 'CAST((SELECT max(draw_date) FROM draws) - INTERVAL 1 DAY AS DATE)', 10, 'old')},
 pub AS (SELECT o.* FROM old o SEMI JOIN shown s ON o.lottery = s.lottery AND o.draw = s.draw WHERE o.lottery <> '5-LOW')
-SELECT n.lottery, n.draw, coalesce(p.number, n.number) AS number FROM now n LEFT JOIN pub p ON n.lottery = p.lottery AND n.draw = p.draw""",
+SELECT n.lottery, n.draw, n.rank, n.number FROM now n WHERE NOT EXISTS (SELECT 1 FROM pub p WHERE p.lottery = n.lottery AND p.draw = n.draw)
+UNION ALL SELECT p.lottery, p.draw, p.rank, p.number FROM pub p WHERE EXISTS (SELECT 1 FROM now n WHERE p.lottery = n.lottery AND p.draw = n.draw)""",
+    "preserve_by_lottery": f"""WITH {_DRAWS},{_suggest('lottery', name='now')},
+old_rows AS (SELECT * FROM draws WHERE draw_date < (SELECT max(draw_date) FROM draws)),{_suggest('lottery', 'old_rows', 'CAST((SELECT max(draw_date) FROM draws) - INTERVAL 1 DAY AS DATE)', 10, 'old')}
+SELECT lottery, rank, number FROM now WHERE lottery = '5-LOW' UNION ALL SELECT lottery, rank, number FROM old WHERE lottery <> '5-LOW'""",
     "normalize_text": r"SELECT doc_id, trim(regexp_replace(translate(lower(trim(text, ' ')), 'áéíóúñ', 'aeioun'), '\s+', ' ', 'g'), ' ') AS normal FROM documents",
     "strip_tags": r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS bare FROM pages",
     "extract_numbers": r"SELECT doc_id, array_to_string(list_transform(list_filter(regexp_extract_all(text, '[0-9]+'), lambda d: length(d) <= 2), lambda d: CAST(d AS INTEGER)), ' ') AS numbers FROM documents",
-    "find_date": "SELECT page_id, CAST(NULL AS DATE) AS day FROM pages",
+    "find_date": f"""WITH {_RAW}
+SELECT seq, CASE WHEN seq % 6 IN (0, 2, 3) THEN draw_date WHEN seq % 6 = 1 THEN make_date(2000 + year(draw_date) % 100, month(draw_date), day(draw_date)) END AS day,
+       CASE WHEN seq % 6 IN (0, 2, 3, 5) THEN draw_date WHEN seq % 6 = 1 THEN make_date(2000 + year(draw_date) % 100, month(draw_date), day(draw_date)) END AS any_day FROM raw""",
+    "repair_text": """SELECT o_orderkey AS seq,
+       CASE o_orderkey % 4 WHEN 0 THEN 'Lotería  ' || o_orderkey WHEN 1 THEN '<b>SEÑAL</b> ' || o_orderkey WHEN 2 THEN 'Ã broken ' || o_orderkey ELSE ' Plain É ' || o_orderkey END AS repaired,
+       CASE o_orderkey % 4 WHEN 0 THEN 'Lotería ' || o_orderkey WHEN 1 THEN 'SEÑAL ' || o_orderkey WHEN 2 THEN 'Ã broken ' || o_orderkey ELSE 'Plain É ' || o_orderkey END AS clean,
+       CASE o_orderkey % 4 WHEN 0 THEN 'loteria ' || o_orderkey WHEN 1 THEN '<b>senal</b> ' || o_orderkey WHEN 2 THEN 'ã broken ' || o_orderkey ELSE 'plain e ' || o_orderkey END AS normal FROM orders""",
+    "small_functions": f"""WITH {_RAW}
+SELECT seq, ['Noche', 'Tarde', 'Mañana', 'Mediodía', 'General'][CAST(seq % 5 AS INTEGER) + 1] AS session,
+       strftime(draw_date, '%d') || ' ' || ['Ene', 'Feb', 'Mar', 'Abr', 'May', 'Jun', 'Jul', 'Ago', 'Sep', 'Oct', 'Nov', 'Dic'][month(draw_date)] AS short,
+       CASE WHEN year(draw_date) >= 1996 THEN strftime(draw_date, '%Y-%m') || ' ' ELSE '' END || '2010-01' AS months,
+       CASE WHEN seq % 2 = 0 THEN lottery WHEN seq % 3 = 0 THEN '4-NOT SPECIFIED' ELSE draw END AS lottery,
+       '{{"a":"<\\/b>' || draw || '"}}' AS json FROM raw""",
+    "parse_block_page": f"""WITH {_RAW}
+SELECT lottery, draw, CASE WHEN seq % 2 = 0 THEN CAST(draw_date + CAST(seq % 3 AS INTEGER) AS DATE) ELSE make_date(year(CAST(draw_date + CAST(seq % 3 AS INTEGER) AS DATE)), month(draw_date), day(draw_date)) END AS draw_date,
+       {_N3} FROM raw""",
+    "parse_list_page": f"WITH {_RAW} SELECT lottery, draw, draw_date, {_N3} FROM raw",
+    "parse_attribute_page": f"WITH {_RAW} SELECT lottery, draw, draw_date, {_N3} FROM raw",
+    "parse_table_page": f"WITH {_RAW} SELECT CASE draw WHEN 'P' THEN '5-LOW' ELSE lottery END AS lottery, draw || ' noche' AS draw, draw_date, {_N3} FROM raw",
+    "parse_text": f"WITH {_RAW} SELECT substr(lottery, 3) AS lottery, CASE WHEN seq % 2 = 0 THEN 'Noche' ELSE 'Tarde' END AS draw, draw_date, {_N3} FROM raw",
+    "parse_spreadsheet": f"""WITH {_RAW}
+SELECT 'Sheet' AS lottery, CASE draw WHEN 'F' THEN 'Early' ELSE 'Late' END AS draw, draw_date, {_N3} FROM raw
+WHERE draw IN ('F', 'O') AND draw_date <= DATE '1999-12-31' AND seq % 7 <> 0""",
+    "parse_feed": f"""WITH {_RAW}
+SELECT CASE WHEN seq % 11 = 0 THEN 'Sin nombre' ELSE lottery END AS lottery, CASE WHEN seq % 2 = 1 THEN draw WHEN seq % 4 = 0 THEN 'General' ELSE 't' || draw END AS draw, draw_date, {_N3} FROM raw WHERE seq % 13 <> 0""",
+    "wanted_draws": f"""WITH {_RAW}, names(l, d, lottery, draw) AS (VALUES ('1-urgent', 'f', 'Urgent', 'Early'), ('1-urgent', 'o', 'Urgent', 'Late'), ('3-medium', 'p', 'Medium', 'Other'))
+SELECT n.lottery, n.draw, draw_date, {_N3} FROM raw r JOIN names n ON lower(r.lottery) = n.l AND lower(r.draw) = n.d""",
+    "daily_job": f"""WITH {_RAW},
+existing AS (SELECT * REPLACE (CASE WHEN srank = 0 THEN 0 ELSE srank END AS srank) FROM raw WHERE seq % 2 = 0),
+incoming AS (
+  SELECT * EXCLUDE (k) REPLACE ('blocks' AS source, 1 AS srank) FROM (
+    SELECT *, row_number() OVER (PARTITION BY draw_date, lottery, draw ORDER BY srank, seq) AS k FROM raw WHERE seq % 2 = 1) WHERE k = 1),{_KEPT},
+both_rows AS (SELECT *, 0 AS batch FROM kept UNION ALL SELECT *, 1 FROM incoming)
+SELECT lottery, draw, draw_date, source, {_N3} FROM (SELECT *, row_number() OVER (PARTITION BY draw_date, lottery, draw ORDER BY srank, batch, seq) AS k FROM both_rows) WHERE k = 1""",
+    "percent_text": f"""WITH {_backtest(10)}
+SELECT d.lottery, d.draw, CAST(CAST(round(round(hit / tested, 3) * 100) AS INTEGER) AS VARCHAR) || '%' AS shown
+FROM (SELECT DISTINCT lottery, draw FROM draws) d LEFT JOIN (SELECT lottery, draw, count(*) AS tested, count(*) FILTER (WHERE len(hits) > 0) AS hit FROM hits GROUP BY ALL) h ON d.lottery = h.lottery AND d.draw = h.draw""",
     "slug_lookup": """SELECT page_id, CASE WHEN list_contains(regexp_split_to_array(lower(url), '[/?#]+'), 'example.org') THEN 'Org'
   WHEN list_contains(regexp_split_to_array(lower(url), '[/?#]+'), 'en') THEN 'English' WHEN list_contains(regexp_split_to_array(lower(url), '[/?#]+'), 'fr') THEN 'French'
   WHEN list_contains(regexp_split_to_array(lower(url), '[/?#]+'), 'page') THEN 'Page' WHEN contains(lower(url), 'example.org') THEN 'Org' WHEN contains(lower(url), 'en') THEN 'English'

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..functions.text import pad2
 from ..operators import backtest, base, board, compare, frequency
 from ..sources.schema import Dims
 
+#: Fixed value: a sentence of the document.
 DISCLAIMER = "Estas sugerencias son estadísticas y no garantizan resultados."
 
 
@@ -38,9 +40,11 @@ def predictions(draws: DataFrame, dims: Dims, reference: Column, limit: int = 10
 
 
 def by_lottery(draws: DataFrame, reference: Column, limit: int = 10) -> DataFrame:
-    """One row a lottery: its suggestions, last rows and total."""
+    """One row a lottery: its suggestions, last rows, total, and the compact
+    series of all its days."""
     out = suggestions(frequency.suggest(draws, ["lottery"], reference, limit), ["lottery"])
-    return out.join(_last(draws, ["lottery"]), "lottery", "left").join(frequency.group_totals(draws, ["lottery"]).withColumnRenamed("total", "total_results"), "lottery")
+    series = compare.daily_series(draws).groupBy("lottery").agg(F.array_sort(F.collect_list(F.struct("ymd", "n1", "n2", "n3"))).alias("daily"))
+    return out.join(series, "lottery", "left").join(_last(draws, ["lottery"]), "lottery", "left").join(frequency.group_totals(draws, ["lottery"]).withColumnRenamed("total", "total_results"), "lottery")
 
 
 def public(rows: DataFrame, dims: Dims) -> DataFrame:
@@ -58,25 +62,29 @@ def preserve(current: DataFrame, previous: DataFrame, by: list[str]) -> DataFram
 
 def base_report(draws: DataFrame, dims: Dims) -> dict[str, DataFrame]:
     """The base report's tables by name."""
-    rows = base.eligible(draws, dims)
+    rows = base.eligible(draws, dims).persist()
     each, ranked, pairs = base.exploded(rows, dims), base.strength(rows, dims), base.pair_counts(rows, dims)
     return {
         "window": base.window(rows, dims), "top_10_repeated": base.top_repeated(each, True), "top_10_historical": base.top_repeated(each, False),
         "delayed_by_position": base.delayed_by_position(each), "delayed_by_lottery": base.delayed_by_label(each, dims),
         "active_mirrors": base.active_mirrors(each), "frequent_pairs": base.frequent_pairs(pairs), "strength_ranking": ranked.where("rank <= 10"),
-        "elite_group": base.elite(ranked), "bullet_pair": base.bullet_pair(pairs),
+        "elite_group": base.elite(ranked), "bullet_pair": base.bullet_pair(pairs), "leader": base.leader(ranked),
+        "coincidences": base.top_coincidences(each), "drags": base.top_drags(rows, dims), "moving_numbers": base.top_moves(each),
     }
 
 
-def document(draws: DataFrame, dims: Dims, reference: Column, limit: int = 10) -> str:
-    """The whole report as JSON, put together on the driver: a row a lottery and
-    draw, and tables of a few rows."""
+def document(draws: DataFrame, dims: Dims, reference: Column, limit: int = 10, *, generated_at: datetime | None = None, requested_from: str | None = None) -> str:
+    """The whole report as JSON, put together on the driver as it is published: a
+    row a lottery and draw (with the lottery's whole series, which the page reads),
+    and tables of a few rows. generated_at is in its own zone."""
     rows = lambda df: [json.loads(r) for r in df.toJSON().collect()]
     lotteries = {r.pop("lottery"): {**r, "draws": {}} for r in rows(by_lottery(draws, reference, limit))}
     for r in rows(predictions(draws, dims, reference, limit)):
         lotteries[r.pop("lottery")]["draws"][r.pop("draw")] = r
     span = rows(frequency.coverage(draws))[0]
     return json.dumps({
+        "generated_at": generated_at and generated_at.isoformat(timespec="seconds"), "generated_at_display": generated_at and generated_at.strftime("%d/%m/%Y %H:%M"),
+        "generated_timezone": generated_at and str(generated_at.tzinfo), "requested_from_date": requested_from,
         "actual_from_date": span.get("from_date"), "actual_to_date": span.get("to_date"), "disclaimer": DISCLAIMER,
         "base_10": {name: rows(df) for name, df in base_report(draws, dims).items()}, "lotteries": lotteries,
     }, ensure_ascii=False, sort_keys=True)
@@ -111,8 +119,3 @@ def with_previous(document_: dict, previous: dict | None, base_only: bool = Fals
             if target is not None and isinstance(kept, dict) and "suggestions" in kept:
                 target["suggestions"] = kept["suggestions"]
     return True
-
-
-def month_table(draws: DataFrame, path: str) -> None:
-    """The monthly rollup that comparisons read, by lottery."""
-    compare.month_rollup(draws).write.mode("overwrite").partitionBy("lottery").parquet(path)

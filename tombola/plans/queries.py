@@ -11,14 +11,16 @@ from ..functions import text as T
 from ..operators import backtest, base, board, compare, frequency, reconcile
 from ..sources.derived import DIMS, SHEET, raw_draws
 from ..sources.history import with_key
-from . import publish
+from . import jobs, landed, publish
 
 Query = Callable[[SparkSession, str], DataFrame]
 A, B = "1-URGENT", "2-HIGH"
 
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.dedupe(raw_draws(spark, sf_dir), DIMS.ranks)
+    """The reconciled history. Reports read it several times, so it is kept: read and
+    reconciled once, and recomputed where an executor is lost."""
+    return reconcile.dedupe(raw_draws(spark, sf_dir), DIMS.ranks).persist()
 
 
 def _flat(rows: DataFrame) -> DataFrame:
@@ -32,12 +34,16 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1")
 
 
+def _on_raw(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(raw_draws(spark, sf_dir))
+
+
 def _on_draws(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(draws(spark, sf_dir))
 
 
 def _on_base(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(base.eligible(draws(spark, sf_dir), DIMS))
+    return lambda spark, sf_dir: f(base.eligible(draws(spark, sf_dir), DIMS).persist())
 
 
 def _on_each(f: Callable[[DataFrame], DataFrame]) -> Query:
@@ -57,12 +63,13 @@ def _text(column: str, table: str, key: str, f: Callable[[F.Column], F.Column],
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, f(F.col(column)).alias(into))
 
 
-def _preserved(rows: DataFrame) -> DataFrame:
-    """Yesterday's first suggestion of visible draws, today's of all others."""
+def _preserved(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Yesterday's ten suggestions of what is shown, today's of all others."""
     last = rows.agg(F.max("draw_date")).scalar()
-    best = lambda r, ref: frequency.suggest(r, ["lottery", "draw"], ref, 1).select("lottery", "draw", F.col("number").alias("suggestions"))
+    listed = F.array_sort(F.collect_list(F.struct("rank", "number"))).alias("suggestions")  # ten entries
+    best = lambda r, ref: frequency.suggest(r, by, ref, 10).groupBy(*by).agg(listed)
     before = best(rows.where(F.col("draw_date") < last), F.date_sub(last, 1))
-    return publish.preserve(best(rows, last), publish.public(before, DIMS), ["lottery", "draw"]).withColumnRenamed("suggestions", "number")
+    return publish.preserve(best(rows, last), publish.public(before, DIMS), by).select(*by, F.inline("suggestions"))
 
 
 def _range(rows: DataFrame) -> DataFrame:
@@ -77,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "result_key": lambda s, d: with_key(raw_draws(s, d)).select("seq", "result_key"),
     "coverage": _on_draws(frequency.coverage),
     "group_totals": _on_draws(lambda r: frequency.group_totals(r, ["lottery", "draw"])),
+    "last_seen": _on_draws(lambda r: frequency.number_counts(r, ["lottery"]).select("lottery", "number", "last_seen")),
     "number_frequency": _on_draws(lambda r: frequency.number_counts(r, ["lottery", "draw"])),
     "recent_frequency": _on_draws(lambda r: frequency.recent_counts(r, ["lottery"])),
     "suggest_by_lottery": _on_draws(lambda r: _suggest(r, ["lottery"])),
@@ -100,6 +108,10 @@ QUERIES: dict[str, Query] = {
     "coincidences": _on_each(lambda r: base.coincidences(r).drop("met")),
     "drags": _on_base(lambda r: base.drags(r, DIMS).drop("met")),
     "moves": _on_each(base.moves),
+    "coincidences_top": _on_each(base.top_coincidences),
+    "drags_top": _on_base(lambda r: base.top_drags(r, DIMS)),
+    "moves_top": _on_each(base.top_moves),
+    "leader": _on_base(lambda r: base.leader(base.strength(r, DIMS)).select("number", "score")),
     "mirror_counts": _on_each(base.mirror_counts),
     "active_mirrors": _on_each(base.active_mirrors),
     "strength_ranking": _on_base(lambda r: base.strength(r, DIMS).select("rank", "number", "mirror", "score", *[c for c, _ in base.WEIGHTS])),
@@ -111,7 +123,7 @@ QUERIES: dict[str, Query] = {
     "compare_calendar": _on_draws(lambda r: compare.by_calendar(r, month=6, week_day=3)),
     "compare_matching_draws": _on_draws(lambda r: compare.matching_draws(compare.by_calendar(r, month=6, week_day=3))),
     "compare_current": _on_draws(lambda r: compare.top(compare.current(_suggest(r, ["lottery"])), 10)),
-    "compare_top_shared": _on_draws(lambda r: compare.shared(_range(r), A, B)),
+    "compare_top_shared": _on_draws(lambda r: compare.shared(_range(r), A, B, 25)),
     "compare_delayed": _on_draws(lambda r: compare.delayed(_range(r))),
     "compare_four_conditions": _on_draws(lambda r: compare.four_conditions(_range(r), A, B)),
     "today_board": _on_draws(lambda r: board.today(r, _suggest(r, ["lottery", "draw"]), DIMS)),
@@ -123,11 +135,24 @@ QUERIES: dict[str, Query] = {
     "visible_draw_filter": _on_draws(lambda r: base.visible(r, DIMS).select("lottery", "draw", "draw_date", "seq")),
     "canonical_label": _on_draws(lambda r: base.canonical_label(r, DIMS).select("seq", "canonical")),
     "display_label": _on_draws(lambda r: base.display_label(r, DIMS).select("seq", "label")),
-    "preserve_suggestions": _on_draws(_preserved),
+    "preserve_suggestions": _on_draws(lambda r: _preserved(r, ["lottery", "draw"])),
+    "preserve_by_lottery": _on_draws(lambda r: _preserved(r, ["lottery"])),
     "normalize_text": _text("text", "documents", "doc_id", T.normalized, "normal"),
     "strip_tags": _text("html", "pages", "page_id", lambda c: T.one_spaced(T.without_tags(c)), "bare"),
     "extract_numbers": _text("text", "documents", "doc_id", lambda c: F.array_join(T.numbers_in(c), " "), "numbers"),
-    "find_date": _text("url", "pages", "page_id", T.date_in, "day"),
+    "find_date": _on_raw(landed.dates),
+    "repair_text": _on_raw(landed.repairs),
+    "small_functions": _on_raw(landed.small_functions),
+    "parse_block_page": _on_raw(landed.blocks),
+    "parse_list_page": _on_raw(landed.lists),
+    "parse_attribute_page": _on_raw(landed.attributes),
+    "parse_table_page": _on_raw(landed.tables),
+    "parse_text": _on_raw(landed.texts),
+    "parse_spreadsheet": _on_raw(landed.sheets),
+    "parse_feed": _on_raw(landed.feed),
+    "wanted_draws": _on_raw(landed.wanted),
+    "daily_job": lambda s, d: landed.daily_job(*_halves(s, d), jobs.daily, DIMS),
+    "percent_text": _on_draws(lambda r: backtest.report(r).select("lottery", "draw", T.percent(F.col("top5_any_hit_rate")).alias("shown"))),
     "slug_lookup": _text("url", "pages", "page_id", lambda c: T.lottery_of_path(c, DIMS.slugs), "lottery"),
 }
 
