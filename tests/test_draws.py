@@ -5,7 +5,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tombola.operators import backtest, base, board, compare, frequency, reconcile
+from tombola.operators import backtest, base, board, compare, frequency, parse, reconcile
 from tombola.sources import history
 from tombola.sources.schema import DRAWS, Dims
 
@@ -194,3 +194,19 @@ def test_streamed_files_are_merged(spark, tmp_path):
     make(spark, [("L1", "E", day(0), [3, 4], "a"), ("L1", "E", day(1), [5, 6], "a")]).write.mode("append").parquet(landed)
     ingest(spark, landed, root, check, RANKS).awaitTermination()
     assert {(r["draw_date"], tuple(r["numbers"])) for r in at(spark, root, 1).collect()} == {(day(0), (3, 4)), (day(1), (5, 6))}
+
+
+def test_fallback_counters_and_orders(spark, tmp_path):
+    one, two = make(spark, [("A", "x", day(1), [1, 2, 3], "api")]), make(spark, [("A", "x", day(2), [4, 5, 6], "page"), ("B", "x", day(1), [7, 8, 9], "page")])
+    both = reconcile.with_fallback(one, two, ["lottery"])
+    assert sorted((r["lottery"], r["source"]) for r in both.collect()) == [("A", "api"), ("B", "page")]
+    assert reconcile.added(one, both).head()[:] == (1, 2)
+    assert [r["lottery"] for r in history.oldest_first(both).collect()] == ["A", "B"]
+    assert not history.available(spark, None) and not history.available(spark, str(tmp_path / "none"))
+    (tmp_path / "sheet.csv").write_text(",2020-01-01,1,2,3,GANA\n")
+    assert history.available(spark, str(tmp_path / "sheet.csv"))
+    cells = history.read_cells(spark, str(tmp_path / "sheet.csv"))
+    assert parse.from_spreadsheet(cells, (("GANA", "L", "Gana"),), today=F.lit("2025-01-01").cast("date"), source="s").head()["numbers"] == [1, 2, 3]
+    history.write_table(both, str(tmp_path / "t"))
+    history.write_table(both.where("false"), str(tmp_path / "t"), "overwrite")
+    assert spark.read.schema(both.schema).parquet(str(tmp_path / "t")).count() == 0

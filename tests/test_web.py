@@ -16,9 +16,13 @@ class Handler(BaseHTTPRequestHandler):
         if self.path.startswith("/day/2020-01-02"):
             self.send_error(500)
             return
-        if self.path == "/feed":
+        if self.path.startswith("/strict") and int(self.headers["Range"].split("-")[0]) >= len(ROWS):
+            self.send_error(416)
+            return
+        if self.path.startswith(("/feed", "/strict")):
             first, last = map(int, self.headers["Range"].split("-"))
-            body = json.dumps(ROWS[first : last + 1])
+            found = [r for r in ROWS if "lottery=neq.A" not in self.path]
+            body = json.dumps((found[::-1] if "order=fecha.desc" in self.path else found)[first : last + 1])
         else:
             body = f"<p>{self.path}</p>"
         self.send_response(200)
@@ -55,3 +59,10 @@ def test_feed_is_read_whole(spark, server, rows, stripes):
     feed = web.read_feed(spark, server + "/feed", pageRows=str(rows), stripes=str(stripes))
     draws = history.from_feed(feed, server).collect()
     assert sorted(r["numbers"][0] for r in draws) == list(range(25)) and {len(r["numbers"]) for r in draws} == {2}
+
+
+def test_a_server_that_refuses_ranges_past_the_end(spark, server):
+    assert web.read_feed(spark, server + "/strict", pageRows="5", stripes="3").count() == 25
+    assert web.read_feed(spark, server + "/feed", order="fecha.desc", filter="lottery=neq.A").count() == 0
+    first = web.read_feed(spark, server + "/feed", order="fecha.desc", pageRows="100", stripes="1").head()
+    assert first["numeros"][0] == "24"

@@ -17,7 +17,9 @@ def source_rank(source: Column, ranks: tuple[tuple[str, int], ...]) -> Column:
 
 
 def _first_by(draws: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key: a partial aggregate, without sorting."""
+    """The first row of each key. A row isn't a fixed-width value, so Spark sorts
+    by key to aggregate, before the shuffle and after it; what is shuffled is one
+    row a key and task."""
     best = F.min_by(F.struct("*"), F.struct(*order)).alias("best")
     return draws.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(best).select("best.*")
 
@@ -47,6 +49,17 @@ def merge_history(existing: DataFrame, new: DataFrame, ranks: tuple[tuple[str, i
     return _first_by(both, SLOT, source_rank(F.col("source"), ranks), F.col("batch"), F.col("seq")).drop("batch")
 
 
+def with_fallback(primary: DataFrame, fallback: DataFrame, by: list[str]) -> DataFrame:
+    """The primary source's rows, and the fallback's for keys it has none of."""
+    return primary.unionByName(fallback.join(primary.select(*by).distinct(), by, "left_anti"))
+
+
+def added(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: what a batch has added to a history, and the total."""
+    total = after.agg(F.count("*").alias("total"))
+    return total.withColumn("new", F.col("total") - before.agg(F.count("*")).scalar()).select("new", "total")
+
+
 def insert_if_absent(existing: DataFrame, new: DataFrame) -> DataFrame:
     """The new rows to append: one for each full key the table lacks."""
     fresh = _first_by(with_key(new), ["result_key"], F.col("seq"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +14,28 @@ from .schema import DRAWS
 _FILE = "lottery string, draw string, draw_date date, numbers array<int>, source string"
 
 
+def available(spark: SparkSession, path: str | None) -> bool:
+    """Whether a path is given and something is there."""
+    if not path:
+        return False
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of a spreadsheet, landed as CSV without a header: c0 to c5."""
+    return spark.read.csv(path, schema=", ".join(f"c{k} string" for k in range(6)), multiLine=True)
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of records, or an empty history if there is no such file.
     Lottery, date and numbers are required; draw and source have defaults."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not available(spark, path):
         return spark.createDataFrame([], DRAWS)
     rows = spark.read.schema(_FILE).option("multiLine", True).option("mode", "FAILFAST").json(path)
     need = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"a record has no {c}"))).otherwise(F.col(c)).alias(c)
@@ -31,6 +49,10 @@ def newest_first(draws: DataFrame) -> DataFrame:
     return draws.orderBy(F.desc("draw_date"), F.desc("lottery"), F.desc("draw"))
 
 
+def oldest_first(draws: DataFrame) -> DataFrame:
+    return draws.orderBy("draw_date", "lottery", "draw")
+
+
 def rows(draws: DataFrame) -> DataFrame:
     """Records as they are published: ISO dates."""
     return draws.select("lottery", "draw", F.date_format("draw_date", "yyyy-MM-dd").alias("draw_date"), "numbers", "source")

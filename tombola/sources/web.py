@@ -4,6 +4,7 @@ and a REST feed read in ranges. Addresses are parameters."""
 from __future__ import annotations
 
 import json
+import urllib.error
 import urllib.request
 from collections.abc import Iterator
 
@@ -57,18 +58,25 @@ class _Stripe(InputPartition):
 
 class _FeedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.url, self.stripes, self.rows = options["url"], int(options.get("stripes", "4")), int(options.get("pageRows", str(PAGE_ROWS)))
+        asked = "&".join(p for p in (f"order={options['order']}" if "order" in options else "", options.get("filter", "")) if p)
+        self.url, self.stripes, self.rows = options["url"] + (f"?{asked}" if asked else ""), int(options.get("stripes", "4")), int(options.get("pageRows", str(PAGE_ROWS)))
         self.headers = json.loads(options.get("headers", "{}"))
 
     def partitions(self) -> list[_Stripe]:
         return [_Stripe(k) for k in range(self.stripes)]
 
     def read(self, stripe: _Stripe) -> Iterator[tuple]:
-        """Every stripes-th page from its own on, until one is short."""
+        """Every stripes-th page from its own on, until one is short or, as some
+        servers say it, out of range (416)."""
         page = stripe.number
         while True:
             first = page * self.rows
-            rows = json.loads(fetch(self.url, {**self.headers, "Range-Unit": "items", "Range": f"{first}-{first + self.rows - 1}"}))
+            try:
+                rows = json.loads(fetch(self.url, {**self.headers, "Range-Unit": "items", "Range": f"{first}-{first + self.rows - 1}"}))
+            except urllib.error.HTTPError as e:
+                if e.code != 416:
+                    raise
+                return
             for r in rows:
                 numbers = r.get("numeros")
                 yield (*(None if r.get(c) is None else str(r[c]) for c in ("loteria", "juego", "turno", "fecha")), None if numbers is None else [str(n) for n in numbers])
@@ -79,7 +87,9 @@ class _FeedReader(DataSourceReader):
 
 class PagedFeed(DataSource):
     """spark.read.format("paged_feed"): a JSON feed that answers ranges of rows;
-    options url, headers (JSON), pageRows and stripes (parallel readers)."""
+    options url, headers (JSON), pageRows and stripes (parallel readers); order
+    and filter go to the server as they are (order=..., column=neq.value). Ranges
+    read in parallel need an order, or rows may come twice or not at all."""
 
     @classmethod
     def name(cls) -> str:
