@@ -267,25 +267,33 @@ def test_classifier_on_odd_rows(spark):
 
 
 def plain_fit(docs, labels, rounds=classifier.ROUNDS):
-    """The whole fit without Spark. labels: (doc_id, quality)."""
+    """The whole fit without Spark, over arrays of all documents. labels:
+    (doc_id, quality)."""
     place = lambda i: (xxhash.xxh64_intdigest(struct.pack("<q", i), 42) + (1 << 63)) % (1 << 64)  # noqa: E731  as signed
     known = {}
     for i, q in labels:
         known[i] = min(known.get(i, q), q)
-    picked = {}
-    for i in sorted(docs, key=place)[: classifier.POOL]:
-        picked[i] = -1
-    for kind in (1, 0):
-        for i in sorted((i for i, q in known.items() if q == kind), key=place)[: classifier.LABELLED]:
-            if i in docs:
-                picked[i] = kind
-    order = sorted(picked, key=place)
-    label = np.array([picked[i] for i in order])
+    order = sorted(docs, key=place)
+    picked = {i for kind in (1, 0) for i in sorted((i for i, q in known.items() if q == kind), key=place)[: classifier.LABELLED]}
+    label = np.array([known[i] if i in picked else -1 for i in order])
     views = [np.array([classifier.text_view(docs[i][1]) for i in order]), np.array([classifier.metadata_view(*docs[i][2:5]) for i in order])]
     held = np.zeros(len(order), bool)
     for kind in (0, 1):
         held[np.flatnonzero(label == kind)[1::4]] = True
-    return classifier.co_train(views, label, held, rounds), order, label, held
+    mine = [np.where(held, -1, label).astype(float) for _ in views]  # what each view learns from
+    out, truth = [x[held] for x in views], label[held].astype(float)
+    learn = lambda: classifier.fitted([x[y >= 0] for x, y in zip(views, mine, strict=True)], [y[y >= 0] for y in mine], out, truth)
+    models = learn()
+    for _ in range(rounds):
+        new = [y.copy() for y in mine]
+        for view, (model, calibration) in enumerate(models):
+            p = 1 / (1 + np.exp(-np.clip(calibration.odds(model.odds(views[view])[:, None]), -30, 30)))
+            for kind, sure in ((1, p), (0, 1 - p)):
+                free = np.flatnonzero((label < 0) & (mine[1 - view] < 0) & (sure >= classifier.SURE))
+                new[1 - view][free[np.argsort(-np.round(sure[free], 6), kind="stable")[: classifier.SHARED]]] = kind
+        mine = new
+        models = learn()
+    return classifier.combined(models, out, truth), order, label, held
 
 
 @needs_data

@@ -2,14 +2,18 @@
 
 Two logistic models look at different views of a document: one at its text, one
 at its metadata (language, source, length). Both start from labelled documents.
-In each round either model labels the unlabelled documents it is surest of, and
-those become examples for the other. On labelled documents held out from all
-that, each model's scores are calibrated, the calibrated views are combined by
-adding their log-odds, and the threshold for rejection is set so that good ones
+Each model's scores are calibrated on labelled documents held out from all else. In
+each round either calibrated model labels the unlabelled documents it is surest of,
+and those become examples for the other; a view that tells nothing is sure of
+nothing and hands nothing over. At the end the calibrated views are combined by
+adding their log-odds, and the threshold for rejection is set so that held-out good ones
 pass. All documents are then scored, texts whole.
 
-Fitting takes bounded samples, picked by hash of the id: at most LABELLED
-labelled documents of each kind and POOL unlabelled ones. Scoring covers all.
+At most LABELLED labelled documents of each kind are taken, picked by hash of the
+id. The unlabelled side is the whole corpus: in each round Spark scores every
+other document with both models, and of all those either model is sure of the
+SHARED surest of each kind are handed over. What reaches the driver is bounded by these
+three numbers.
 
 Nulls: a null text is empty; a null language, source or length is a value of its
 own. Labels other than 0 and 1 and labels without an id are ignored. If either
@@ -31,10 +35,11 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, cut
 
-LABELLED, POOL = 3_000, 4_000
+LABELLED = 3_000
 ROUNDS = 4
 #: Documents either model hands to the other in a round, of each kind.
 SHARED = 150
@@ -70,7 +75,7 @@ def text_view(text: str | None) -> np.ndarray:
     hashed = np.zeros(SHAPES)
     for shape, times in shapes.items():
         hashed[xxhash.xxh32_intdigest(shape.translate(_SHAPE)) % SHAPES] += times
-    return np.concatenate([out, hashed / n])
+    return np.concatenate([out, hashed / n]).astype(np.float32).astype(float)  # kept as single floats
 
 
 def metadata_view(lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
@@ -134,61 +139,108 @@ class CoTrained:
         return _sigmoid(odds[0]), _sigmoid(odds[1]), _sigmoid(odds[0] + odds[1])
 
 
-def co_train(views: list[np.ndarray], label: np.ndarray, held: np.ndarray, rounds: int = ROUNDS) -> CoTrained:
-    """label: 1, 0, or -1 for unlabelled; held: labelled rows kept for
-    calibration and for nothing else."""
-    known = [np.where(held, -1, label).astype(float) for _ in views]
-    pool = (label < 0) & ~held
-    models = [Logistic() for _ in views]
-    for turn in range(rounds + 1):
-        for view, (model, own) in enumerate(zip(models, known, strict=True)):
-            model.fit(views[view][own >= 0], own[own >= 0])
-        if turn == rounds:
-            break
-        for view, model in enumerate(models):
-            other = known[1 - view]
-            p = _sigmoid(model.odds(views[view]))
-            for kind, sure in ((1, p), (0, 1 - p)):
-                free = np.flatnonzero(pool & (other < 0) & (sure >= SURE))
-                other[free[np.argsort(-sure[free], kind="stable")[:SHARED]]] = kind
-    y = label[held].astype(float)
-    fitted = CoTrained([(m, Logistic().fit(m.odds(x[held])[:, None], y)) for m, x in zip(models, views, strict=True)], 0.5)
-    good = fitted.scores(*[x[held][y == 1] for x in views])[2]
-    fitted.threshold = float(min(MOST_STRICT, np.quantile(good, LOST) / 2))
-    return fitted
-
-
-def _view_columns(text: Column, lang: Column, source: Column, n_chars: Column) -> Column:
-    @F.pandas_udf("text binary, metadata binary")
-    def of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for texts, langs, sources, lengths in batches:
-            yield pd.DataFrame({"text": [text_view(t).tobytes() for t in texts], "metadata": [metadata_view(*m).tobytes() for m in zip(langs, sources, lengths, strict=True)]})
+Pair = tuple[Logistic, Logistic]
+
+
+def fitted(examples: list[np.ndarray], kinds: list[np.ndarray], held: list[np.ndarray], y: np.ndarray) -> list[Pair]:
+    """A model of each view from its own examples, with its calibration on the
+    held-out rows: a view that tells nothing there is sure of nothing."""
+    models = [Logistic().fit(x, k) for x, k in zip(examples, kinds, strict=True)]
+    return [(m, Logistic().fit(m.odds(x)[:, None], y)) for m, x in zip(models, held, strict=True)]
+
+
+def sureness(pair: Pair, x: np.ndarray) -> np.ndarray:
+    """The calibrated probability of a good document by one view."""
+    return _sigmoid(pair[1].odds(pair[0].odds(x)[:, None]))
+
+
+def combined(pairs: list[Pair], held: list[np.ndarray], y: np.ndarray) -> CoTrained:
+    """Both views, with the threshold that held-out good documents set."""
+    out = CoTrained(pairs, 0.5)
+    good = out.scores(*[x[y == 1] for x in held])[2]
+    out.threshold = float(min(MOST_STRICT, np.quantile(good, LOST) / 2))
+    return out
+
+
+_PICKED = "view int, kind int, sure double, row long, doc_id long, place long, text binary, lang string, source string, n_chars double"
 
-    return of(text, lang, source, n_chars.cast("double"))
 
+def _views_of(batch: pd.DataFrame) -> list[np.ndarray]:
+    """Both views of rows as they are kept."""
+    text = np.frombuffer(b"".join(batch["text"]), np.float32).reshape(len(batch), -1).astype(float)
+    return [text, np.stack([metadata_view(*m) for m in zip(batch["lang"], batch["source"], batch["n_chars"], strict=True)])]
 
-def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained | None:
+
+def _viewed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Every document with an id, with its text view and, if it is one of `ids`
+    (doc_id, label), its label. Written, so that texts are read once."""
+
+    @F.pandas_udf("binary")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([text_view(t).astype(np.float32).tobytes() for t in texts], dtype=object)
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), of("text").alias("text"), "lang", "source", F.col("n_chars").cast("double").alias("n_chars"))
+    rows = rows.join(F.broadcast(ids), "doc_id", "left")  # at most 2 * LABELLED ids
+    return cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id").alias("place"), "label", "text", "lang", "source", "n_chars"))
+
+
+def _surest(rows: DataFrame, models: list[Pair], known: list[set[int]], shared: int) -> pd.DataFrame:
+    """The unlabelled rows that either view's model is surest of, for the other."""
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[batch["label"].isna()]
+            if not len(batch):
+                continue
+            for view, (pair, x) in enumerate(zip(models, _views_of(batch), strict=True)):
+                p = sureness(pair, x)
+                free = ~batch["row"].isin(known[1 - view]).to_numpy()
+                for kind, sure in ((1, p), (0, 1 - p)):
+                    # Rounded, so that it doesn't depend on how rows come in batches.
+                    part = batch.assign(view=view, kind=kind, sure=np.round(sure, 6))[free & (sure >= SURE)]
+                    yield part.sort_values(["sure", "place", "doc_id", "row"], ascending=[False, True, True, True]).head(shared)[[c.split()[0] for c in _PICKED.split(", ")]]
+
+    order = Window.partitionBy("view", "kind").orderBy(F.desc("sure"), "place", "doc_id", "row")
+    found = rows.mapInPandas(best, _PICKED).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= shared)
+    return found.orderBy("view", F.desc("kind"), "rank").toPandas()
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, rounds: int = ROUNDS, shared: int = SHARED) -> CoTrained | None:
     """None if either kind has fewer than two labelled documents. Reads the columns doc_id, text,
     lang, source and n_chars of docs, and doc_id and quality of labels."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    known = labels.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label"))
+    known = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
     ids = known.where("label = 1").orderBy(*order).limit(labelled).unionByName(known.where("label = 0").orderBy(*order).limit(labelled))
-    loose = docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(*order).limit(pool).select("doc_id", F.lit(-1).alias("label"))
-    # At most 2 * labelled + pool ids, so they may be broadcast.
-    ids = ids.unionByName(loose).groupBy("doc_id").agg(F.max("label").alias("label"))
-    picked = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(ids), "doc_id")
-    rows = picked.select("doc_id", "label", _view_columns(*[F.col(c) for c in ("text", "lang", "source", "n_chars")]).alias("v")).select("doc_id", "label", "v.*")
-    rows = rows.orderBy(*order, "text").limit(2 * labelled + pool).toPandas()
-    label = rows["label"].to_numpy() if len(rows) else np.zeros(0)
-    views = [np.frombuffer(b"".join(rows[c]), float).reshape(len(rows), -1) for c in ("text", "metadata")] if len(rows) else []
-    held = np.zeros(len(label), bool)
+    rows = _viewed(docs, ids)
+    own = rows.where("label is not null").orderBy("place", "doc_id", "row").limit(2 * labelled).toPandas()
+    label = own["label"].to_numpy()
+    held = np.zeros(len(own), bool)
     for kind in (0, 1):  # every fourth labelled document of each kind
         at = np.flatnonzero(label == kind)
         if len(at) < 2:
             return None
         held[at[1::4]] = True
-    return co_train(views, label, held, rounds)
+    views = _views_of(own)
+    examples = [x[~held] for x in views]
+    kinds = [label[~held].astype(float) for _ in views]
+    given: list[set[int]] = [set(), set()]
+    out, y = [x[held] for x in views], label[held].astype(float)
+    models = fitted(examples, kinds, out, y)
+    for _ in range(rounds):
+        picked = _surest(rows, models, given, shared)
+        if not len(picked):
+            break
+        more = _views_of(picked)
+        # A row that a view gives is an example of the other view only.
+        for view in (0, 1):
+            of = (picked["view"] == 1 - view).to_numpy()
+            given[view] |= set(picked["row"][of])
+            examples[view] = np.concatenate([examples[view], more[view][of]])
+            kinds[view] = np.concatenate([kinds[view], picked["kind"][of].to_numpy(float)])
+        models = fitted(examples, kinds, out, y)
+    return combined(models, out, y)
 
 
 def scored(docs: DataFrame, model: CoTrained | None, into: str = "quality") -> DataFrame:
