@@ -10,7 +10,11 @@ Appending bytes only adds entries; after an edit, entries before it stand, and
 those after it are recomputed until they have come back into step.
 
 Nulls: a null text is empty; an empty text has no tokens. Texts are encoded
-whole, each match of the pattern by itself, without special tokens.
+whole, however long, each match of the pattern by itself, without special tokens;
+a match's table of prefixes takes four bytes a byte. There are no ties: a prefix
+has one last token. Repeated rows are encoded alike, and ids don't matter. Columns
+that documents have besides may have any name; the one the result goes into is
+replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations

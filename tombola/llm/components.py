@@ -66,25 +66,25 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield star(held)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
+def _round(pairs: DataFrame) -> DataFrame:
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")).withColumn("m", F.least("n", "m"))
+    large = both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # A node's own least neighbour stays a link too.
+    large = cut(large.unionByName(least.where("m < n").select(F.col("n").alias("u"), F.col("m").alias("v"))).mapInArrow(_stars, "u long, v long").distinct())
+    least = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
+    small = large.join(least, F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return cut(small.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).mapInArrow(_stars, "u long, v long").distinct())
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: the least node of its component, for each node that a link
-    to another names. Nodes are longs. Null ends and loops count as no link.
-    With `rounds` it stops early: nodes of one root are connected, but what is
-    connected may have several roots, and a node may come twice."""
+    to another names. Nodes are longs. Null ends and loops count as no link."""
     u, v = F.greatest(a, b), F.least(a, b)
     pairs = links.where(F.col(a) != F.col(b)).select(u.cast("long").alias("u"), v.cast("long").alias("v"))
     pairs = cut(pairs.mapInArrow(_stars, "u long, v long").distinct())
-    mark, done = _mark(pairs), 0
-    while mark[0] and done != rounds:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")).withColumn("m", F.least("n", "m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # A node's own least neighbour stays a link too.
-        large = cut(large.unionByName(least.where("m < n").select(F.col("n").alias("u"), F.col("m").alias("v"))).mapInArrow(_stars, "u long, v long").distinct())
-        least = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-        small = large.join(least, F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = cut(small.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).mapInArrow(_stars, "u long, v long").distinct())
-        before, mark, done = mark, _mark(pairs), done + 1
-        if mark == before:
-            break
+    mark, before = _mark(pairs), None
+    while mark[0] and mark != before:
+        pairs = _round(pairs)
+        before, mark = mark, _mark(pairs)
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

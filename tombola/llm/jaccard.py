@@ -53,8 +53,6 @@ SEED = 42
 NAMED, FREQUENT = 3, 100_000
 #: The most sets of one shingle in a block.
 PART = 512
-#: Rounds of finding out what is connected before sets are compared.
-KNOWN_ROUNDS = 1
 #: Keys by which a task knows copies again.
 KEYS_KEPT = 1_000_000
 
@@ -270,9 +268,9 @@ def checked(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataF
 
 
 def missing(marked: DataFrame, texts: DataFrame, known: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """a, b: the links of `known` (a, b) and those that are missing there to
-    connect all sets that are similar. marked: key, size, bits, named and times,
-    a row a text or more."""
+    """a, b: pairs that connect what `known` (a, b) does and, besides, all sets
+    that are similar. marked: key, size, bits, named and times, a row a text or
+    more."""
     spark = marked.sparkSession
     order = spark.sparkContext.broadcast(frequent(marked))
 
@@ -301,13 +299,15 @@ def missing(marked: DataFrame, texts: DataFrame, known: DataFrame, shingle: int
     dealt = dealt.select("list", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     tried = None
     for turn in ROUNDS:
-        # What is known to be connected is only spared, so a few rounds do.
-        roots = cut(components(known, rounds=KNOWN_ROUNDS).groupBy("node").agg(F.min("root").alias("root")))
+        # Classes stand for the links that make them.
+        roots = cut(components(known))
+        known = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
         rooted = cut(dealt.join(roots, F.col("key") == F.col("node"), "left").select("list", "key", "x", "y", F.coalesce("root", "key").alias("root")))
         open_blocks = rooted.groupBy("list", "x", "y").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("list", "x", "y")
         placed = rooted.join(open_blocks, ["list", "x", "y"], "left_semi").join(sets, "key")
         pairs = _candidates(placed, turn)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        known = cut(known.unionByName(checked(pairs, texts, shingle)))
-        tried = pairs if tried is None else cut(tried.unionByName(pairs))
+        # All of these are written; as many partitions as for any other step do.
+        known = known.unionByName(checked(pairs, texts, shingle)).coalesce(shuffle_partitions(spark))
+        tried = pairs if tried is None else tried.unionByName(pairs).coalesce(shuffle_partitions(spark))
     return known

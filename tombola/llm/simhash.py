@@ -21,8 +21,12 @@ is one entry of the index.
 
 Nulls: a null text has no shingles and so fingerprint zero, as has an empty one;
 zero links like any other. Rows with a null id are grouped but never name
-a class, unless nothing else does. Repeated rows share a fingerprint. An empty
-table gives an empty result.
+a class, unless nothing else does. Repeated rows share a fingerprint; a class goes
+by its least id, so there are no ties. A very long text is hashed whole, its
+shingles' hashes (8 bytes each) held by one task. Columns that documents have
+besides may have any name. An empty table gives an empty result.
+
+`one_of_each` takes classes of similar texts instead: see similar_links.
 """
 
 from __future__ import annotations
