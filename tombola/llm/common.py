@@ -50,6 +50,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def together(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """df dealt so that rows of equal keys are in one partition, and there in the
+    order of `keys` and then `order`, for a function that takes whole partitions.
+    The exchange is by a hash of the keys in a column of its own: a repartition by
+    keys that a join below has dealt by already is dropped as needless, and the
+    join's own shuffle may then be read piecewise, which tears keys apart."""
+    dealt = df.withColumn("_dealt", F.xxhash64(*keys)).repartition(shuffle_partitions(df.sparkSession), "_dealt")
+    return dealt.sortWithinPartitions(*keys, *(order or [])).drop("_dealt")
+
+
 def copies(df: DataFrame, into: str = "copy", run: int = 1000) -> DataFrame:
     """df, each row with its number among the rows equal to it, from 0. Equal rows
     are counted before they are shuffled, and a row of which there are many is

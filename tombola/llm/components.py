@@ -40,8 +40,11 @@ def least_of(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return root
 
 
-def _mark(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).head())
+def _flat(pairs: DataFrame) -> bool:
+    """Whether the links are stars: every node hangs on one, which hangs on none."""
+    hangs, holds = pairs.select(F.col("u").alias("n"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")), pairs.select(F.col("v").alias("n"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    ends = hangs.unionByName(holds).groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return ends.where("hangs + holds > 1").isEmpty()
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,8 +86,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     u, v = F.greatest(a, b), F.least(a, b)
     pairs = links.where(F.col(a) != F.col(b)).select(u.cast("long").alias("u"), v.cast("long").alias("v"))
     pairs = cut(pairs.mapInArrow(_stars, "u long, v long").distinct())
-    mark, before = _mark(pairs), None
-    while mark[0] and mark != before:
+    while not _flat(pairs):
         pairs = _round(pairs)
-        before, mark = mark, _mark(pairs)
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

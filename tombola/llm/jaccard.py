@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, shuffle_partitions
+from .common import LOWER, UPPER, cut, shuffle_partitions, together
 from .components import components
 
 SHINGLE = 5
@@ -201,7 +201,7 @@ def _candidates(placed: DataFrame, turn: str) -> DataFrame:
         found.update(pairs(held))
         yield _pairs(found)
 
-    placed = placed.repartition(shuffle_partitions(placed.sparkSession), "list", "x", "y").sortWithinPartitions("list", "x", "y")
+    placed = together(placed, ["list", "x", "y"])
     return placed.select("list", "x", "y", "size", "key", "bits", "root").mapInArrow(within, "a long, b long").distinct()
 
 
@@ -289,7 +289,7 @@ def missing(marked: DataFrame, texts: DataFrame, known: DataFrame, shingle: int
             yield pd.Series(out, dtype=object)
 
     firsts = texts.select(F.explode(first("text", "key")).alias("h"), "key")
-    firsts = firsts.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "key")
+    firsts = together(firsts, ["h"], ["key"])
     shared = cut(firsts.mapInArrow(_lists, "list long, sets long, key long").distinct())
     sets = marked.join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
     sets = cut(sets)
@@ -297,17 +297,22 @@ def missing(marked: DataFrame, texts: DataFrame, known: DataFrame, shingle: int
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
     dealt = shared.select("list", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("list", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    tried = None
+    tried, roots = None, cut(components(known))
     for turn in ROUNDS:
         # Classes stand for the links that make them.
-        roots = cut(components(known))
         known = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
         rooted = cut(dealt.join(roots, F.col("key") == F.col("node"), "left").select("list", "key", "x", "y", F.coalesce("root", "key").alias("root")))
         open_blocks = rooted.groupBy("list", "x", "y").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("list", "x", "y")
         placed = rooted.join(open_blocks, ["list", "x", "y"], "left_semi").join(sets, "key")
-        pairs = _candidates(placed, turn)
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = cut(_candidates(placed, turn))
+        if pairs.isEmpty():  # and so would be all later rounds
+            break
+        if tried is not None:
+            pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        found = checked(pairs, texts, shingle)
         # All of these are written; as many partitions as for any other step do.
-        known = known.unionByName(checked(pairs, texts, shingle)).coalesce(shuffle_partitions(spark))
         tried = pairs if tried is None else tried.unionByName(pairs).coalesce(shuffle_partitions(spark))
+        if not found.isEmpty():
+            known = known.unionByName(found).coalesce(shuffle_partitions(spark))
+            roots = cut(components(known))
     return known

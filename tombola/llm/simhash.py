@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import cut, together
 from .components import components, least_of
 from .jaccard import SHINGLE, bitmap, checked, key_of, missing, named, shingle_hashes, words_of
 
@@ -204,10 +204,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, rows: int = NODE_ROWS) -> D
         if size:
             yield linked(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    spark = distinct.sparkSession
     nodes = top_nodes(distinct, radius, rows).withColumn("gray", gray_rank(F.col("fp")))
-    nodes = nodes.repartition(shuffle_partitions(spark), "path", "shared").sortWithinPartitions("path", "shared", "gray")
-    return nodes.select("path", "shared", "fp").mapInArrow(within, "a long, b long")
+    return together(nodes, ["path", "shared"], ["gray"]).select("path", "shared", "fp").mapInArrow(within, "a long, b long")
 
 
 def classes(marked: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
