@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, html_text, licenses, mixing, quality_rules, sharding, simhash, urls, vectors
+from . import bpe, chat, classifier, html_text, importance, licenses, mixing, quality_rules, sharding, simhash, urls, vectors, whitening
 from .common import lean_batches, table
 
 
@@ -29,10 +29,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": _over(vectors.op8, "embeddings"),
     "op9_simhash": _over(simhash.op9, "documents"),
     "op10_bpe": _over(bpe.op10, "documents"),
+    "op11_resampling": _over(importance.op11, "documents", "benchmark"),
+    "op12_whitening": _over(whitening.op12, "embeddings"),
+    "op13_chat": _over(chat.op13, "conversations"),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.OP1_SQL,
     "op3_rules": quality_rules.OP3_SQL,
     "op6_urls": urls.OP6_SQL,
+    "op11_resampling": importance.OP11_SQL,
+    "op13_chat": chat.OP13_SQL,
 }
