@@ -108,7 +108,7 @@ def dates(rows: DataFrame) -> DataFrame:
     kind = F.col("seq") % 6
     said = F.when(kind == 0, _said("el ", _day("d/M/yyyy"), " y 7")).when(kind == 1, _said("x ", _day("d-M-yy"))).when(kind == 2, _said(_day("yyyy-M-d"), "."))
     said = said.when(kind == 3, _said("31/02/2024 y ", _day("d/M/yyyy"))).when(kind == 4, _said("1", _day("dd/MM/yyyy"), "5 none")).otherwise(_said("Lunes <b>", _long_day(), "</b>"))
-    return rows.select("seq", T.date_in(said).alias("day"), T.date_or_long_date_in(said).alias("any_day"))
+    return rows.select("seq", T.bound(said, lambda x: F.struct(T.date_in(x).alias("day"), T.date_or_long_date_in(x).alias("any_day"))).alias("found")).select("seq", "found.*")
 
 
 def repairs(rows: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def repairs(rows: DataFrame) -> DataFrame:
     damaged = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
     kind, number = F.col("seq") % 4, F.col("seq").cast("string")
     said = F.when(kind == 0, damaged(_said("Lotería  ", number))).when(kind == 1, damaged(_said("<b>SEÑAL</b> ", number))).when(kind == 2, _said("Ã broken ", number)).otherwise(_said(" Plain É ", number))
-    return rows.select("seq", T.repaired(said).alias("repaired"), T.clean(said).alias("clean"), T.normalized(said).alias("normal"))
+    return rows.select("seq", T.bound(said, lambda x: F.struct(T.repaired(x).alias("repaired"), T.clean(x).alias("clean"), T.normalized(x).alias("normal"))).alias("found")).select("seq", "found.*")
 
 
 def small_functions(rows: DataFrame) -> DataFrame:

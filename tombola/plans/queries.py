@@ -38,6 +38,17 @@ def _on_raw(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(raw_draws(spark, sf_dir))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table of fewer splits than the session has cores, dealt over all of
+    them: parsing is bound by the processor. Larger tables are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def _on_pages(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(_spread(raw_draws(spark, sf_dir)))
+
+
 def _on_draws(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(draws(spark, sf_dir))
 
@@ -60,7 +71,7 @@ def _import(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _text(column: str, table: str, key: str, f: Callable[[F.Column], F.Column], into: str) -> Query:
-    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, f(F.col(column)).alias(into))
+    return lambda spark, sf_dir: _spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")).select(key, f(F.col(column)).alias(into))
 
 
 def _preserved(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -140,14 +151,14 @@ QUERIES: dict[str, Query] = {
     "normalize_text": _text("text", "documents", "doc_id", T.normalized, "normal"),
     "strip_tags": _text("html", "pages", "page_id", lambda c: T.one_spaced(T.without_tags(c)), "bare"),
     "extract_numbers": _text("text", "documents", "doc_id", lambda c: F.array_join(T.numbers_in(c), " "), "numbers"),
-    "find_date": _on_raw(landed.dates),
-    "repair_text": _on_raw(landed.repairs),
-    "small_functions": _on_raw(landed.small_functions),
-    "parse_block_page": _on_raw(landed.blocks),
-    "parse_list_page": _on_raw(landed.lists),
-    "parse_attribute_page": _on_raw(landed.attributes),
-    "parse_table_page": _on_raw(landed.tables),
-    "parse_text": _on_raw(landed.texts),
+    "find_date": _on_pages(landed.dates),
+    "repair_text": _on_pages(landed.repairs),
+    "small_functions": _on_pages(landed.small_functions),
+    "parse_block_page": _on_pages(landed.blocks),
+    "parse_list_page": _on_pages(landed.lists),
+    "parse_attribute_page": _on_pages(landed.attributes),
+    "parse_table_page": _on_pages(landed.tables),
+    "parse_text": _on_pages(landed.texts),
     "parse_spreadsheet": _on_raw(landed.sheets),
     "parse_feed": _on_raw(landed.feed),
     "wanted_draws": _on_raw(landed.wanted),
