@@ -48,7 +48,7 @@ def test_entry(spark):
     assert set(QUERIES) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith("parse_")] + ["find_date", "repair_text", "daily_job"])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith("parse_")] + ["find_date", "repair_text"])
 def test_expressions_do_not_multiply(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_") < 30

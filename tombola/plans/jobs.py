@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import parse, reconcile
-from ..sources import history
+from ..sources import history, versions
 from ..sources.schema import DRAWS, SLOT, Dims
+from ..sources.versions import Version
 
 
 def daily(existing: DataFrame, pages: DataFrame, dims: Dims) -> DataFrame:
@@ -51,16 +52,33 @@ def spreadsheet_import(existing: DataFrame, sheet: DataFrame, source: str, path:
     return merged, counted
 
 
+def keep_daily(spark: SparkSession, root: str, pages: DataFrame, dims: Dims) -> Version:
+    """`daily` as the next version of the history at `root`; its entry has the
+    counters of the batch."""
+    return versions.update(spark, root, lambda existing: daily(existing, pages, dims))
+
+
+def keep_backfill(spark: SparkSession, root: str, blocks: DataFrame, tables: DataFrame, dims: Dims, keywords: tuple[tuple[str, str], ...]) -> Version:
+    return versions.update(spark, root, lambda existing: backfill(existing, blocks, tables, dims, keywords))
+
+
+def keep_import(spark: SparkSession, root: str, sheet: DataFrame, source: str) -> tuple[Version, DataFrame]:
+    """A sheet merged into the next version, and the counters of that merge."""
+    made = versions.update(spark, root, lambda existing: reconcile.import_merge(existing, sheet, source))
+    before = versions.read(spark, root, made.number - 1) if made.number else spark.createDataFrame([], DRAWS)
+    return made, reconcile.import_counters(before, sheet, source)
+
+
+def keep_migrated(spark: SparkSession, root: str, json_path: str) -> Version:
+    """What a JSON history has and the newest version lacks, added to it."""
+    found = history.read_json(spark, json_path)
+    return versions.update(spark, root, lambda there: there.unionByName(reconcile.insert_if_absent(there, found).drop("result_key")))
+
+
 def migrate(spark: SparkSession, json_path: str, table_path: str) -> int:
     """Appends to the table what a JSON history has and the table lacks; the
-    number of rows added."""
-    try:
-        there = spark.read.parquet(table_path).select(*DRAWS.names)
-    except Exception as e:  # noqa: BLE001  no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        there = spark.createDataFrame([], DRAWS)
-    new = reconcile.insert_if_absent(there, history.read_json(spark, json_path)).drop("result_key")
-    counted = new.count()
-    history.write_table(new, table_path)
-    return counted
+    number of rows added, counted as they are written."""
+    seen = Observation()
+    new = history.clustered(history.insert(history.read_json(spark, json_path), table_path)).observe(seen, F.count(F.lit(1)).alias("rows"))
+    history.save(new, table_path, "append")
+    return seen.get["rows"]

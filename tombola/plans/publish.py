@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import pad2
 from ..operators import backtest, base, board, compare, frequency
 from ..sources.schema import Dims
+from ..sources.sinks import write_document
 
 #: Fixed value: a sentence of the document.
 DISCLAIMER = "Estas sugerencias son estadísticas y no garantizan resultados."
@@ -90,6 +91,11 @@ def document(draws: DataFrame, dims: Dims, reference: Column, limit: int = 10, *
     }, ensure_ascii=False, sort_keys=True)
 
 
+def save(spark: SparkSession, text: str, path: str) -> None:
+    """Puts a document in place of the one at `path`, as a whole or not at all."""
+    write_document(spark.createDataFrame([(text,)], "value string"), path, array=False)
+
+
 def previous_document(spark: SparkSession, path: str) -> dict | None:
     """The document at `path`, or None if it is missing or isn't JSON."""
     try:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import pad2
 from .schema import DRAWS
+from .sinks import write_document
 
 _FILE = "lottery string, draw string, draw_date date, numbers array<int>, source string"
 
@@ -59,24 +58,64 @@ def rows(draws: DataFrame) -> DataFrame:
 
 
 def export_json(draws: DataFrame, path: str) -> None:
-    """One JSON array, newest first: a publishing step on the driver's disk.
-    Rows come to the driver one partition at a time."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        for k, row in enumerate(rows(newest_first(draws)).toLocalIterator()):
-            f.write(("," if k else "") + "\n" + json.dumps(row.asDict(), ensure_ascii=False))
-        f.write("\n]\n")
+    """One JSON array, newest first, put in place of the old one as a whole."""
+    write_document(rows(newest_first(draws)).select(F.to_json(F.struct("*")).alias("value")), path)
 
 
-def write_table(draws: DataFrame, path: str, mode: str = "append") -> None:
-    """The canonical store: Parquet by year, so that date ranges prune files.
-    mode="overwrite" with an empty frame truncates it."""
-    draws.withColumn("year", F.year("draw_date")).write.mode(mode).partitionBy("year").parquet(path)
+#: How rows lie in a table, within years: what the columns of an index would be.
+LAYOUT = ["year", "lottery", "draw", "draw_date"]
+#: Row groups are small enough that one holds few lotteries. (Bytes.)
+ROW_GROUP = 16 << 20
+
+
+def clustered(draws: DataFrame) -> DataFrame:
+    """With year, in ranges of LAYOUT, so that files and row groups hold few
+    lotteries and draws. A frequent lottery's rows are split by draw and date."""
+    return draws.withColumn("year", F.year("draw_date")).repartitionByRange(*LAYOUT).sortWithinPartitions(*LAYOUT)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Ordered by date, newest first, then lottery and draw."""
-    return spark.read.parquet(path).drop("year").orderBy(F.desc("draw_date"), "lottery", "draw")
+def save(laid: DataFrame, path: str, mode: str) -> None:
+    """Writes what `clustered` has laid out: by year, so that dates prune folders, with
+    statistics of sorted row groups for ranges, and Bloom filters where a lottery
+    or draw is between others."""
+    out = laid.write.mode(mode).partitionBy("year").option("parquet.block.size", str(ROW_GROUP))
+    for column in ("lottery", "draw"):
+        out = out.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", "1000")
+    out.parquet(path)
+
+
+def write_table(draws: DataFrame, path: str, mode: str = "append") -> None:
+    """The canonical store. mode="overwrite" with an empty frame truncates it."""
+    save(clustered(draws), path, mode)
+
+
+def read_table(spark: SparkSession, path: str, *, lottery: str | None = None, draw: str | None = None, start: str | None = None, end: str | None = None, ordered: bool = True) -> DataFrame:
+    """Rows of a lottery, a draw and days from start to end, where given: years
+    that aren't asked for aren't listed, row groups without the lottery or draw not read.
+    Ordered by date, newest first, then lottery and draw."""
+    found = spark.read.parquet(path)
+    for column, value in (("lottery", lottery), ("draw", draw)):
+        if value is not None:
+            found = found.where(F.col(column) == value)
+    if start is not None:
+        found = found.where((F.col("year") >= int(start[:4])) & (F.col("draw_date") >= F.lit(start).cast("date")))
+    if end is not None:
+        found = found.where((F.col("year") <= int(end[:4])) & (F.col("draw_date") <= F.lit(end).cast("date")))
+    found = found.drop("year")
+    return found.orderBy(F.desc("draw_date"), "lottery", "draw") if ordered else found
+
+
+def insert(draws: DataFrame, path: str) -> DataFrame:
+    """The rows of `draws` to append: one for each full key that the stored table
+    lacks. Only the years that `draws` has are read."""
+    spark = draws.sparkSession
+    if not available(spark, path):
+        years, there = [], spark.createDataFrame([], DRAWS)
+    else:
+        years = [r[0] for r in draws.select(F.year("draw_date")).distinct().collect()]  # a row a year
+        there = spark.read.parquet(path).where(F.col("year").isin(years))
+    fresh = with_key(draws).groupBy("result_key").agg(F.min_by(F.struct(*draws.columns), "seq").alias("row"))
+    return fresh.join(with_key(there).select("result_key"), "result_key", "left_anti").select("row.*")
 
 
 def with_key(draws: DataFrame) -> DataFrame:
