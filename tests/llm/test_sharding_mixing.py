@@ -184,3 +184,22 @@ def test_map_versions_are_stored(spark, tmp_path):
     sharding.store_map(spark, first, path)
     sharding.store_map(spark, second, path)
     assert sharding.load_map(spark, path) == second and sharding.load_map(spark, path, 0) == first
+
+
+def test_a_stored_map_is_edited_and_few_rows_move(spark, tmp_path):
+    maps = f"file://{tmp_path}/maps"
+    docs = spark.range(6000).selectExpr("id as doc_id", "repeat('x', cast(20 + id % 50 as int)) as text", "'en' as lang", "'s' as source", "1L as n_chars")
+    first = {r["doc_id"]: r for r in sharding.op2(docs.where("doc_id < 5000"), maps).collect()}
+    grown = {r["doc_id"]: r for r in sharding.op2(docs, maps).collect()}
+    assert {r["map_version"] for r in first.values()} == {1} and {r["map_version"] for r in grown.values()} == {2}
+    assert sharding.load_map(spark, maps, 1).moved(sharding.load_map(spark, maps))
+    assert all(first[k]["virtual_slot"] == grown[k]["virtual_slot"] for k in first)
+    moved = sum(first[k]["shard"] != grown[k]["shard"] for k in first)
+    assert 0 < moved < 0.1 * len(first)
+    for rows in (first, grown):
+        held = {}
+        for r in rows.values():
+            held[r["shard"]] = held.get(r["shard"], 0) + r["size"]
+        assert len(held) == 16 and max(held.values()) < 1.02 * min(held.values())
+    again = {r["doc_id"]: r["shard"] for r in sharding.op2(docs, maps).collect()}
+    assert again == {k: r["shard"] for k, r in grown.items()}
