@@ -22,6 +22,12 @@ def group_totals(draws: DataFrame, by: list[str]) -> DataFrame:
     return draws.groupBy(*by).agg(F.count("*").alias("total"))
 
 
+def groups_in_order(draws: DataFrame, by: list[str]) -> DataFrame:
+    """The groups and their places in code-point order, as reports list them: one
+    row a group, ordered in one task."""
+    return draws.select(*by).distinct().withColumn("place", F.row_number().over(Window.orderBy(*by)))
+
+
 def newest(draws: DataFrame, by: list[str], n: int) -> DataFrame:
     """The n newest rows of each group, with their place. Each task passes on no
     more than n rows a group."""

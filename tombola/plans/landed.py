@@ -136,3 +136,24 @@ def daily_job(there: DataFrame, comes: DataFrame, job: Callable[[DataFrame, Data
     new = reconcile.dedupe(comes, dims.ranks).withColumn("page_date", F.col("draw_date"))
     dims = Dims(start=dims.start, ranks=(("blocks", 1), *dims.ranks), slugs=SLUGS)
     return job(there, block_pages(new, F.lit("")), dims).select("lottery", "draw", "draw_date", "source", *[F.get("numbers", F.lit(k)).alias(f"n{k + 1}") for k in range(3)])
+
+
+def backfill_job(there: DataFrame, comes: DataFrame, job: Callable[..., DataFrame], dims: Dims) -> DataFrame:
+    """The job with a history, block pages of one half of what comes and monthly
+    tables of the other, one row a slot in each."""
+    halves = [reconcile.dedupe(comes.where(F.col("seq") % 4 == k), dims.ranks) for k in (1, 3)]
+    html = _said("<tr><td>", _day("d/M/yyyy"), "</td><td>", F.col("draw"), "</td><td>", _n(0), " ", _n(1), " ", _n(2), "</td></tr>")
+    pages = block_pages(halves[0].withColumn("page_date", F.col("draw_date")), F.lit(""))
+    dims = Dims(start=dims.start, ranks=(("blocks", 1), ("table", 2), *dims.ranks), slugs=SLUGS)
+    return _flat(job(there, pages, halves[1].select(html.alias("html"), "lottery"), dims, ()))
+
+
+def gap_fill_job(there: DataFrame, comes: DataFrame, job: Callable[..., DataFrame], dims: Dims) -> DataFrame:
+    """The job with a history, and block pages of what comes, one row a slot."""
+    new = reconcile.dedupe(comes, dims.ranks).withColumn("page_date", F.col("draw_date"))
+    dims = Dims(start=dims.start, ranks=(("blocks", 1), *dims.ranks), slugs=SLUGS)
+    return _flat(job(there, block_pages(new, F.lit("")), "1995-01-01", "2001-12-31", ("Urgent",), WANTED, dims))
+
+
+def initials(rows: DataFrame) -> DataFrame:
+    return rows.select("seq", T.initials(F.when(F.col("seq") % 5 > 0, F.concat(F.lit("Lotería "), "lottery")).otherwise(" Lotería ")).alias("initials"))

@@ -353,6 +353,35 @@ incoming AS (
     SELECT *, row_number() OVER (PARTITION BY draw_date, lottery, draw ORDER BY srank, seq) AS k FROM raw WHERE seq % 2 = 1) WHERE k = 1),{_KEPT},
 both_rows AS (SELECT *, 0 AS batch FROM kept UNION ALL SELECT *, 1 FROM incoming)
 SELECT lottery, draw, draw_date, source, {_N3} FROM (SELECT *, row_number() OVER (PARTITION BY draw_date, lottery, draw ORDER BY srank, batch, seq) AS k FROM both_rows) WHERE k = 1""",
+    "backfill_job": f"""WITH {_RAW},
+existing AS (SELECT * FROM raw WHERE seq % 2 = 0),
+pages AS (SELECT *, row_number() OVER (PARTITION BY draw_date, lottery, draw, seq % 4 ORDER BY srank, seq) AS k FROM raw WHERE seq % 2 = 1),
+incoming AS (
+  SELECT * EXCLUDE (k, k2) FROM (
+    SELECT * REPLACE (CASE WHEN seq % 4 = 1 THEN 'blocks' ELSE 'table' END AS source, CASE WHEN seq % 4 = 1 THEN 1 ELSE 2 END AS srank),
+           row_number() OVER (PARTITION BY draw_date, lottery, draw ORDER BY seq % 4) AS k2 FROM pages WHERE k = 1) WHERE k2 = 1),{_KEPT},
+both_rows AS (SELECT *, 0 AS batch FROM kept UNION ALL SELECT *, 1 FROM incoming)
+SELECT lottery, draw, draw_date, {_N3} FROM (SELECT *, row_number() OVER (PARTITION BY draw_date, lottery, draw ORDER BY srank, batch, seq) AS k FROM both_rows) WHERE k = 1""",
+    "gap_fill_job": f"""WITH {_RAW}, names(l, d, lottery, draw) AS (VALUES ('1-urgent', 'f', 'Urgent', 'Early'), ('1-urgent', 'o', 'Urgent', 'Late'), ('3-medium', 'p', 'Medium', 'Other')),
+kept AS (
+  SELECT * EXCLUDE (k) FROM (
+    SELECT n.lottery, n.draw, draw_date, numbers, row_number() OVER (PARTITION BY draw_date, n.lottery, n.draw ORDER BY seq DESC) AS k
+    FROM raw r JOIN names n ON lower(r.lottery) = n.l AND lower(r.draw) = n.d WHERE seq % 2 = 0) WHERE k = 1),
+gaps AS (
+  SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS day
+  EXCEPT SELECT draw_date FROM kept WHERE lottery = 'Urgent'),
+found AS (
+  SELECT n.lottery, n.draw, draw_date, numbers FROM (
+    SELECT *, row_number() OVER (PARTITION BY draw_date, lottery, draw ORDER BY srank, seq) AS k FROM raw WHERE seq % 2 = 1) r
+  JOIN names n ON lower(r.lottery) = n.l AND lower(r.draw) = n.d JOIN gaps ON day = draw_date WHERE k = 1)
+SELECT lottery, draw, draw_date, {_N3} FROM (
+  SELECT * FROM kept UNION ALL
+  SELECT f.* FROM found f ANTI JOIN kept k ON f.lottery = k.lottery AND f.draw = k.draw AND f.draw_date = k.draw_date)""",
+    "ingest_counters": f"""WITH {_HALVES},{_KEPT}, slots AS (SELECT DISTINCT draw_date, lottery, draw FROM (SELECT * FROM kept UNION ALL SELECT * FROM incoming))
+SELECT (SELECT count(*) FROM slots) AS total, (SELECT count(*) FROM slots) - (SELECT count(*) FROM existing) AS new""",
+    "groups_in_order": f"""WITH {_RAW} SELECT lottery, draw, CAST(row_number() OVER (ORDER BY lottery, draw) AS INTEGER) AS place FROM (SELECT DISTINCT lottery, draw FROM raw)""",
+    "published_records": f"""WITH {_DRAWS} SELECT lottery, draw, strftime(draw_date, '%Y-%m-%d') AS draw_date, array_to_string(numbers, ' ') AS numbers, source FROM draws""",
+    "initials": f"""WITH {_RAW} SELECT seq, CASE WHEN seq % 5 = 0 THEN 'RD' ELSE upper(left(lottery, 1) || CASE WHEN contains(lottery, ' ') THEN left(split_part(lottery, ' ', 2), 1) ELSE '' END) END AS initials FROM raw""",
     "percent_text": f"""WITH {_backtest(10)}
 SELECT d.lottery, d.draw, CAST(CAST(round(round(hit / tested, 3) * 100) AS INTEGER) AS VARCHAR) || '%' AS shown
 FROM (SELECT DISTINCT lottery, draw FROM draws) d LEFT JOIN (SELECT lottery, draw, count(*) AS tested, count(*) FILTER (WHERE len(hits) > 0) AS hit FROM hits GROUP BY ALL) h ON d.lottery = h.lottery AND d.draw = h.draw""",

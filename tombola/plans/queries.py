@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import backtest, base, board, compare, frequency, reconcile
 from ..sources.derived import DIMS, SHEET, raw_draws
-from ..sources.history import with_key
+from ..sources.history import rows, with_key
 from . import jobs, landed, publish
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +163,12 @@ QUERIES: dict[str, Query] = {
     "parse_feed": _on_raw(landed.feed),
     "wanted_draws": _on_raw(landed.wanted),
     "daily_job": lambda s, d: landed.daily_job(*_halves(s, d), jobs.daily, DIMS),
+    "backfill_job": lambda s, d: landed.backfill_job(*_halves(s, d), jobs.backfill, DIMS),
+    "gap_fill_job": lambda s, d: landed.gap_fill_job(*_halves(s, d), jobs.gap_fill, DIMS),
+    "ingest_counters": lambda s, d: reconcile.added(_halves(s, d)[0], reconcile.merge_history(*_halves(s, d), DIMS.ranks)),
+    "groups_in_order": _on_raw(lambda r: frequency.groups_in_order(r, ["lottery", "draw"])),
+    "published_records": _on_draws(lambda r: rows(r).withColumn("numbers", F.array_join("numbers", " "))),
+    "initials": _on_raw(landed.initials),
     "percent_text": _on_draws(lambda r: backtest.report(r).select("lottery", "draw", T.percent(F.col("top5_any_hit_rate")).alias("shown"))),
     "slug_lookup": _text("url", "pages", "page_id", lambda c: T.lottery_of_path(c, DIMS.slugs), "lottery"),
 }

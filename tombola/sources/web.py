@@ -7,6 +7,7 @@ import json
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,22 @@ def pages(keys: DataFrame, key: str, template: str, tasks: int = 8, form: str |
     return texts.mapInPandas(get, f"`{key}` string, url string, html string, error string")
 
 
+def land(keys: DataFrame, key: str, template: str, folder: str, *, tries: int = 2, tasks: int = 8, form: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pages for all keys, written below `folder` and read from there, and the keys that failed
+    every time with their last error. Each try fetches only what failed
+    before, so nothing is fetched twice, however often what is landed is read."""
+    spark, left, landed = keys.sparkSession, keys, []
+    for k in range(tries):
+        at = f"{folder}/try={k}"
+        pages(left, key, template, tasks, form).write.mode("overwrite").parquet(at)
+        landed.append(spark.read.parquet(at))
+        left = landed[-1].where(F.col("error").isNotNull()).select(key)
+        if left.isEmpty():
+            break
+    got = reduce(DataFrame.unionByName, landed).where(F.col("html").isNotNull()).select(key, "url", "html")
+    return got, landed[-1].where(F.col("error").isNotNull()).select(key, "url", "error")
+
+
 def days(spark: SparkSession, start: str, end: str) -> DataFrame:
     """All days from start to end."""
     each = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr("interval 1 day"))
