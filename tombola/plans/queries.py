@@ -17,10 +17,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 A, B = "1-URGENT", "2-HIGH"
 
 
+def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.dedupe(raw_draws(spark, sf_dir), DIMS.ranks)
+
+
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reconciled history. Reports read it several times, so it is kept: read and
-    reconciled once, and recomputed where an executor is lost."""
-    return reconcile.dedupe(raw_draws(spark, sf_dir), DIMS.ranks).persist()
+    """The reconciled history, for reports that read it several times: it is kept,
+    so read and reconciled once, and recomputed where an executor is lost. It stays
+    in the executors' storage until the session clears its cache."""
+    return reconciled(spark, sf_dir).persist()
 
 
 def _flat(rows: DataFrame) -> DataFrame:
@@ -53,6 +58,11 @@ def _on_draws(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(draws(spark, sf_dir))
 
 
+def _on_history(f: Callable[[DataFrame], DataFrame]) -> Query:
+    """For what reads the history once: nothing is kept."""
+    return lambda spark, sf_dir: f(reconciled(spark, sf_dir))
+
+
 def _on_base(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(base.eligible(draws(spark, sf_dir), DIMS).persist())
 
@@ -88,19 +98,19 @@ def _range(rows: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "dedupe_by_source_priority": _on_draws(_flat),
+    "dedupe_by_source_priority": _on_history(_flat),
     "merge_history": lambda s, d: _flat(reconcile.merge_history(*_halves(s, d), DIMS.ranks)),
     "remove_future_republished": lambda s, d: _flat(reconcile.remove_future_republished(*_halves(s, d))),
     "insert_if_absent": lambda s, d: reconcile.insert_if_absent(*_halves(s, d)).select("result_key", "source", "seq"),
     "result_key": lambda s, d: with_key(raw_draws(s, d)).select("seq", "result_key"),
-    "coverage": _on_draws(frequency.coverage),
-    "group_totals": _on_draws(lambda r: frequency.group_totals(r, ["lottery", "draw"])),
-    "last_seen": _on_draws(lambda r: frequency.number_counts(r, ["lottery"]).select("lottery", "number", "last_seen")),
-    "number_frequency": _on_draws(lambda r: frequency.number_counts(r, ["lottery", "draw"])),
-    "recent_frequency": _on_draws(lambda r: frequency.recent_counts(r, ["lottery"])),
+    "coverage": _on_history(frequency.coverage),
+    "group_totals": _on_history(lambda r: frequency.group_totals(r, ["lottery", "draw"])),
+    "last_seen": _on_history(lambda r: frequency.number_counts(r, ["lottery"]).select("lottery", "number", "last_seen")),
+    "number_frequency": _on_history(lambda r: frequency.number_counts(r, ["lottery", "draw"])),
+    "recent_frequency": _on_history(lambda r: frequency.recent_counts(r, ["lottery"])),
     "suggest_by_lottery": _on_draws(lambda r: _suggest(r, ["lottery"])),
     "suggest_by_draw": _on_draws(lambda r: _suggest(r, ["lottery", "draw"])),
-    "last_results": _on_draws(lambda r: _flat(board.last_results(r, ["lottery", "draw"]))),
+    "last_results": _on_history(lambda r: _flat(board.last_results(r, ["lottery", "draw"]))),
     "backtest_predictions": _on_draws(lambda r: backtest.predictions(r, 5)),
     "backtest_hits": _on_draws(lambda r: backtest.hits(r).select("lottery", "draw", "draw_date", "top3_any", "top5_any", "first_position", "hits_top5")),
     "backtest_report": _on_draws(lambda r: backtest.report(r)),
@@ -128,24 +138,24 @@ QUERIES: dict[str, Query] = {
     "strength_ranking": _on_base(lambda r: base.strength(r, DIMS).select("rank", "number", "mirror", "score", *[c for c, _ in base.WEIGHTS])),
     "elite_group": _on_base(lambda r: base.elite(base.strength(r, DIMS)).select("rank", "number", "score")),
     "four_conditions_static": _on_base(lambda r: base.four_conditions(r, DIMS)),
-    "daily_series": _on_draws(compare.daily_series),
-    "month_rollup": _on_draws(compare.month_rollup),
-    "compare_date_range": _on_draws(_range),
-    "compare_calendar": _on_draws(lambda r: compare.by_calendar(r, month=6, week_day=3)),
-    "compare_matching_draws": _on_draws(lambda r: compare.matching_draws(compare.by_calendar(r, month=6, week_day=3))),
+    "daily_series": _on_history(compare.daily_series),
+    "month_rollup": _on_history(compare.month_rollup),
+    "compare_date_range": _on_history(_range),
+    "compare_calendar": _on_history(lambda r: compare.by_calendar(r, month=6, week_day=3)),
+    "compare_matching_draws": _on_history(lambda r: compare.matching_draws(compare.by_calendar(r, month=6, week_day=3))),
     "compare_current": _on_draws(lambda r: compare.top(compare.current(_suggest(r, ["lottery"])), 10)),
     "compare_top_shared": _on_draws(lambda r: compare.shared(_range(r), A, B, 25)),
-    "compare_delayed": _on_draws(lambda r: compare.delayed(_range(r))),
+    "compare_delayed": _on_history(lambda r: compare.delayed(_range(r))),
     "compare_four_conditions": _on_draws(lambda r: compare.four_conditions(_range(r), A, B)),
     "today_board": _on_draws(lambda r: board.today(r, _suggest(r, ["lottery", "draw"]), DIMS)),
-    "draw_items": _on_draws(lambda r: board.draw_items(r, DIMS)),
-    "date_gaps": _on_draws(lambda r: reconcile.date_gaps(r, "1995-01-01", "2001-12-31", (A, B))),
+    "draw_items": _on_history(lambda r: board.draw_items(r, DIMS)),
+    "date_gaps": _on_history(lambda r: reconcile.date_gaps(r, "1995-01-01", "2001-12-31", (A, B))),
     "import_merge": lambda s, d: _flat(reconcile.import_merge(*_import(s, d), SHEET)),
     "import_counters": lambda s, d: reconcile.import_counters(*_import(s, d), SHEET),
     "import_rows_by_draw": lambda s, d: reconcile.import_rows_by_draw(reconcile.import_merge(*_import(s, d), SHEET), SHEET),
-    "visible_draw_filter": _on_draws(lambda r: base.visible(r, DIMS).select("lottery", "draw", "draw_date", "seq")),
-    "canonical_label": _on_draws(lambda r: base.canonical_label(r, DIMS).select("seq", "canonical")),
-    "display_label": _on_draws(lambda r: base.display_label(r, DIMS).select("seq", "label")),
+    "visible_draw_filter": _on_history(lambda r: base.visible(r, DIMS).select("lottery", "draw", "draw_date", "seq")),
+    "canonical_label": _on_history(lambda r: base.canonical_label(r, DIMS).select("seq", "canonical")),
+    "display_label": _on_history(lambda r: base.display_label(r, DIMS).select("seq", "label")),
     "preserve_suggestions": _on_draws(lambda r: _preserved(r, ["lottery", "draw"])),
     "preserve_by_lottery": _on_draws(lambda r: _preserved(r, ["lottery"])),
     "normalize_text": _text("text", "documents", "doc_id", T.normalized, "normal"),
@@ -167,7 +177,7 @@ QUERIES: dict[str, Query] = {
     "gap_fill_job": lambda s, d: landed.gap_fill_job(*_halves(s, d), jobs.gap_fill, DIMS),
     "ingest_counters": lambda s, d: reconcile.added(_halves(s, d)[0], reconcile.merge_history(*_halves(s, d), DIMS.ranks)),
     "groups_in_order": _on_raw(lambda r: frequency.groups_in_order(r, ["lottery", "draw"])),
-    "published_records": _on_draws(lambda r: rows(r).withColumn("numbers", F.array_join("numbers", " "))),
+    "published_records": _on_history(lambda r: rows(r).withColumn("numbers", F.array_join("numbers", " "))),
     "initials": _on_raw(landed.initials),
     "percent_text": _on_draws(lambda r: backtest.report(r).select("lottery", "draw", T.percent(F.col("top5_any_hit_rate")).alias("shown"))),
     "slug_lookup": _text("url", "pages", "page_id", lambda c: T.lottery_of_path(c, DIMS.slugs), "lottery"),
