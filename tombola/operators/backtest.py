@@ -2,14 +2,20 @@
 
 Every target date needs the counts over all strictly earlier rows of its draw.
 Targets lie in the last days of a draw, so all that is older is folded into one
-count a number, by partial aggregates. Only the rows of those days and the newest
-RECENT_ROWS before them are put in order: there, running sums over a row's place answer for all targets
-at once.
+count a number, by partial aggregates (`fold`). Only the rows of those days and the
+newest ones before them are put in order: there, running sums over a row's place
+answer for all targets at once.
+
+A fold is kept up to date by `add`: new rows join it, and days that leave the
+window are folded. The history isn't read again. `write` and `read` store one. A fold
+can't forget: where a record is replaced or taken away, it has to be made again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,62 +23,127 @@ from .frequency import RECENT_ROWS, UNIVERSE, best, score
 
 BY = ["lottery", "draw"]
 WINDOW_DAYS, LEAST_HISTORY = 60, 30
+_ROW = [*BY, "draw_date", "seq", "numbers"]
+
+
+@dataclass(frozen=True)
+class Fold:
+    """near: the rows of each draw's last `window_days` days (in_window 1) and the newest
+    `tail` before them (0). older: old, old_seen of each lottery, draw and number
+    over all rows outside the window, those of the tail too."""
+
+    near: DataFrame
+    older: DataFrame
+    window_days: int
+    tail: int
+
 
+def _inside(rows: DataFrame, window_days: int) -> tuple[DataFrame, Column]:
+    """Rows with last_date, and whether they are of their draw's last days."""
+    ends = rows.groupBy(*BY).agg(F.max("draw_date").alias("last_date"))
+    return rows.join(ends, BY), F.col("draw_date") >= F.date_sub("last_date", window_days)
 
-def _split(draws: DataFrame, window_days: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of the window and rows older than it, both with rows and last_date of
-    their draw."""
-    ends = draws.groupBy(*BY).agg(F.count("*").alias("rows"), F.max("draw_date").alias("last_date"))
-    rows = draws.join(ends, BY)
-    inside = F.col("draw_date") >= F.date_sub("last_date", window_days)
-    return rows.where(inside), rows.where(~inside)
 
+def _counts(rows: DataFrame) -> DataFrame:
+    each = rows.select(*BY, "draw_date", F.explode("numbers").alias("number"))
+    return each.groupBy(*BY, "number").agg(F.count("*").alias("old"), F.max("draw_date").alias("old_seen"))
 
-def near(draws: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
-    """The rows of the window and the newest RECENT_ROWS before it (in_window 0),
-    with place (by date), and with the number of earlier rows among these
-    (`before`) and of all (`all_before`)."""
-    late, old = _split(draws, window_days)
+
+def _near(late: DataFrame, before: DataFrame, tail: int) -> DataFrame:
     back = F.row_number().over(Window.partitionBy(*BY).orderBy(F.desc("draw_date"), F.desc("seq")))
-    tail = old.withColumn("back", back).where(F.col("back") <= RECENT_ROWS).drop("back")
-    rows = late.withColumn("in_window", F.lit(1)).unionByName(tail.withColumn("in_window", F.lit(0)))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*BY).orderBy("draw_date", "seq")))
-    rows = rows.withColumn("before", F.min("place").over(Window.partitionBy(*BY, "draw_date")) - 1)
-    return rows.withColumn("all_before", F.col("rows") - F.count("*").over(Window.partitionBy(*BY)) + F.col("before"))
+    newest = before.select(*_ROW, back.alias("back")).where(F.col("back") <= tail)
+    return late.select(*_ROW, F.lit(1).alias("in_window")).unionByName(newest.select(*_ROW, F.lit(0).alias("in_window")))
+
+
+def fold(draws: DataFrame, window_days: int = WINDOW_DAYS, least: int = LEAST_HISTORY) -> Fold:
+    """`draws` is read several times."""
+    rows, inside = _inside(draws.select(*_ROW), window_days)
+    tail = max(RECENT_ROWS, least)
+    return Fold(_near(rows.where(inside), rows.where(~inside), tail), _counts(rows.where(~inside)), window_days, tail)
+
+
+def add(state: Fold, new: DataFrame) -> Fold:
+    """The fold of the old rows and the new ones, whatever their dates; rows that
+    are there already must not come again."""
+    # 2: not folded yet.
+    both = state.near.unionByName(new.select(*_ROW, F.lit(2).alias("in_window")))
+    rows, inside = _inside(both, state.window_days)
+    left = _counts(rows.where(~inside & (F.col("in_window") > 0)))
+    older = state.older.unionByName(left).groupBy(*BY, "number").agg(F.sum("old").alias("old"), F.max("old_seen").alias("old_seen"))
+    return Fold(_near(rows.where(inside), rows.where(~inside), state.tail), older, state.window_days, state.tail)
 
 
-def targets(rows: DataFrame, least: int = LEAST_HISTORY) -> DataFrame:
-    return rows.where((F.col("in_window") == 1) & (F.col("rows") > least) & (F.col("all_before") >= least))
+def write(state: Fold, path: str) -> None:
+    """Two tables in the folder `path`, which replace what is there: a run that
+    failed between them is run again from the fold before, in a folder of its own."""
+    state.near.write.mode("overwrite").parquet(f"{path}/near")
+    state.older.write.mode("overwrite").parquet(f"{path}/older")
 
 
-def predictions(draws: DataFrame, limit: int = 10, window_days: int = WINDOW_DAYS, least: int = LEAST_HISTORY) -> DataFrame:
+def read(spark: SparkSession, path: str, window_days: int = WINDOW_DAYS, least: int = LEAST_HISTORY) -> Fold:
+    """With the options it was made with."""
+    return Fold(spark.read.parquet(f"{path}/near"), spark.read.parquet(f"{path}/older"), window_days, max(RECENT_ROWS, least))
+
+
+def _folded(draws: DataFrame | Fold, window_days: int, least: int) -> Fold:
+    if not isinstance(draws, Fold):
+        return fold(draws, window_days, least)
+    if draws.window_days != window_days or draws.tail < least:
+        raise ValueError(f"the fold is of {draws.window_days} days and {draws.tail} rows before them")
+    return draws
+
+
+def _placed(state: Fold) -> DataFrame:
+    """The near rows with their place (by date) and the number of strictly earlier
+    ones. A draw has `least` rows before a date exactly if it has them among the
+    near rows, whose tail is no shorter."""
+    one = Window.partitionBy(*BY)
+    return state.near.select("*", F.row_number().over(one.orderBy("draw_date", "seq")).alias("place"), (F.rank().over(one.orderBy("draw_date")) - 1).alias("before"))
+
+
+def _targets(rows: DataFrame, least: int) -> DataFrame:
+    return rows.where((F.col("in_window") == 1) & (F.col("before") >= least))
+
+
+def predictions(draws: DataFrame | Fold, limit: int = 10, window_days: int = WINDOW_DAYS, least: int = LEAST_HISTORY) -> DataFrame:
     """lottery, draw, target_date, rank, number, score, frequency,
-    recent_frequency for each target date. `draws` is read several times: callers
-    keep it (persist)."""
-    rows = near(draws, window_days)
-    seen = rows.select(*BY, F.explode("numbers").alias("number"), F.col("place").alias("at"), "draw_date", F.lit(1).alias("hit"), "in_window", F.lit(None).cast("date").alias("target_date"))
-    asked = targets(rows, least).select(*BY, F.col("before").alias("at"), F.col("draw_date").alias("target_date")).distinct()
-    grid = asked.select(*BY, F.explode(F.sequence(F.lit(0), F.lit(UNIVERSE - 1))).alias("number"), "at", F.lit(None).cast("date").alias("draw_date"), F.lit(0).alias("hit"), F.lit(0).alias("in_window"), "target_date")
+    recent_frequency for each target date, of a history or its fold."""
+    return _predictions(_folded(draws, window_days, least), limit, least)
+
+
+def _predictions(state: Fold, limit: int, least: int) -> DataFrame:
+    # A row says its numbers at its place; the first row of a target date asks for all numbers at the place before it.
+    entry = lambda number, at, seen, late, hit, asked: F.struct(
+        number.alias("number"), at.alias("at"), seen.cast("date").alias("seen"), late.cast("long").alias("late"), hit.cast("long").alias("hit"), asked.cast("date").alias("target_date")
+    )
+    none, zero = F.lit(None), F.lit(0)
+    said = F.transform("numbers", lambda n: entry(n, F.col("place"), F.col("draw_date"), F.col("in_window"), F.lit(1), none))
+    asked = F.transform(F.sequence(zero, F.lit(UNIVERSE - 1)), lambda n: entry(n, F.col("before"), none, zero, zero, F.col("draw_date")))
+    is_asked = (F.col("in_window") == 1) & (F.col("before") >= least) & (F.col("place") == F.col("before") + 1)
+    rows = _placed(state).select(*BY, F.explode(F.when(is_asked, F.concat(said, asked)).otherwise(said)).alias("entry"))
+    # What is folded lies before every place that recent rows reach back to.
+    older = state.older.select(*BY, entry(F.col("number"), F.lit(-RECENT_ROWS), F.col("old_seen"), F.col("old"), zero, none).alias("entry"))
+    rows = rows.unionByName(older).select(*BY, "entry.*")
     order = Window.partitionBy(*BY, "number").orderBy("at")
     so_far, lately = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(1 - RECENT_ROWS, 0)
-    rows = seen.unionByName(grid).select(
-        *BY, "number", "target_date", F.sum("in_window").over(so_far).alias("late"), F.sum("hit").over(lately).alias("recent_frequency"), F.max("draw_date").over(so_far).alias("late_seen"),
+    rows = rows.select(
+        *BY, "number", "target_date", F.sum("late").over(so_far).alias("frequency"), F.sum("hit").over(lately).alias("recent_frequency"), F.max("seen").over(so_far).alias("last_seen"),
     ).where(F.col("target_date").isNotNull())
-    older = _split(draws, window_days)[1].select(*BY, "draw_date", F.explode("numbers").alias("number")).groupBy(*BY, "number").agg(F.count("*").alias("old"), F.max("draw_date").alias("old_seen"))
-    rows = rows.join(older, [*BY, "number"], "left")
-    rows = rows.withColumn("frequency", F.col("late") + F.coalesce("old", F.lit(0))).withColumn("last_seen", F.greatest("late_seen", "old_seen"))
-    delay = F.datediff("target_date", "last_seen")
-    rows = rows.withColumn("score", score(F.col("frequency"), F.col("recent_frequency"), delay))
+    rows = rows.withColumn("score", score(F.col("frequency"), F.col("recent_frequency"), F.datediff("target_date", "last_seen")))
     return best(rows, [*BY, "target_date"], limit).select(*BY, "number", "target_date", "frequency", "recent_frequency", "score", "rank")
 
 
-def hits(draws: DataFrame, limit: int = 10, window_days: int = WINDOW_DAYS, least: int = LEAST_HISTORY) -> DataFrame:
+def hits(draws: DataFrame | Fold, limit: int = 10, window_days: int = WINDOW_DAYS, least: int = LEAST_HISTORY) -> DataFrame:
     """One row a target: whether its first three numbers met the best three and
     five suggestions, how many of five, and whether its first number was there."""
-    top = predictions(draws, limit, window_days, least).where(F.col("rank") <= 5)
+    return _hits(_folded(draws, window_days, least), limit, least)
+
+
+def _hits(state: Fold, limit: int, least: int) -> DataFrame:
+    top = _predictions(state, min(limit, 5), least)
     ranked = F.array_sort(F.collect_list(F.struct("rank", "number")))  # five entries at most
     top = top.groupBy(*BY, F.col("target_date").alias("draw_date")).agg(F.transform(ranked, lambda r: r["number"]).alias("predicted"))
-    rows = targets(near(draws, window_days), least).join(top, [*BY, "draw_date"])
+    rows = _targets(_placed(state), least).join(top, [*BY, "draw_date"])
     actual = F.array_distinct(F.slice("numbers", 1, 3))
     hit5 = F.array_sort(F.array_intersect(actual, "predicted"))
     return rows.select(
@@ -82,14 +153,16 @@ def hits(draws: DataFrame, limit: int = 10, window_days: int = WINDOW_DAYS, leas
     )
 
 
-def report(draws: DataFrame, limit: int = 10, window_days: int = WINDOW_DAYS, least: int = LEAST_HISTORY) -> DataFrame:
+def report(draws: DataFrame | Fold, limit: int = 10, window_days: int = WINDOW_DAYS, least: int = LEAST_HISTORY) -> DataFrame:
     """One row a draw. Draws with too few rows, or without a target that has
     enough history, are insufficient; numerators come beside the rounded rates."""
-    by = hits(draws, limit, window_days, least).groupBy(*BY).agg(
+    state = _folded(draws, window_days, least)
+    by = _hits(state, limit, least).groupBy(*BY).agg(
         F.count("*").alias("tested"), F.count_if("top3_any").alias("top3_hits"), F.count_if("top5_any").alias("top5_hits"),
         F.count_if("first_position").alias("first_hits"), F.sum("hits_top5").alias("total_hits"),
     )
-    rows = draws.groupBy(*BY).agg(F.count("*").alias("rows")).join(by, BY, "left").withColumn("tested", F.coalesce("tested", F.lit(0)))
+    # Up to `least` rows, a draw's rows are all near ones.
+    rows = state.near.groupBy(*BY).agg(F.count("*").alias("rows")).join(by, BY, "left").withColumn("tested", F.coalesce("tested", F.lit(0)))
     rate = F.col("top5_hits") / F.col("tested")
     # The labels and their bounds.
     label = F.when(F.col("tested") < 20, "Muestra baja").when(rate >= 0.35, "Alta").when(rate >= 0.18, "Media").otherwise("Baja")
@@ -104,7 +177,7 @@ def report(draws: DataFrame, limit: int = 10, window_days: int = WINDOW_DAYS, le
     )
 
 
-def recent_evaluations(draws: DataFrame, n: int = 5, **options: int) -> DataFrame:
+def recent_evaluations(draws: DataFrame | Fold, n: int = 5, **options: int) -> DataFrame:
     """The last n targets of each draw, `place` from the oldest."""
     rows = hits(draws, **options)
     back = F.row_number().over(Window.partitionBy(*BY).orderBy(F.desc("draw_date"), F.desc("seq")))

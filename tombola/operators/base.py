@@ -19,6 +19,8 @@ from .frequency import UNIVERSE
 
 LATEST_ROWS = 80
 MIRROR_DAYS = 14
+#: Days of a block in which the order of all rows is taken.
+BLOCK_DAYS = 8
 
 
 def _pairs(spark, rows: tuple, *names: str) -> DataFrame:
@@ -154,15 +156,23 @@ def coincidences(each: DataFrame) -> DataFrame:
     return days.groupBy("number").agg(F.sum("n").alias("cnt"), F.coalesce(F.sum(F.when(F.col("recent_30"), F.col("n"))), F.lit(0)).alias("recent_30"), F.min("met").alias("met"))
 
 
+def _carried(base: DataFrame) -> DataFrame:
+    """draw_date, lottery, draw, number of numbers repeated from the row before, in
+    the order of all rows, if that is at most a day older. The order is taken in
+    blocks of days; the last day of a block also goes before the next one."""
+    number = F.datediff("draw_date", F.lit("1970-01-01").cast("date"))
+    block = F.floor(number / BLOCK_DAYS)
+    blocks = F.when(F.pmod(number, F.lit(BLOCK_DAYS)) == BLOCK_DAYS - 1, F.array(block, block + 1)).otherwise(F.array(block))
+    rows = base.select("draw_date", "lottery", "draw", F.array_distinct(F.slice("numbers", 1, 3)).alias("numbers"), block.alias("_own"), F.explode(blocks).alias("_block"))
+    order = Window.partitionBy("_block").orderBy("draw_date", "lottery", "draw")
+    rows = rows.select("*", F.lag("numbers").over(order).alias("_prev"), F.lag("draw_date").over(order).alias("_seen"))
+    rows = rows.where((F.col("_block") == F.col("_own")) & (F.col("_seen") >= F.date_sub("draw_date", 1)))
+    return rows.select("draw_date", "lottery", "draw", F.explode(F.array_intersect("numbers", "_prev")).alias("number"))
+
+
 def drags(base: DataFrame, dims: Dims) -> DataFrame:
-    """Numbers repeated from the row before, in the order of all rows, if that is
-    at most a day older. A row's predecessor then is of the same date, or the
-    last of the day before, so the order is taken within days."""
-    day = Window.partitionBy("draw_date").orderBy("lottery", "draw")
-    rows = base.select("draw_date", "lottery", "draw", F.array_distinct(F.slice("numbers", 1, 3)).alias("numbers"))
-    ends = rows.groupBy(F.date_add("draw_date", 1).alias("_next")).agg(F.max_by("numbers", F.struct("lottery", "draw")).alias("_end"))
-    rows = rows.withColumn("_prev", F.lag("numbers").over(day)).join(ends, F.col("draw_date") == F.col("_next"), "left")
-    rows = rows.withColumn("_last", last_day(base, dims)).select("draw_date", "lottery", "draw", "_last", F.explode(F.array_intersect("numbers", F.coalesce("_prev", "_end"))).alias("number"))
+    """Numbers repeated from the row before, counted."""
+    rows = _carried(base).withColumn("_last", last_day(base, dims))
     lately = F.col("draw_date") >= F.date_sub("_last", 29)
     return rows.groupBy("number").agg(F.count("*").alias("cnt"), F.count_if(lately).alias("recent_30"), F.min(F.struct("draw_date", "lottery", "draw")).alias("met"))
 
@@ -216,35 +226,62 @@ WEIGHTS = (
 )
 
 
-def _counts_and_coincidences(each: DataFrame) -> DataFrame:
-    """`counts` and `coincidences` through one aggregate by day."""
-    days = each.groupBy("draw_date", "number").agg(F.count("*").alias("c"), F.count_distinct("lottery").alias("n"), F.max("recent_7").alias("r7"), F.max("recent_30").alias("r30"))
-    some = lambda value, *conditions: F.sum(F.when(reduce(lambda a, b: a & b, conditions), value).otherwise(0))
-    several = F.col("n") > 1
-    return days.groupBy("number").agg(
-        F.sum("c").alias("frequency"), some(F.col("c"), F.col("r7")).alias("recent_7"), some(F.col("c"), F.col("r30")).alias("recent_30"),
-        some(F.col("n"), several).alias("coincidences"), some(F.col("n"), several, F.col("r30")).alias("recent_coincidences"),
+def _measures(base: DataFrame, dims: Dims) -> DataFrame:
+    """All counts of each number, with the first encounters that order ties, by one
+    aggregate over three kinds of rows: days of a number, its repeats from the row
+    before, and the newest rows."""
+    last = last_day(base, dims)
+    lately = F.col("draw_date") >= F.date_sub(last, 29)
+    # Lotteries as bits: those of a day and of all days come from the same partial aggregates.
+    places = {lottery: k for k, lottery in enumerate(dims.lotteries)}
+    words = range(0, max(len(places), 1), 62)
+    bits = [reduce(lambda c, x: c.when(F.col("lottery") == x[0], F.lit(1 << (x[1] - w))), [p for p in places.items() if w <= p[1] < w + 62], F.when(F.lit(False), F.lit(0))) for w in words]
+    seen = [f"seen_{w}" for w in words]
+    number = lambda names: reduce(lambda a, b: a + b, [F.bit_count(n) for n in names])
+
+    each = base.select("draw_date", "lottery", "draw", F.posexplode(F.slice("numbers", 1, 3)).alias("pos", "number"))
+    met = F.struct("draw_date", "lottery", "draw", (F.col("pos") + 1).alias("pos"))
+    days = each.groupBy("draw_date", "number").agg(F.count("*").alias("frequency"), F.min(met).alias("met"), *[F.bit_or(F.coalesce(b, F.lit(0)).cast("long")).alias(c) for b, c in zip(bits, seen, strict=True)])
+    n = number(seen).cast("long")
+    several = n > 1
+    when = lambda condition, value: F.when(condition, value).otherwise(F.lit(0).cast("long"))
+    parts = [
+        days.select(
+            "number", "frequency", when(lately, F.col("frequency")).alias("recent_30"), when(F.col("draw_date") >= F.date_sub(last, 6), F.col("frequency")).alias("recent_7"),
+            when(several, n).alias("coincidences"), when(several & lately, n).alias("recent_coincidences"), *seen, *[F.when(lately, F.col(c)).alias(f"recent_{c}") for c in seen],
+            F.when(lately, F.col("met")).alias("recent_met"), F.when(several, F.col("met")).alias("coincidences_met"), F.col("draw_date").alias("last_seen"),
+        ),
+        _carried(base).select("number", F.lit(1).cast("long").alias("drags"), when(lately, F.lit(1)).alias("recent_drags"), F.struct("draw_date", "lottery", "draw", F.lit(0).alias("pos")).alias("drags_met")),
+        latest_counts(base, dims).select("number", F.col("cnt").alias("recent")),
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    sums = ["frequency", "recent_30", "recent_7", "coincidences", "recent_coincidences", "drags", "recent_drags", "recent"]
+    rows = rows.groupBy("number").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], *[F.bit_or(c).alias(c) for c in [*seen, *(f"recent_{c}" for c in seen)]],
+        *[F.min(c).alias(c) for c in ("recent_met", "coincidences_met", "drags_met")], F.max("last_seen").alias("last_seen"),
     )
+    moved = lambda names: F.coalesce(when(number(names) > 1, number(names).cast("long")), F.lit(0))
+    rows = rows.withColumns({"moves": moved(seen), "recent_moves": moved([f"recent_{c}" for c in seen])}).drop(*seen, *(f"recent_{c}" for c in seen))
+    # A number and its mirror; each row knows the other one's counts.
+    own = F.col("number") != mirror(F.col("number"))
+    pair = Window.partitionBy(F.when(own, F.least("number", mirror(F.col("number")))).otherwise(F.col("number")))
+    both, other = F.count("*").over(pair) == 2, F.sum("recent_30").over(pair) - F.col("recent_30")
+    return rows.withColumn("mirrors", when(both, F.sum("frequency").over(pair))).withColumn("recent_mirrors", when(both & (other > 0), F.sum("recent_30").over(pair))).withColumn("last_day", last)
 
 
-def strength(base: DataFrame, dims: Dims) -> DataFrame:
-    """All numbers seen, with every count and the score, ranked. `base` is read
-    several times: callers keep it (persist)."""
-    each = exploded(base, dims)
-    rows = _counts_and_coincidences(each)
-    parts = [
-        latest_counts(base, dims).select("number", F.col("cnt").alias("recent")),
-        *[f.select("number", F.col("cnt").alias(name), F.col("recent_30").alias(f"recent_{name}")) for name, f in (("drags", drags(base, dims)), ("mirrors", _mirrors(rows)), ("moves", moves(each)))],
-    ]
-    for part in parts:
-        rows = rows.join(part, "number", "left")
-    rows = rows.na.fill(0).where((F.col("number") >= 0) & (F.col("number") < UNIVERSE))
+def _ranked(measures: DataFrame) -> DataFrame:
+    rows = measures.where((F.col("number") >= 0) & (F.col("number") < UNIVERSE))
     total = reduce(lambda a, b: a + b, [F.col(c) * F.lit(w) for c, w in WEIGHTS])
     rows = rows.withColumn("score", F.round(total, 2)).withColumn("mirror", mirror(F.col("number")))
     order = Window.orderBy(F.desc("score"), F.desc("recent_7"), F.desc("recent_30"), F.desc("frequency"), F.asc("number"))
     return rows.withColumn("rank", F.row_number().over(order))  # a hundred rows at most
 
 
+def strength(base: DataFrame, dims: Dims) -> DataFrame:
+    """All numbers seen, with every count and the score, ranked."""
+    return _ranked(_measures(base, dims)).select("number", "mirror", "rank", "score", *[c for c, _ in WEIGHTS])
+
+
 def leader(ranked: DataFrame) -> DataFrame:
     """The first, if there is any."""
     return ranked.where("rank = 1")
@@ -260,19 +297,18 @@ def four_conditions(base: DataFrame, dims: Dims, fix_delay: bool = False) -> Dat
     only of the ten best. As published, the delay isn't known there and its
     condition never holds; fix_delay=True measures it. All that meet the four
     (five at most), or else the three that meet most."""
-    each = exploded(base, dims)
-    ranked = strength(base, dims).where(F.col("rank") <= 10).select("number", "rank")
-    recent = top_repeated(each, True).select("number", F.lit(True).alias("recent"))
-    coinc = top_coincidences(each).select("number", (F.col("cnt") > 50).alias("coincides"))
-    dragged = top_drags(base, dims).select("number", (F.col("cnt") > 100).alias("drags"))
-    rows = ranked.join(recent, "number", "left").join(coinc, "number", "left").join(dragged, "number", "left")
-    if fix_delay:
-        seen = each.groupBy("number").agg(F.datediff(F.max("last_day"), F.max("draw_date")).between(3, 45).alias("delayed"))
-        rows = rows.join(seen, "number", "left")
-    else:
+    rows = _ranked(_measures(base, dims))
+    place = lambda *order: F.row_number().over(Window.orderBy(*order))  # noqa: E731  a hundred rows
+    rows = rows.select(
+        "number", "rank", F.datediff("last_day", "last_seen").between(3, 45).alias("delayed"),
+        ((F.col("recent_30") > 0) & (place(F.desc("recent_30"), F.asc_nulls_last("recent_met")) <= 10)).alias("recent"),
+        ((F.col("coincidences") > 50) & (place(F.desc("coincidences"), F.asc_nulls_last("coincidences_met")) <= 10)).alias("coincides"),
+        ((F.col("drags") > 100) & (place(F.desc("drags"), F.asc_nulls_last("drags_met"), F.asc("number")) <= 10)).alias("drags"),
+    ).where(F.col("rank") <= 10)
+    if not fix_delay:
         rows = rows.withColumn("delayed", F.lit(False))
     conditions = ["recent", "delayed", "coincides", "drags"]
-    rows = rows.na.fill(False, conditions).withColumn("met", reduce(lambda a, b: a + b, [F.col(c).cast("int") for c in conditions]))
+    rows = rows.withColumn("met", reduce(lambda a, b: a + b, [F.col(c).cast("int") for c in conditions]))
     place = F.row_number().over(Window.orderBy(F.desc("met"), F.asc("rank")))  # ten rows
     full = F.count_if(F.col("met") == 4).over(Window.partitionBy())
     rows = rows.withColumn("place", place).withColumn("full", full)
