@@ -1,5 +1,6 @@
 """Behaviour of the draw operators on small literals."""
 
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -103,6 +104,56 @@ def test_backtest(spark):
     assert backtest.recent_evaluations(make(spark, rows), 2, limit=5, window_days=10).count() == 2
 
 
+def test_a_fold_with_days_added_equals_the_whole_history(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(lottery, "E", day(k), [rng.randrange(100) for _ in range(3)], "a") for k in range(110) for lottery in ("L1", "L2") for _ in range(rng.choice((0, 1, 1, 2)))]
+    rows += [("L3", "E", day(k), [7, 8, 9], "a") for k in (0, 1, 104)]  # too few rows
+    late = make(spark, [*rows, ("L1", "E", day(4), [1, 1, 2], "a"), ("L1", "E", day(44), [3, 4, 5], "a"), ("L2", "E", day(99), [6, 6, 6], "a"), ("L9", "E", day(103), [1, 2, 3], "a")]).persist()
+    n = len(rows)
+    whole = late.where(F.col("draw_date") < F.lit(day(100))).where(F.col("seq") < n)
+    backtest.write(backtest.fold(whole, 20), f"{tmp_path}/0")
+    for k in range(10):
+        new = late.where((F.col("draw_date") == F.lit(day(100 + k))) & (F.col("seq") < n))
+        if k == 3:  # a new draw, and old days that come late: folded, of the tail, of the window
+            new = new.unionByName(late.where(F.col("seq") >= n))
+        backtest.write(backtest.add(backtest.read(spark, f"{tmp_path}/{k}", 20), new), f"{tmp_path}/{k + 1}")
+    kept = backtest.read(spark, f"{tmp_path}/10", 20)
+    assert kept.near.count() < late.count() / 2
+    for f in (backtest.predictions, backtest.hits, backtest.report):
+        want, got = (sorted(map(str, f(x, 5, 20).collect())) for x in (late, kept))
+        assert got == want and want
+
+
+def test_a_fold_serves_only_what_it_was_made_for(spark):
+    state = backtest.fold(make(spark, [("L1", "E", day(0), [1, 2, 3], "a")]), 20)
+    with pytest.raises(ValueError):
+        backtest.report(state)
+    with pytest.raises(ValueError):
+        backtest.hits(state, 5, 20, 31)
+
+
+def test_four_conditions_with_a_measured_delay(spark):
+    old = [("L1", "Early", date(2012, 1, 1) + timedelta(days=10 * k), [11, k, k + 30], "a") for k in range(24)]
+    new = [("L1", "Early", day(0), [77, 1, 2], "a"), ("L2", "Late Draw", day(4), [77, 3, 4], "a"), ("L3", "Late Draw", day(9), [5, 6, 8], "a")]
+    rows = base.eligible(make(spark, old + new), DIMS)
+    known, measured = (base.four_conditions(rows, DIMS, fix_delay=fix).orderBy("place").collect() for fix in (False, True))
+    assert len(known) == len(measured) == 3 and not any(r["delayed"] for r in known)
+    assert {r["number"]: (r["delayed"], r["met"]) for r in measured}[77] == (True, 2)
+    assert base.four_conditions(rows.where("false"), DIMS).count() == 0
+
+
+def test_carry_over_crosses_the_edges_of_blocks(spark):
+    rng = random.Random(5)
+    rows = [("L1", "Early", day(k), rng.sample(range(6), 3), "a") for k in range(60) if rng.random() < 0.8]
+    rows += [("L2", "Late Draw", r[2], rng.sample(range(6), 3), "a") for r in rows if rng.random() < 0.5]
+    rows.sort(key=lambda r: (r[2], r[0]))
+    want: dict[int, int] = {}
+    for before, now in zip(rows, rows[1:]):
+        for n in set(before[3]) & set(now[3]) if (now[2] - before[2]).days <= 1 else ():
+            want[n] = want.get(n, 0) + 1
+    assert {r["number"]: r["cnt"] for r in base.drags(base.eligible(make(spark, rows), DIMS), DIMS).collect()} == want
+
+
 def test_base_filter_and_window(spark):
     rows = make(spark, [("L1", "early", day(0), [1, 2, 3], "a"), ("L2", "SECOND", day(3), [1, 2, 3], "a"), ("L1", "Hidden", day(9), [9, 9, 9], "a"), ("L1", "Early", day(9), [1, 2], "a"), ("L4", "Early", day(9), [1, 2, 3], "a")])
     kept = base.eligible(rows, DIMS)

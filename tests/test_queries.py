@@ -52,3 +52,14 @@ def test_entry(spark):
 def test_expressions_do_not_multiply(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_") < 30
+
+
+@pytest.mark.parametrize("name", ["backtest_predictions", "backtest_report", "backtest_kept", "strength_ranking", "four_conditions_static"])
+def test_the_history_is_scanned_once_and_nothing_is_kept(spark, name):
+    """Every further use of the reconciled history reads the shuffle of the first."""
+    spark.catalog.clearCache()
+    df = QUERIES[name](spark, DATA)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "InMemoryTableScan" not in final
+    assert final.count("FileScan parquet") <= 2

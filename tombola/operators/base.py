@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +25,9 @@ BLOCK_DAYS = 8
 
 
 def _pairs(spark, rows: tuple, *names: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), ", ".join(f"{n} string" for n in names))
+    """The rows as a table that the plan holds itself, so Spark knows its size."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.table({n: pa.array(c, pa.string()) for n, c in zip(names, columns, strict=True)}))
 
 
 def visible(draws: DataFrame, dims: Dims) -> DataFrame:
@@ -34,7 +37,7 @@ def visible(draws: DataFrame, dims: Dims) -> DataFrame:
     if dims.aliases:
         alias = _pairs(spark, dims.aliases, "_alias", "_draw").select("_alias", normalized(F.col("_draw")).alias("_to"))
         more = shown.join(alias, F.col("_key") == F.col("_to")).select("_lottery", F.col("_alias").alias("_key"))
-        shown = shown.unionByName(more).distinct()
+        shown = shown.unionByName(more)
     return draws.join(shown, (F.col("lottery") == F.col("_lottery")) & (normalized(F.col("draw")) == F.col("_key")), "left_semi")
 
 

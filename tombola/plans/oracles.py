@@ -195,6 +195,7 @@ SELECT result_key, source, seq FROM (SELECT *, row_number() OVER (PARTITION BY r
     "last_results": f"""WITH {_DRAWS} SELECT {_FLAT}, CAST(place AS INTEGER) AS place FROM (
   SELECT *, row_number() OVER (PARTITION BY lottery, draw ORDER BY draw_date DESC) AS place FROM draws) WHERE place <= 8""",
     "backtest_predictions": f"WITH {_backtest(5)} SELECT * FROM predicted",
+    "backtest_kept": f"WITH {_backtest(5)} SELECT * FROM predicted",
     "backtest_hits": f"WITH {_backtest(10)} SELECT lottery, draw, draw_date, top3_any, len(hits) > 0 AS top5_any, first_position, CAST(len(hits) AS BIGINT) AS hits_top5 FROM hits",
     "backtest_report": f"""WITH {_backtest(10)},
 r AS (

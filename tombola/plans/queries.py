@@ -64,7 +64,7 @@ def _on_history(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _on_base(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(base.eligible(draws(spark, sf_dir), DIMS).persist())
+    return lambda spark, sf_dir: f(base.eligible(reconciled(spark, sf_dir), DIMS))
 
 
 def _on_each(f: Callable[[DataFrame], DataFrame]) -> Query:
@@ -84,6 +84,15 @@ def _text(column: str, table: str, key: str, f: Callable[[F.Column], F.Column],
     return lambda spark, sf_dir: _spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")).select(key, f(F.col(column)).alias(into))
 
 
+def _kept_backtest(rows: DataFrame) -> DataFrame:
+    """The backtest of a fold made without each draw's last ten days, and then of
+    five and five of them added."""
+    rows = rows.join(rows.groupBy("lottery", "draw").agg(F.max("draw_date").alias("_last")), ["lottery", "draw"])
+    back = F.datediff("_last", "draw_date")
+    parts = [rows.where(c).drop("_last") for c in (back >= 10, (back < 10) & (back >= 5), back < 5)]
+    return backtest.predictions(backtest.add(backtest.add(backtest.fold(parts[0]), parts[1]), parts[2]), 5)
+
+
 def _preserved(rows: DataFrame, by: list[str]) -> DataFrame:
     """Yesterday's ten suggestions of what is shown, today's of all others."""
     last = rows.agg(F.max("draw_date")).scalar()
@@ -111,10 +120,11 @@ QUERIES: dict[str, Query] = {
     "suggest_by_lottery": _on_draws(lambda r: _suggest(r, ["lottery"])),
     "suggest_by_draw": _on_draws(lambda r: _suggest(r, ["lottery", "draw"])),
     "last_results": _on_history(lambda r: _flat(board.last_results(r, ["lottery", "draw"]))),
-    "backtest_predictions": _on_draws(lambda r: backtest.predictions(r, 5)),
-    "backtest_hits": _on_draws(lambda r: backtest.hits(r).select("lottery", "draw", "draw_date", "top3_any", "top5_any", "first_position", "hits_top5")),
-    "backtest_report": _on_draws(lambda r: backtest.report(r)),
-    "backtest_recent_evals": _on_draws(lambda r: backtest.recent_evaluations(r).select("lottery", "draw", "draw_date", "place", F.array_join("predicted", " ").alias("predicted"), F.array_join("actual", " ").alias("actual"), F.array_join("hits", " ").alias("hits"))),
+    "backtest_predictions": _on_history(lambda r: backtest.predictions(r, 5)),
+    "backtest_kept": _on_history(_kept_backtest),
+    "backtest_hits": _on_history(lambda r: backtest.hits(r).select("lottery", "draw", "draw_date", "top3_any", "top5_any", "first_position", "hits_top5")),
+    "backtest_report": _on_history(lambda r: backtest.report(r)),
+    "backtest_recent_evals": _on_history(lambda r: backtest.recent_evaluations(r).select("lottery", "draw", "draw_date", "place", F.array_join("predicted", " ").alias("predicted"), F.array_join("actual", " ").alias("actual"), F.array_join("hits", " ").alias("hits"))),
     "base_window": _on_base(lambda r: base.window(r, DIMS)),
     "base_counts": _on_each(base.counts),
     "base_top_recent": _on_each(lambda r: base.top_repeated(r, True)),
@@ -179,7 +189,7 @@ QUERIES: dict[str, Query] = {
     "groups_in_order": _on_raw(lambda r: frequency.groups_in_order(r, ["lottery", "draw"])),
     "published_records": _on_history(lambda r: rows(r).withColumn("numbers", F.array_join("numbers", " "))),
     "initials": _on_raw(landed.initials),
-    "percent_text": _on_draws(lambda r: backtest.report(r).select("lottery", "draw", T.percent(F.col("top5_any_hit_rate")).alias("shown"))),
+    "percent_text": _on_history(lambda r: backtest.report(r).select("lottery", "draw", T.percent(F.col("top5_any_hit_rate")).alias("shown"))),
     "slug_lookup": _text("url", "pages", "page_id", lambda c: T.lottery_of_path(c, DIMS.slugs), "lottery"),
 }
 
