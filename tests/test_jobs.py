@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tombola.plans import jobs, publish
-from tombola.plans.queries import draws
+from tombola.plans.queries import reconciled
 from tombola.sources.derived import DIMS, raw_draws
 from tombola.sources.schema import DRAWS, Dims
 
@@ -54,7 +54,7 @@ def test_import_and_migration(spark, tmp_path):
 
 
 def test_document(spark):
-    rows = draws(spark, "/root/testdata/sf0.001").where("lottery IN ('1-URGENT', '5-LOW')").cache()
+    rows = reconciled(spark, "/root/testdata/sf0.001").where("lottery IN ('1-URGENT', '5-LOW')").cache()
     found = json.loads(publish.document(rows, DIMS, F.lit(date(2001, 8, 1)), 3))
     assert set(found["lotteries"]) == {"1-URGENT", "5-LOW"} and set(found["lotteries"]["1-URGENT"]["draws"]) == {"F", "O", "P"}
     draw = found["lotteries"]["1-URGENT"]["draws"]["F"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tombola.operators import reconcile
 from tombola.plans import jobs, publish
-from tombola.plans.queries import draws
+from tombola.plans.queries import reconciled
 from tombola.sources import history, sinks, versions
 from tombola.sources.derived import raw_draws
 from tombola.sources.schema import DRAWS, Dims
@@ -122,7 +122,7 @@ def test_jobs_keep_versions_with_their_counters(spark, tmp_path):
 
 
 def test_a_whole_history_as_a_version(spark, tmp_path):
-    rows = draws(spark, DATA)
+    rows = reconciled(spark, DATA)
     made = versions.commit(rows, f"file://{tmp_path}/h", None)
     assert made.rows == rows.count() == versions.read(spark, f"file://{tmp_path}/h").count()
     assert versions.read(spark, f"file://{tmp_path}/h").exceptAll(rows.select(*DRAWS.names)).isEmpty()

@@ -63,7 +63,10 @@ def preserve(current: DataFrame, previous: DataFrame, by: list[str]) -> DataFram
 
 def base_report(draws: DataFrame, dims: Dims) -> dict[str, DataFrame]:
     """The base report's tables by name."""
-    rows = base.eligible(draws, dims).persist()
+    return _base_tables(base.eligible(draws, dims), dims)
+
+
+def _base_tables(rows: DataFrame, dims: Dims) -> dict[str, DataFrame]:
     each, ranked, pairs = base.exploded(rows, dims), base.strength(rows, dims), base.pair_counts(rows, dims)
     return {
         "window": base.window(rows, dims), "top_10_repeated": base.top_repeated(each, True), "top_10_historical": base.top_repeated(each, False),
@@ -83,11 +86,16 @@ def document(draws: DataFrame, dims: Dims, reference: Column, limit: int = 10, *
     for r in rows(predictions(draws, dims, reference, limit)):
         lotteries[r.pop("lottery")]["draws"][r.pop("draw")] = r
     span = rows(frequency.coverage(draws))[0]
+    kept = base.eligible(draws, dims).persist()
+    try:
+        tables = {name: rows(df) for name, df in _base_tables(kept, dims).items()}
+    finally:
+        kept.unpersist()
     return json.dumps({
         "generated_at": generated_at and generated_at.isoformat(timespec="seconds"), "generated_at_display": generated_at and generated_at.strftime("%d/%m/%Y %H:%M"),
         "generated_timezone": generated_at and str(generated_at.tzinfo), "requested_from_date": requested_from,
         "actual_from_date": span.get("from_date"), "actual_to_date": span.get("to_date"), "disclaimer": DISCLAIMER,
-        "base_10": {name: rows(df) for name, df in base_report(draws, dims).items()}, "lotteries": lotteries,
+        "base_10": tables, "lotteries": lotteries,
     }, ensure_ascii=False, sort_keys=True)
 
 

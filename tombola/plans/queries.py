@@ -21,13 +21,6 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.dedupe(raw_draws(spark, sf_dir), DIMS.ranks)
 
 
-def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reconciled history, for reports that read it several times: it is kept,
-    so read and reconciled once, and recomputed where an executor is lost. It stays
-    in the executors' storage until the session clears its cache."""
-    return reconciled(spark, sf_dir).persist()
-
-
 def _flat(rows: DataFrame) -> DataFrame:
     """numbers as n1, n2, n3."""
     return rows.select(*[c for c in rows.columns if c != "numbers"], *[F.get("numbers", F.lit(k)).alias(f"n{k + 1}") for k in range(3)])
@@ -54,12 +47,9 @@ def _on_pages(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(_spread(raw_draws(spark, sf_dir)))
 
 
-def _on_draws(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(draws(spark, sf_dir))
-
-
 def _on_history(f: Callable[[DataFrame], DataFrame]) -> Query:
-    """For what reads the history once: nothing is kept."""
+    """A report that names the history several times reads the tables once all the
+    same: the later uses read the shuffle of the first. Nothing is kept."""
     return lambda spark, sf_dir: f(reconciled(spark, sf_dir))
 
 
@@ -117,8 +107,8 @@ QUERIES: dict[str, Query] = {
     "last_seen": _on_history(lambda r: frequency.number_counts(r, ["lottery"]).select("lottery", "number", "last_seen")),
     "number_frequency": _on_history(lambda r: frequency.number_counts(r, ["lottery", "draw"])),
     "recent_frequency": _on_history(lambda r: frequency.recent_counts(r, ["lottery"])),
-    "suggest_by_lottery": _on_draws(lambda r: _suggest(r, ["lottery"])),
-    "suggest_by_draw": _on_draws(lambda r: _suggest(r, ["lottery", "draw"])),
+    "suggest_by_lottery": _on_history(lambda r: _suggest(r, ["lottery"])),
+    "suggest_by_draw": _on_history(lambda r: _suggest(r, ["lottery", "draw"])),
     "last_results": _on_history(lambda r: _flat(board.last_results(r, ["lottery", "draw"]))),
     "backtest_predictions": _on_history(lambda r: backtest.predictions(r, 5)),
     "backtest_kept": _on_history(_kept_backtest),
@@ -153,11 +143,11 @@ QUERIES: dict[str, Query] = {
     "compare_date_range": _on_history(_range),
     "compare_calendar": _on_history(lambda r: compare.by_calendar(r, month=6, week_day=3)),
     "compare_matching_draws": _on_history(lambda r: compare.matching_draws(compare.by_calendar(r, month=6, week_day=3))),
-    "compare_current": _on_draws(lambda r: compare.top(compare.current(_suggest(r, ["lottery"])), 10)),
-    "compare_top_shared": _on_draws(lambda r: compare.shared(_range(r), A, B, 25)),
+    "compare_current": _on_history(lambda r: compare.top(compare.current(_suggest(r, ["lottery"])), 10)),
+    "compare_top_shared": _on_history(lambda r: compare.shared(_range(r), A, B, 25)),
     "compare_delayed": _on_history(lambda r: compare.delayed(_range(r))),
-    "compare_four_conditions": _on_draws(lambda r: compare.four_conditions(_range(r), A, B)),
-    "today_board": _on_draws(lambda r: board.today(r, _suggest(r, ["lottery", "draw"]), DIMS)),
+    "compare_four_conditions": _on_history(lambda r: compare.four_conditions(_range(r), A, B)),
+    "today_board": _on_history(lambda r: board.today(r, _suggest(r, ["lottery", "draw"]), DIMS)),
     "draw_items": _on_history(lambda r: board.draw_items(r, DIMS)),
     "date_gaps": _on_history(lambda r: reconcile.date_gaps(r, "1995-01-01", "2001-12-31", (A, B))),
     "import_merge": lambda s, d: _flat(reconcile.import_merge(*_import(s, d), SHEET)),
@@ -166,8 +156,8 @@ QUERIES: dict[str, Query] = {
     "visible_draw_filter": _on_history(lambda r: base.visible(r, DIMS).select("lottery", "draw", "draw_date", "seq")),
     "canonical_label": _on_history(lambda r: base.canonical_label(r, DIMS).select("seq", "canonical")),
     "display_label": _on_history(lambda r: base.display_label(r, DIMS).select("seq", "label")),
-    "preserve_suggestions": _on_draws(lambda r: _preserved(r, ["lottery", "draw"])),
-    "preserve_by_lottery": _on_draws(lambda r: _preserved(r, ["lottery"])),
+    "preserve_suggestions": _on_history(lambda r: _preserved(r, ["lottery", "draw"])),
+    "preserve_by_lottery": _on_history(lambda r: _preserved(r, ["lottery"])),
     "normalize_text": _text("text", "documents", "doc_id", T.normalized, "normal"),
     "strip_tags": _text("html", "pages", "page_id", lambda c: T.one_spaced(T.without_tags(c)), "bare"),
     "extract_numbers": _text("text", "documents", "doc_id", lambda c: F.array_join(T.numbers_in(c), " "), "numbers"),
