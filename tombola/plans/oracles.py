@@ -177,6 +177,7 @@ def _top(source: str, order: str, columns: str, n: int = 10) -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "dedupe_by_source_priority": f"WITH {_DRAWS} SELECT {_FLAT} FROM draws",
+    "streamed_records": f"WITH {_DRAWS} SELECT {_FLAT} FROM draws",
     "merge_history": f"""WITH {_HALVES},{_KEPT},
 both_rows AS (SELECT *, 0 AS batch FROM kept UNION ALL SELECT *, 1 FROM incoming)
 SELECT {_FLAT} FROM (SELECT *, row_number() OVER (PARTITION BY draw_date, lottery, draw ORDER BY srank, batch, seq) AS k FROM both_rows) WHERE k = 1""",
@@ -343,6 +344,9 @@ SELECT lottery, draw, CASE WHEN seq % 2 = 0 THEN CAST(draw_date + CAST(seq % 3 A
     "parse_spreadsheet": f"""WITH {_RAW}
 SELECT 'Sheet' AS lottery, CASE draw WHEN 'F' THEN 'Early' ELSE 'Late' END AS draw, draw_date, {_N3} FROM raw
 WHERE draw IN ('F', 'O') AND draw_date <= DATE '1999-12-31' AND seq % 7 <> 0""",
+    "parse_sheet_files": f"""WITH {_RAW}
+SELECT 'Sheet' AS lottery, CASE draw WHEN 'F' THEN 'Early' ELSE 'Late' END AS draw, draw_date, {_N3} FROM raw
+WHERE draw IN ('F', 'O') AND draw_date <= DATE '1999-12-31' AND seq % 7 <> 0 AND seq % 5 <> 0""",
     "parse_feed": f"""WITH {_RAW}
 SELECT CASE WHEN seq % 11 = 0 THEN 'Sin nombre' ELSE lottery END AS lottery, CASE WHEN seq % 2 = 1 THEN draw WHEN seq % 4 = 0 THEN 'General' ELSE 't' || draw END AS draw, draw_date, {_N3} FROM raw WHERE seq % 13 <> 0""",
     "wanted_draws": f"""WITH {_RAW}, names(l, d, lottery, draw) AS (VALUES ('1-urgent', 'f', 'Urgent', 'Early'), ('1-urgent', 'o', 'Urgent', 'Late'), ('3-medium', 'p', 'Medium', 'Other'))

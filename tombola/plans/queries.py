@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import backtest, base, board, compare, frequency, reconcile
-from ..sources.derived import DIMS, SHEET, raw_draws
+from ..sources.derived import DIMS, SHEET, arriving_draws, raw_draws
 from ..sources.history import rows, with_key
+from ..sources.shared import new_folder
+from ..streaming import standing
 from . import jobs, landed, publish
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,12 +95,20 @@ def _preserved(rows: DataFrame, by: list[str]) -> DataFrame:
     return publish.preserve(best(rows, last), publish.public(before, DIMS), by).select(*by, F.inline("suggestions"))
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream runs when the query is called; what it wrote is returned."""
+    folder = new_folder(spark, "standing")
+    standing.keep(arriving_draws(spark, sf_dir), f"{folder}/changes", f"{folder}/checkpoint", DIMS.ranks).awaitTermination()
+    return _flat(standing.standing(spark, f"{folder}/changes"))
+
+
 def _range(rows: DataFrame) -> DataFrame:
     return compare.by_months(compare.month_rollup(rows.where(F.col("lottery").isin(A, B))), "1998-03-15", "1999-06-20")
 
 
 QUERIES: dict[str, Query] = {
     "dedupe_by_source_priority": _on_history(_flat),
+    "streamed_records": _streamed,
     "merge_history": lambda s, d: _flat(reconcile.merge_history(*_halves(s, d), DIMS.ranks)),
     "remove_future_republished": lambda s, d: _flat(reconcile.remove_future_republished(*_halves(s, d))),
     "insert_if_absent": lambda s, d: reconcile.insert_if_absent(*_halves(s, d)).select("result_key", "source", "seq"),
@@ -171,6 +181,7 @@ QUERIES: dict[str, Query] = {
     "parse_table_page": _on_pages(landed.tables),
     "parse_text": _on_pages(landed.texts),
     "parse_spreadsheet": _on_raw(landed.sheets),
+    "parse_sheet_files": _on_pages(landed.sheet_files),
     "parse_feed": _on_raw(landed.feed),
     "wanted_draws": _on_raw(landed.wanted),
     "daily_job": lambda s, d: landed.daily_job(*_halves(s, d), jobs.daily, DIMS),

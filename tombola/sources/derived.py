@@ -25,7 +25,17 @@ DIMS = Dims(
 
 def raw_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders; about one in six repeats a slot."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return _as_draws(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+def arriving_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, as a stream of the table's files. A table may be one file, which
+    a stream takes by a pattern only."""
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    return _as_draws(spark.readStream.schema(schema).parquet(f"{sf_dir}/{{orders.parquet}}"))
+
+
+def _as_draws(orders: DataFrame) -> DataFrame:
     mod = lambda c: (c % 100).cast("int")
     numbers = F.array(mod(F.col("o_orderkey") * 37), mod(F.col("o_custkey")), mod(F.floor("o_totalprice")))
     source = F.element_at(F.array(*[F.lit(s) for s in SOURCES]), (F.col("o_custkey") % 5 + 1).cast("int"))
