@@ -63,3 +63,13 @@ def test_the_history_is_scanned_once_and_nothing_is_kept(spark, name):
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "InMemoryTableScan" not in final
     assert final.count("FileScan parquet") <= 2
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith("backtest_")])
+def test_uses_of_the_history_do_not_sort_it_again(spark, name):
+    """Sorts of all uses meet in one task. (`backtest_kept` had 120 sorts to aggregate.)"""
+    df = QUERIES[name](spark, DATA)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "FileScan parquet" not in final and "Scan ExistingRDD" in final
+    assert final.count("SortAggregate") == 0 and final.count("Sort [") <= 20

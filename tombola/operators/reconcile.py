@@ -19,9 +19,9 @@ def source_rank(source: Column, ranks: tuple[tuple[str, int], ...]) -> Column:
 def _first_by(draws: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key. A row isn't a fixed-width value, so Spark sorts
     by key to aggregate, before the shuffle and after it; what is shuffled is one
-    row a key and task."""
-    best = F.min_by(F.struct("*"), F.struct(*order)).alias("best")
-    return draws.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(best).select("best.*")
+    row a key and task. What is sorted holds each column once."""
+    best = F.min_by(F.struct(*[c for c in draws.columns if c not in keys]), F.struct(*order)).alias("_best")
+    return draws.groupBy(*keys).agg(best).select(*[c if c in keys else F.col("_best")[c].alias(c) for c in draws.columns])
 
 
 def dedupe(draws: DataFrame, ranks: tuple[tuple[str, int], ...]) -> DataFrame:

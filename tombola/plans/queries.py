@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..functions import text as T
 from ..operators import backtest, base, board, compare, frequency, reconcile
 from ..sources.derived import DIMS, SHEET, arriving_draws, raw_draws
 from ..sources.history import rows, with_key
-from ..sources.shared import new_folder
+from ..sources.shared import cut, new_folder
 from ..streaming import standing
 from . import jobs, landed, publish
 
@@ -55,6 +56,13 @@ def _on_history(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(reconciled(spark, sf_dir))
 
 
+def _on_cut_history(f: Callable[[DataFrame], DataFrame]) -> Query:
+    """For reports whose plan names the history so often that the sorts by slot of
+    all uses, which meet in one task, would outgrow it: the records are written
+    once under spark.checkpoint.dir, one a slot, and read from there."""
+    return lambda spark, sf_dir: f(cut(reconciled(spark, sf_dir)))
+
+
 def _on_base(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(base.eligible(reconciled(spark, sf_dir), DIMS))
 
@@ -78,12 +86,14 @@ def _text(column: str, table: str, key: str, f: Callable[[F.Column], F.Column],
 
 def _kept_backtest(rows: DataFrame) -> DataFrame:
     """The backtest of a fold made without each draw's last ten days, which are
-    then added. Further days are added to a fold that was written and read again:
-    a chain of additions in one plan multiplies it."""
+    then added. Days are added to a fold that was written and is read again, here too:
+    an addition to a fold in one plan multiplies what made it."""
     rows = rows.join(rows.groupBy("lottery", "draw").agg(F.max("draw_date").alias("_last")), ["lottery", "draw"])
     old = F.datediff("_last", "draw_date") >= 10
     before, after = (rows.where(c).drop("_last") for c in (old, ~old))
-    return backtest.predictions(backtest.add(backtest.fold(before), after), 5)
+    kept = backtest.fold(before)
+    kept = replace(kept, near=cut(kept.near), older=cut(kept.older))
+    return backtest.predictions(backtest.add(kept, after), 5)
 
 
 def _preserved(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -121,11 +131,11 @@ QUERIES: dict[str, Query] = {
     "suggest_by_lottery": _on_history(lambda r: _suggest(r, ["lottery"])),
     "suggest_by_draw": _on_history(lambda r: _suggest(r, ["lottery", "draw"])),
     "last_results": _on_history(lambda r: _flat(board.last_results(r, ["lottery", "draw"]))),
-    "backtest_predictions": _on_history(lambda r: backtest.predictions(r, 5)),
-    "backtest_kept": _on_history(_kept_backtest),
-    "backtest_hits": _on_history(lambda r: backtest.hits(r).select("lottery", "draw", "draw_date", "top3_any", "top5_any", "first_position", "hits_top5")),
-    "backtest_report": _on_history(lambda r: backtest.report(r)),
-    "backtest_recent_evals": _on_history(lambda r: backtest.recent_evaluations(r).select("lottery", "draw", "draw_date", "place", F.array_join("predicted", " ").alias("predicted"), F.array_join("actual", " ").alias("actual"), F.array_join("hits", " ").alias("hits"))),
+    "backtest_predictions": _on_cut_history(lambda r: backtest.predictions(r, 5)),
+    "backtest_kept": _on_cut_history(_kept_backtest),
+    "backtest_hits": _on_cut_history(lambda r: backtest.hits(r).select("lottery", "draw", "draw_date", "top3_any", "top5_any", "first_position", "hits_top5")),
+    "backtest_report": _on_cut_history(lambda r: backtest.report(r)),
+    "backtest_recent_evals": _on_cut_history(lambda r: backtest.recent_evaluations(r).select("lottery", "draw", "draw_date", "place", F.array_join("predicted", " ").alias("predicted"), F.array_join("actual", " ").alias("actual"), F.array_join("hits", " ").alias("hits"))),
     "base_window": _on_base(lambda r: base.window(r, DIMS)),
     "base_counts": _on_each(base.counts),
     "base_top_recent": _on_each(lambda r: base.top_repeated(r, True)),

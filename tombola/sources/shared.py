@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -22,3 +22,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df under spark.checkpoint.dir and goes on from there, for plans that
+    name df several times: what it took to make df is then done once. Whether files whose
+    frames are gone stay is up to spark.cleaner.referenceTracking.cleanCheckpoints."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(new_folder(spark, "checkpoint"))
+    return df.checkpoint()
