@@ -266,6 +266,45 @@ def test_op8_recall_on_the_table(spark, sf):
     assert all(got[q][i] == pytest.approx(s, abs=1e-12) for q, v in want.items() for i, s in v if i in got[q])
 
 
+def strange_vectors(kind):
+    """Queries that are unlike what the index is fitted on, and other odd shapes."""
+    rnd = np.random.default_rng(8)
+    n = 3000
+    ids = rnd.permutation(n)
+    asks = ids % 100 == 0
+    x = rnd.normal(size=(n, 24))
+    if kind == "far queries":
+        x *= np.where(asks, 3.0, 0.05)[:, None]
+    elif kind == "queries between clusters":
+        clusters = rnd.normal(size=(20, 24))[rnd.integers(0, 20, n)] + 0.01 * x
+        x = np.where(asks[:, None], x, clusters)
+    elif kind == "far from the origin":
+        x = 1e6 + 1e-3 * x
+    elif kind == "copies":
+        x = np.where(rnd.random((n, 1)) < 0.5, x[:1], x[rnd.integers(0, 300, n)])
+    elif kind == "one giant":
+        x[5] *= 1e9
+    return ids, x
+
+
+@pytest.mark.parametrize("kind", ["far queries", "queries between clusters", "far from the origin", "copies", "one giant"])
+def test_op8_misses_nothing_on_strange_vectors(spark, kind):
+    ids, x = strange_vectors(kind)
+    df = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist(), strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vectors.op8(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    want = brute(ids, x)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert all(s == pytest.approx(t, rel=1e-12) for q, v in want.items() for (_, t), (_, s) in zip(v, got[q], strict=True))
+
+
+def test_op8_an_id_repeated_often_takes_one_place(spark):
+    rows = [(0, [0.0, 1.0]), *[(7, [0.0, 1.0 + k / 1000]) for k in range(1, 40)], *[(k, [1.0, float(k)]) for k in range(10, 30)]]
+    got = [r["vec_id"] for r in vectors.op8(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert got == [7, *range(10, 19)]
+
+
 def test_clustered_vectors_need_few_lists():
     rnd = np.random.default_rng(5)
     centres = rnd.normal(size=(300, 32)) * 4

@@ -9,13 +9,21 @@ probes the lists whose centroids are nearest; a table of its distances to all
 codes of each part ranks a list's vectors by sums of table entries, and the best
 of each list are reranked by exact distance to the original vectors.
 
+What that finds is as near as the fit's sample promises only for queries that are
+like the sample, so an exact check follows. The k-th found bounds the distances
+that matter. By the triangle inequality a list is no nearer than its centroid less
+its radius, and a coded vector no nearer than its code less the code's error. Rows
+that may be as near as the bound, in whatever list, are compared by exact
+distance, so no true neighbour is missed on any data. The better the index, the
+fewer those are; of queries that lie alone they may be nearly all.
+
 The centroids are fitted on a sample of at most TRAIN rows; every row is
 indexed. How many lists to probe and how many of a list to rerank are measured
 on the sample against brute force, for the recall RECALL, in the same way at every
 size. How few that are depends on the data: of clustered vectors a few lists
 do, of vectors that fill a sphere evenly about half are needed, as neighbours
-are hardly nearer there than others. recall=1.0 probes and reranks everything: the exact
-way.
+are hardly nearer there than others. recall=1.0 probes and reranks everything;
+check=False leaves the check out.
 
 A list, and the queries that probe it, are dealt out in pieces of CHUNK vectors
 and BLOCK queries, so a list of any size (one very common vector, say) is no
@@ -32,7 +40,7 @@ so other columns may have any name. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,6 +57,8 @@ RECALL = 0.93
 CHUNK, BLOCK = 4096, 512
 #: Numbers held at once while queries rank lists or vectors.
 HELD = 1 << 22
+#: What rounding may add to a bound, as a share of the lengths it is made of.
+SLACK = 1e-6
 #: Up to so many lists their pieces are broadcast, beyond they are joined.
 BROADCAST_LISTS = 100_000
 
@@ -80,13 +90,14 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.nd
 @dataclass
 class Index:
     """halves: the centroids of either half; list i * len(halves[1]) + j has the
-    i-th of the first and the j-th of the second."""
+    i-th of the first and the j-th of the second. All methods take vectors less `origin`."""
 
     halves: tuple[np.ndarray, np.ndarray]
     bounds: list[int]
     codes: list[np.ndarray]
     probes: int = 1
     rerank: float = 1.0
+    origin: np.ndarray | float = 0.0
 
     @property
     def lists(self) -> int:
@@ -114,6 +125,26 @@ class Index:
         parts = [_nearest(left[:, a:b], c).argmin(1) for a, b, c in zip(self.bounds, self.bounds[1:], self.codes, strict=False)]
         return np.stack(parts, axis=1).astype(np.uint8)
 
+    def lost(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances to their lists' centroids and to what their codes say."""
+        left = x - self.centroid(lists)
+        said = np.concatenate([c[codes[:, k]] for k, c in enumerate(self.codes)], axis=1)
+        return np.linalg.norm(left, axis=1), np.linalg.norm(left - said, axis=1)
+
+    def least_to_lists(self, queries: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
+        """No vector of a list, all of which lie between `inner` and `outer` of its
+        centroid, is nearer to the query. Without differences of large squares."""
+        at = self.halves[0].shape[1]
+        first, second = (((q[:, None] - c) ** 2).sum(2) for q, c in zip((queries[:, :at], queries[:, at:]), self.halves, strict=True))
+        far = np.sqrt(first[:, :, None] + second[:, None, :]).reshape(len(queries), -1)
+        return np.maximum(far - outer, inner - far) - SLACK * (far + outer)
+
+    def least(self, queries: np.ndarray, of: int, codes: np.ndarray, lost: np.ndarray) -> np.ndarray:
+        """No vector of one list with these codes, whose errors are `lost`, is nearer."""
+        near = np.sqrt(np.maximum(self.asymmetric(queries, of, codes), 0))
+        left = np.linalg.norm(queries - self.centroid(np.array(of)), axis=1, keepdims=True)
+        return near - lost - SLACK * (near + lost + left)
+
     def asymmetric(self, queries: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
         """Of each query to each coded vector of one list: squared distance."""
         left = queries - self.centroid(np.array(of))
@@ -128,11 +159,13 @@ def fit(sample: np.ndarray, rows: int, k: int, recall: float = RECALL) -> Index:
     """An index for `rows` vectors from a sample of them, with the number of
     lists to probe and the share of a list to rerank that give the recall there."""
     width = sample.shape[1]
+    origin = sample.mean(0)
+    sample = sample - origin
     each = max(1, round(rows**0.25))
     at = (width + 1) // 2
     halves = fit_centres(sample[:, :at], each), fit_centres(sample[:, at:], each) if width > 1 else np.zeros((1, 0))
     bounds = [int(b) for b in np.linspace(0, width, min(PARTS, width) + 1)]
-    index = Index(halves, bounds, [])
+    index = Index(halves, bounds, [], origin=origin)
     lists = index.lists_of(sample)
     left = sample - index.centroid(lists)
     index.codes = [fit_centres(left[:, a:b], 256) for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -168,9 +201,9 @@ def _matrix(column: pd.Series, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=kind).reshape(-1, width)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 10, *, id_col: str = "vec_id", vector: str = "embedding", train: int = TRAIN, recall: float = RECALL) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 10, *, id_col: str = "vec_id", vector: str = "embedding", train: int = TRAIN, recall: float = RECALL, check: bool = True) -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which `queries` holds, its
-    k nearest other rows among those found, by Euclidean distance in doubles."""
+    k nearest other rows, by Euclidean distance in doubles; without `check`, of those found."""
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score double"
     kind = "<f4" if vectors.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
@@ -186,22 +219,23 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, *, id_col: str = "v
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array(batch["vector"].tolist(), dtype=float).reshape(len(batch), width)
-            lists = index.lists_of(x)
-            codes = index.encode(x, lists)
-            yield pd.DataFrame({"list": lists, "vec_id": batch["vec_id"], "asks": batch["asks"].fillna(False), "raw": [v.tobytes() for v in x.astype(kind)], "codes": [c.tobytes() for c in codes]})
+            lists = index.lists_of(x - index.origin)
+            codes = index.encode(x - index.origin, lists)
+            far, lost = index.lost(x - index.origin, lists, codes)
+            yield pd.DataFrame({"list": lists, "vec_id": batch["vec_id"], "asks": batch["asks"].fillna(False), "raw": [v.tobytes() for v in x.astype(kind)], "codes": [c.tobytes() for c in codes], "far": far, "lost": lost})
 
-    index_rows = cut(rows.mapInPandas(coded, "list long, vec_id long, asks boolean, raw binary, codes binary"))
+    index_rows = cut(rows.mapInPandas(coded, "list long, vec_id long, asks boolean, raw binary, codes binary, far double, lost double"))
     # One row a list, of which there are about the square root of all rows.
-    sizes = np.zeros(index.lists, int)
-    for list_id, n in index_rows.groupBy("list").count().collect():
-        sizes[list_id] = n
+    sizes, inner, outer = np.zeros(index.lists, int), np.zeros(index.lists), np.zeros(index.lists)
+    for list_id, *of in index_rows.groupBy("list").agg(F.count("*"), F.min("far"), F.max("far")).collect():
+        sizes[list_id], inner[list_id], outer[list_id] = of
 
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step = max(1, HELD // index.lists)
         for whole in batches:
             for start in range(0, len(whole), step):
                 batch = whole.iloc[start : start + step]
-                order = index.to_lists(_matrix(batch["raw"], kind, width).astype(float)).argsort(1, kind="stable")
+                order = index.to_lists(_matrix(batch["raw"], kind, width).astype(float) - index.origin).argsort(1, kind="stable")
                 # Further lists, where those hold too few rows for k neighbours.
                 enough = (sizes[order].cumsum(1) <= 2 * k).sum(1) + 1
                 n = np.minimum(np.maximum(index.probes, enough), order.shape[1])
@@ -210,17 +244,35 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, *, id_col: str = "v
                 full = sizes[picks] > 0
                 yield pd.DataFrame({"list": picks[full], "query_id": batch["vec_id"].to_numpy()[at][full], "query": batch["raw"].to_numpy()[at][full]})
 
-    asking = index_rows.where("asks").groupBy("vec_id").agg(F.min("raw").alias("raw"))
-    probes = cut(asking.mapInPandas(probed, "list long, query_id long, query binary"))
-    asked = np.zeros(len(sizes), int)
-    for list_id, n in probes.groupBy("list").count().collect():
-        asked[list_id] = n
-    chunks, blocks = -(-sizes // CHUNK), -(-asked // BLOCK)
-    pieces = spark.createDataFrame([(k_, max(1, int(c)), int(b)) for k_, (c, b) in enumerate(zip(chunks, blocks, strict=True)) if b], "list long, chunks int, blocks int")
-    pieces = small(pieces, BROADCAST_LISTS)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index_rows.join(pieces, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), each("blocks").alias("block"), "vec_id", "raw", "codes")
-    right = probes.join(pieces, "list").select("list", each("chunks").alias("chunk"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block"), "query_id", "query")
+    def may_hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, HELD // max(index.lists, sum(h.size for h in index.halves)))
+        for whole in batches:
+            for start in range(0, len(whole), step):
+                batch = whole.iloc[start : start + step]
+                q = _matrix(batch["raw"], kind, width).astype(float)
+                # With what subtracting the origin, or the distance itself, may have rounded off.
+                bounds = batch["bound"].to_numpy() * (1 + SLACK**2) + SLACK**2 * np.linalg.norm(q, axis=1)
+                at, picks = np.nonzero((sizes > 0) & ~(index.least_to_lists(q - index.origin, inner, outer) > bounds[:, None]))
+                yield pd.DataFrame({"list": picks, "query_id": batch["vec_id"].to_numpy()[at], "query": batch["raw"].to_numpy()[at], "bound": bounds[at]})
+
+    asking = cut(index_rows.where("asks").groupBy("vec_id").agg(F.min("raw").alias("raw")))
+
+    def meet(probes: DataFrame, search_one: Callable[..., pd.DataFrame]) -> DataFrame:
+        """What search_one finds for the queries of `probes` in their lists: query_id, vec_id, score."""
+        probes = cut(probes)
+        asked = np.zeros(len(sizes), int)
+        for list_id, n in probes.groupBy("list").count().collect():
+            asked[list_id] = n
+        chunks, blocks = -(-sizes // CHUNK), -(-asked // BLOCK)
+        pieces = spark.createDataFrame([(k_, max(1, int(c)), int(b)) for k_, (c, b) in enumerate(zip(chunks, blocks, strict=True)) if b], "list long, chunks int, blocks int")
+        pieces = small(pieces, BROADCAST_LISTS)
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = index_rows.join(pieces, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), each("blocks").alias("block"), "vec_id", "raw", "codes", "lost")
+        right = probes.join(pieces, "list").select("list", each("chunks").alias("chunk"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block"), *[c for c in probes.columns if c != "list"])
+        n = shuffle_partitions(spark)
+        key = ["list", "chunk", "block"]
+        found = left.repartition(n, *key).groupBy(*key).cogroup(right.repartition(n, *key).groupBy(*key)).applyInPandas(search_one, "query_id long, vec_id long, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
 
     def best(key: tuple, there: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -231,7 +283,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, *, id_col: str = "v
             q, q_ids = _matrix(asking["query"], kind, width).astype(float), asking["query_id"].to_numpy()
             for at in range(0, len(q), step := max(1, HELD // (len(ids) + depth * width))):
                 own, own_ids = q[at : at + step], q_ids[at : at + step]
-                near = index.asymmetric(own, key[0], codes)
+                near = index.asymmetric(own - index.origin, key[0], codes)
                 near[own_ids[:, None] == ids] = np.inf
                 # Stable and by id, so that of equal vectors the least ids are taken.
                 picks = np.sort(near.argsort(1, kind="stable")[:, :depth], axis=1)
@@ -243,12 +295,45 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, *, id_col: str = "v
                 out.append((np.repeat(own_ids, first.shape[1])[good], ids[np.take_along_axis(picks, first, 1)].ravel()[good], found[good]))
         return pd.DataFrame({name: np.concatenate(c) for name, c in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
-    n = shuffle_partitions(spark)
-    key = ["list", "chunk", "block"]
-    found = left.repartition(n, *key).groupBy(*key).cogroup(right.repartition(n, *key).groupBy(*key)).applyInPandas(best, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).alias("rank")
-    return found.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
+    def near_enough(key: tuple, there: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(there) and len(asking):
+            ids, x, codes, lost = there["vec_id"].to_numpy(), _matrix(there["raw"], kind, width).astype(float), _matrix(there["codes"], "u1", len(index.codes)), there["lost"].to_numpy()
+            q, q_ids, bounds = _matrix(asking["query"], kind, width).astype(float), asking["query_id"].to_numpy(), asking["bound"].to_numpy()
+            for start in range(0, len(q), step := max(1, HELD // len(ids))):
+                part = slice(start, start + step)
+                far = index.least(q[part] - index.origin, key[0], codes, lost) > bounds[part, None]
+                at, picks = np.nonzero(~far & (ids != q_ids[part, None]))
+                at += start
+                exact = np.zeros(len(at))
+                for p in range(0, len(at), pairs := max(1, HELD // width)):
+                    exact[p : p + pairs] = np.sqrt(((x[picks[p : p + pairs]] - q[at[p : p + pairs]]) ** 2).sum(1))
+                good = exact <= bounds[at]
+                at, picks, exact = at[good], picks[good], exact[good]
+                # An id counts once, with its nearest vector; k ids a query are enough.
+                order = np.lexsort((exact, ids[picks], at))
+                at, own, exact = at[order], ids[picks][order], exact[order]
+                once = np.r_[True, (at[1:] != at[:-1]) | (own[1:] != own[:-1])][: len(at)]
+                at, own, exact = at[once], own[once], exact[once]
+                order = np.lexsort((own, exact, at))
+                at, own, exact = at[order], own[order], exact[order]
+                first = np.arange(len(at)) - np.searchsorted(at, at) < k
+                out.append((q_ids[at[first]], own[first], exact[first]))
+        return pd.DataFrame({name: np.concatenate(c) for name, c in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
+
+    def nearest(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).alias("rank")
+        return found.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
+
+    found = nearest(meet(asking.mapInPandas(probed, "list long, query_id long, query binary"), best))
+    if not check or recall >= 1:
+        return found
+    found = cut(found)
+    bounds = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    asking = asking.join(bounds, "vec_id", "left").select("vec_id", "raw", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    checked = meet(asking.mapInPandas(may_hold, "list long, query_id long, query binary, bound double"), near_enough)
+    both = found.select("query_id", "vec_id", "score").unionByName(checked)
+    return nearest(both.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
 
 
 def op8(vectors: DataFrame) -> DataFrame:
